@@ -22,9 +22,9 @@ def _finite(col: Column) -> Column:
     return ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
 
 
-def _fits_or_fail(value: Column, is_number: Column, what: str, dtype: T.DataType) -> Column:
+def _fits_or_fail(value: Column, is_number: Column, what: str) -> Column:
     """`value`, or an error for a number the decimal type cannot hold; never a silent null."""
-    return F.when(is_number & value.isNull(), F.raise_error(F.lit(what)).cast(dtype)).otherwise(value)
+    return F.when(is_number & value.isNull(), F.raise_error(F.lit(what))).otherwise(value)
 
 
 def summand(col: Column, dtype: T.DataType, scale: int | None = None) -> tuple[Column, T.DataType] | None:
@@ -45,10 +45,10 @@ def summand(col: Column, dtype: T.DataType, scale: int | None = None) -> tuple[C
         # A float is read as it prints, not as its nearest double.
         source = col.cast("string") if isinstance(dtype, T.FloatType) else col
         is_number = _finite(col)
-        return _fits_or_fail(F.when(is_number, source.try_cast(wanted)), is_number, failure, wanted), wanted
+        return _fits_or_fail(F.when(is_number, source.try_cast(wanted)), is_number, failure), wanted
     if isinstance(dtype, T.StringType):
         is_number = col.rlike(NUMBER_PATTERN)
-        return _fits_or_fail(F.when(is_number, col.try_cast(wanted)), is_number, failure, wanted), wanted
+        return _fits_or_fail(F.when(is_number, col.try_cast(wanted)), is_number, failure), wanted
     return None
 
 
@@ -57,14 +57,14 @@ def exact_total(value: Column, total_type: T.DataType, what: str) -> Column:
     whatever the session's ANSI setting."""
     total = F.try_sum(value)
     lost = F.raise_error(F.lit(f"{what}: the sum is out of range"))
-    checked = F.when(total.isNull() & (F.count(value) > 0), lost.cast("decimal(38,0)")).otherwise(total)
+    checked = F.when(total.isNull() & (F.count(value) > 0), lost).otherwise(total)
     return whole_result(checked, what) if isinstance(total_type, T.LongType) else checked.cast(total_type)
 
 
 def whole_result(total: Column, what: str) -> Column:
     """A whole-number total as BIGINT; an error, not a null, when it is out of range."""
     small = total.try_cast("bigint")
-    failure = F.raise_error(F.lit(f"{what} is out of BIGINT range; ask for a wide result")).cast("bigint")
+    failure = F.raise_error(F.lit(f"{what} is out of BIGINT range; ask for a wide result"))
     return F.when(total.isNotNull() & small.isNull(), failure).otherwise(small)
 
 
@@ -77,7 +77,7 @@ def _nearest_integer_multiple(col: Column, g: int, wide: bool) -> Column:
     up = F.try_add(base, F.lit(g).cast("bigint"))
     down = F.try_subtract(base, F.lit(g).cast("bigint"))
     stepped = F.when(rest * 2 >= g, up).when(rest * 2 <= -g, down).otherwise(base)
-    failure = F.raise_error(F.lit("a rounded value is out of BIGINT range; ask for a wide result")).cast("bigint")
+    failure = F.raise_error(F.lit("a rounded value is out of BIGINT range; ask for a wide result"))
     return F.when(value.isNotNull() & stepped.isNull(), failure).otherwise(stepped)
 
 
@@ -96,7 +96,7 @@ def _nearest_double_multiple(col: Column, g: int) -> Column:
     size = F.abs(value)
     rest = size % F.lit(float(g))
     near = F.when(rest >= g / 2.0, size + (F.lit(float(g)) - rest)).otherwise(size - rest)
-    signed = F.when(value < 0, -near).otherwise(near)
+    signed = F.when(value < 0, F.lit(0.0) - near).otherwise(near)  # 0 - x, so that there is no -0.0
     return F.when(_finite(value), signed).otherwise(value)
 
 
