@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docnest.functions.columns import as_type, column, hashable
 from docnest.operators import grouping as g
@@ -43,10 +44,33 @@ def _column_counts(name: str, df: DataFrame) -> DataFrame:
     return exploded.select(F.lit(name).alias("table_name"), F.col("rows").alias("row_count"), "e.*")
 
 
-def _repeats(name: str, position: int, df: DataFrame, col: str) -> DataFrame:
-    counted = df.filter(column(col).isNotNull()).groupBy(column(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    found = counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
-    return found.select(F.lit(name).alias("table_name"), F.lit(position).alias("position"), "most")
+def _comparable_text(name: str, dtype: T.DataType) -> Column:
+    """Text that is equal exactly when the values are, so that columns can share one shuffle."""
+    col = column(name)
+    if isinstance(dtype, T.StringType):
+        return col
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (col + F.lit(0.0)).cast("string")  # -0.0 equals 0.0
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.base64(col)
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        return F.when(col.isNotNull(), F.to_json(F.struct(col), {"ignoreNullFields": "false"}))
+    return col.cast("string")
+
+
+def _repeats(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """Per candidate column, how often its most frequent value occurs: one scan and one shuffle
+    for all candidates of a table."""
+    entries = [
+        F.struct(F.lit(i).alias("position"), _comparable_text(f.name, f.dataType).alias("value"))
+        for i, f in enumerate(df.schema.fields)
+        if i in positions
+    ]
+    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
+    counted = values.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("position").agg(F.max("n").alias("most")).withColumn("table_name", F.lit(name))
 
 
 def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalogue: Catalogue) -> DataFrame:
@@ -54,23 +78,26 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalog
     are unique.
 
     One scan per table estimates distinct counts with a fixed-size sketch; only columns that may
-    be unique are then counted exactly, one shuffle of one column each.
+    be unique are then counted exactly.
     """
     measured = {
         (r["table_name"], r["position"]): r
         for r in union_all(_column_counts(n, t) for n, t in tables.items()).collect()  # one row per column
     }
-    candidates = [
-        (name, i, t, f.name)
+    candidates = {
+        name: [
+            i
+            for i, f in enumerate(t.schema.fields)
+            if hashable(f.dataType)
+            and measured[name, i]["estimate"] >= CANDIDATE_SHARE * measured[name, i]["value_count"]
+        ]
         for name, t in tables.items()
-        for i, f in enumerate(t.schema.fields)
-        if hashable(f.dataType)
-        and measured[name, i]["estimate"] >= CANDIDATE_SHARE * measured[name, i]["value_count"]
-    ]
-    most = {}
-    if candidates:
-        exact = union_all(_repeats(n, i, t, c) for n, i, t, c in candidates)
-        most = {(r["table_name"], r["position"]): r["most"] for r in exact.collect()}  # one row per candidate
+    }
+    # A candidate without values does not appear among the repeats.
+    most = {(name, i): 0 for name, found in candidates.items() for i in found}
+    exact = [_repeats(name, tables[name], found) for name, found in candidates.items() if found]
+    if exact:
+        most |= {(r["table_name"], r["position"]): r["most"] for r in union_all(exact).collect()}
     rows = []
     for name, t in tables.items():
         pk = {k.lower() for k in catalogue.spec(name).pk}

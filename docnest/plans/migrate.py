@@ -12,7 +12,7 @@ from docnest.operators.nest import embed_junction, embed_many, embed_one
 from docnest.operators.patterns import ATTRIBUTE, COMPUTED, Computed, PatternContext, apply_patterns
 from docnest.operators.profile import fan_outs
 from docnest.plans.model import MANY_TO_MANY, ONE_TO_MANY, ONE_TO_ONE, Catalogue, Edge, PlanError, Settings
-from docnest.plans.resolve import NestingPlan, resolve
+from docnest.plans.resolve import NestingPlan, edges_to_measure, resolve
 from docnest.sinks.documents import write_documents
 from docnest.sources.normalise import normalise_all
 
@@ -36,10 +36,14 @@ class Migration:
         return write_documents(spark, self.datasets, folder, source, self.raw, options)
 
 
+def _field(catalogue: Catalogue, edge: Edge) -> str:
+    """Junction rows go under the parent's own name, other children under theirs."""
+    return edge.parent if catalogue.cardinality(edge) == MANY_TO_MANY else catalogue.nest_field(edge)
+
+
 def _touched(plan: NestingPlan, table: str) -> set[str] | None:
     """Raw columns of a table that its own nests and patterns may replace; ``None`` if unknown."""
-    names = {plan.catalogue.nest_field(e).lower() for e in plan.embedded_into(table)}
-    names |= {table.lower()} if any(plan.catalogue.cardinality(e) == MANY_TO_MANY for e in plan.embedded_into(table)) else set()
+    names = {_field(plan.catalogue, e).lower() for e in plan.embedded_into(table)}
     for p in plan.settings.patterns.get(table, ()):
         changed = p.touched()
         if changed is None:
@@ -56,7 +60,7 @@ def _shared_totals(plan: NestingPlan, edge: Edge, df: DataFrame) -> list[Compute
     if child_changes is None or edge.fk.lower() in child_changes:
         return []
     patterns = plan.settings.patterns.get(edge.parent, ())
-    busy = {plan.catalogue.nest_field(e).lower() for e in plan.embedded_into(edge.parent)} | {edge.parent.lower()}
+    busy = {_field(plan.catalogue, e).lower() for e in plan.embedded_into(edge.parent)}
     for p in patterns:
         if p.kind == ATTRIBUTE:
             busy |= p.touched()
@@ -78,7 +82,7 @@ def _nest(plan: NestingPlan, edge: Edge, df: DataFrame, child: DataFrame, shared
     catalogue = plan.catalogue
     child_pk = catalogue.spec(edge.child).pk
     cardinality = catalogue.cardinality(edge)
-    field = catalogue.nest_field(edge)
+    field = _field(catalogue, edge)
     changes = _touched(plan, edge.child)
     same_keys = changes is not None and edge.fk.lower() not in changes
     measured = plan.fan_out.get(edge) if same_keys else None
@@ -87,7 +91,6 @@ def _nest(plan: NestingPlan, edge: Edge, df: DataFrame, child: DataFrame, shared
         return embed_one(df, child, pk=edge.pk, fk=edge.fk, field=field, child_pk=child_pk, proven_unique=unique)
     limits = {"max_children": plan.settings.max_children, "measured": measured}
     if cardinality == MANY_TO_MANY:
-        field = edge.parent
         others = [e.fk for e in catalogue.outgoing(edge.child) if e != edge and not e.is_self]
         nested = embed_junction(
             df, child, pk=edge.pk, fk=edge.fk, other_fks=others, field=field, child_pk=child_pk, **limits
@@ -128,15 +131,14 @@ def _staged(df: DataFrame, path: str) -> DataFrame:
 
 
 def plan_for(tables: Mapping[str, DataFrame], catalogue: Catalogue, settings: Settings) -> NestingPlan:
-    """Measure every edge's fan-out and resolve the strategies."""
+    """Measure the fan-out of the edges to nest, in one job, and resolve the strategies."""
     missing = [t for t in catalogue.tables if t not in tables]
     if missing:
         raise PlanError(f"no data for {', '.join(missing)}")
-    limited = [e for e in catalogue.edges if e.fk and has_column(tables[e.child], e.fk)]
-    lost = [e.label for e in catalogue.edges if e not in limited]
+    lost = [e.label for e in catalogue.edges if not has_column(tables[e.child], e.fk) or not has_column(tables[e.parent], e.pk)]
     if lost:
         raise PlanError(f"no such key column: {', '.join(lost)}")
-    return resolve(catalogue, settings, fan_outs(tables, catalogue.edges))
+    return resolve(catalogue, settings, fan_outs(tables, edges_to_measure(catalogue, settings)))
 
 
 def migrate(

@@ -87,27 +87,37 @@ def _children_first(catalogue: Catalogue, nested: list[Edge]) -> list[str]:
     return order
 
 
-def resolve(catalogue: Catalogue, settings: Settings, fan_out: Mapping[Edge, int]) -> NestingPlan:
-    """One resolved plan that both nesting and writing follow."""
+def _before_limit(catalogue: Catalogue, settings: Settings) -> tuple[_Choices, list[str]]:
+    """Configured strategies, with self references and cycles made references."""
     choices = _Choices(settings)
     notes: list[str] = []
-
     for edge in catalogue.edges:
         if edge.is_self:
             choices.reference(edge.child, edge.parent)
-
     while cycle := _nested_cycle(catalogue, choices):
         closed = [*cycle, cycle[0]]
         choices.reference(closed[0], closed[1])
         notes.append(f"cycle {' -> '.join(closed)}: {closed[0]}.{closed[1]} becomes {REFERENCE}")
+    return choices, notes
 
-    for edge in catalogue.edges:
-        if edge.is_self or catalogue.cardinality(edge) == ONE_TO_ONE:
+
+def edges_to_measure(catalogue: Catalogue, settings: Settings) -> list[Edge]:
+    """The edges that would be nested, and so need their fan-out checked."""
+    choices, _ = _before_limit(catalogue, settings)
+    return [e for e in catalogue.edges if choices.get(e.child, e.parent) == EMBED]
+
+
+def resolve(catalogue: Catalogue, settings: Settings, fan_out: Mapping[Edge, int]) -> NestingPlan:
+    """One resolved plan that both nesting and writing follow. ``fan_out`` covers at least the
+    edges of :func:`edges_to_measure`."""
+    choices, notes = _before_limit(catalogue, settings)
+
+    for edge in edges_to_measure(catalogue, settings):
+        if catalogue.cardinality(edge) == ONE_TO_ONE:
             continue
-        widest = fan_out.get(edge, 0)
-        if widest > settings.max_children:
+        if fan_out[edge] > settings.max_children:
             choices.reference(edge.child, edge.parent)
-            notes.append(f"{edge.label}: {widest} children under one parent, becomes {REFERENCE}")
+            notes.append(f"{edge.label}: {fan_out[edge]} children under one parent, becomes {REFERENCE}")
 
     for table, patterns in settings.patterns.items():
         catalogue.spec(table)

@@ -87,15 +87,16 @@ def relationship_map(tables: Mapping[str, DataFrame], plan: NestingPlan) -> Data
     return profile.select("child", "parent", "declared", "observed", "max_children", strategy.alias("strategy"))
 
 
-def target_overview(written: Mapping[str, DataFrame], n: int = 5) -> DataFrame:
-    """Per written dataset: its documents and up to ``n`` of them as JSON."""
+def target_overview(spark: SparkSession, written: Mapping[str, DataFrame], n: int = 5) -> DataFrame:
+    """Per written dataset: its documents and up to ``n`` of them as JSON.
+
+    The samples come from the first files only, not from a task per file.
+    """
     frames = []
     for table, frame in written.items():
-        name = F.lit(dataset_name(table)).alias("dataset")
-        total = frame.agg(F.count(F.lit(1)).alias("documents"))
-        frames.append(total.select(name, "documents", F.lit(None).cast("string").alias("sample")))
         text = F.to_json(F.struct(*[column(c) for c in frame.columns]), {"ignoreNullFields": "false"})
-        frames.append(frame.limit(n).select(name, F.lit(0).cast("bigint").alias("documents"), text.alias("sample")))
-    return union_all(frames).groupBy("dataset").agg(
-        F.sum("documents").alias("documents"), F.collect_list("sample").alias("samples")
-    )
+        samples = [r[0] for r in frame.select(text).take(n)]
+        total = frame.agg(F.count(F.lit(1)).alias("documents"))
+        listed = F.array(*[F.lit(s) for s in samples]).cast("array<string>")
+        frames.append(total.select(F.lit(dataset_name(table)).alias("dataset"), "documents", listed.alias("samples")))
+    return union_all(frames)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +25,25 @@ def session(app: str, master: str | None = None, **settings: str) -> SparkSessio
     return builder.getOrCreate()
 
 
+# One shuffle task should get about this much; more tasks than the cap cost more than they save.
+TASK_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_TASKS = 100_000
+# Parquet columns grow by about this factor as shuffled rows.
+ROW_GROWTH = 3
+
+
+def size_shuffles(spark: SparkSession, tables: Iterable[DataFrame]) -> int:
+    """Raise the initial number of shuffle partitions to fit the largest table; adaptive execution
+    merges what turns out small. Sizes are the planner's own estimates, so nothing is read."""
+    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
+    wanted = min(MAX_SHUFFLE_TASKS, max(sizes, default=0) * ROW_GROWTH // TASK_BYTES)
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    current = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > current:
+        spark.conf.set(key, str(wanted))
+    return max(wanted, current)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder every executor can reach, under ``spark.checkpoint.dir``.
 

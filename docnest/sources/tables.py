@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +38,20 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def _up_to_nth(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The rows that can be among the first ``n``. The n-th key comes from a scan of the key
+    columns alone; the filter then lets the full scan skip most row groups."""
+    first = df.select(*[column(k) for k in keys]).orderBy(*[column(k) for k in keys]).limit(n).tail(1)
+    bound = first[0][0] if first else None
+    return df if bound is None else df.filter(column(keys[0]) <= F.lit(bound))
+
+
 def sample_rows(tables: Mapping[str, DataFrame], catalogue: Catalogue, n: int = 5) -> DataFrame:
     """The first ``n`` rows of each table in primary-key order, as JSON with explicit nulls."""
     frames = []
     for name, frame in tables.items():
-        keys = [column(k) for k in catalogue.spec(name).pk]
+        keys = catalogue.spec(name).pk
         row = F.to_json(F.struct(*[column(c) for c in frame.columns]), {"ignoreNullFields": "false"})
-        first = frame.orderBy(*keys).limit(n)
+        first = _up_to_nth(frame, keys, n).orderBy(*[column(k) for k in keys]).limit(n)
         frames.append(first.select(F.lit(name).alias("table_name"), row.alias("row_json")))
     return union_all(frames)

@@ -68,7 +68,7 @@ def test_written_and_reconciled(spark, moved, source, tmp_path):
         "table_name": "employees", "rows_read": 3, "rows_nested": 3, "rows_orphaned": 0, "docs_written": 3
     }
     assert summary["employee_details"]["docs_written"] is None and summary["employee_details"]["rows_nested"] == 2
-    overview = {r["dataset"]: r for r in rows(target_overview(back, 2))}
+    overview = {r["dataset"]: r for r in rows(target_overview(spark, back, 2))}
     assert overview["activity_log"]["documents"] == 4 and len(overview["activity_log"]["samples"]) == 2
     sample = json.loads(overview["employee"]["samples"][0])
     assert "employee_details" in sample

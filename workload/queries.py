@@ -606,7 +606,7 @@ def report_migration(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_target(spark: SparkSession, sf: str) -> DataFrame:
     _, back, _ = written_run(spark, sf, "parquet")
-    found = target_overview(back, 3)
+    found = target_overview(spark, back, 3)
     return found.select("dataset", "documents", F.size("samples").cast("bigint").alias("n_samples"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docnest import Catalogue, Edge, TableSpec
+from docnest.session import size_shuffles
 from docnest.sources.tables import read_tables
 
 COLUMNS = {
@@ -72,7 +73,9 @@ def columns_of(table: str) -> list[tuple[str, str]]:
 def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     """Lazy frames of the named tables (all of them by default), with zone-less times read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return read_tables(spark, folder, names or tuple(COLUMNS))
+    tables = read_tables(spark, folder, names or tuple(COLUMNS))
+    size_shuffles(spark, tables.values())
+    return tables
 
 
 def part_of(*names: str) -> Catalogue:
