@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,52 +24,103 @@ def _finite(col: Column) -> Column:
     return ~F.isnan(col) & (F.abs(col) != F.lit(float("inf")))
 
 
-def _fits_or_fail(value: Column, is_number: Column, what: str) -> Column:
-    """`value`, or an error for a number the decimal type cannot hold; never a silent null."""
-    return F.when(is_number & value.isNull(), F.raise_error(F.lit(what))).otherwise(value)
+# Whole numbers below this are summed as two longs of 25 and 20 bits: safe for 2**38 rows of a key.
+SPLIT_BITS = 20
+SPLIT_LIMIT = 2**45
+# Decimals a double may have to be summed as a scaled whole number.
+FAST_SCALE = 4
+
+
+def _fail(what: str) -> Column:
+    return F.raise_error(F.lit(what))
+
+
+def _whole_total(k: Column) -> Column:
+    """The sum of BIGINT values within the split limit, as DECIMAL(28,0)."""
+    high = F.sum(F.shiftright(k, SPLIT_BITS)).cast("decimal(19,0)")
+    low = F.sum(k.bitwiseAND(F.lit(2**SPLIT_BITS - 1))).cast("decimal(19,0)")
+    return high * F.lit(2**SPLIT_BITS).cast("decimal(7,0)") + low
+
+
+def _decimal_total(value: Column, what: str) -> Column:
+    """The sum of a decimal column; an error when it overflows, whatever the ANSI setting."""
+    total = F.try_sum(value)
+    return F.when(total.isNull() & (F.count(value) > 0), _fail(f"{what}: the sum is out of range")).otherwise(total)
+
+
+def _whole_result(total: Column, wide: bool, what: str) -> tuple[Column, T.DataType]:
+    if wide:
+        return total.cast("decimal(38,0)"), T.DecimalType(38, 0)
+    small = total.try_cast("bigint")
+    lost = total.isNotNull() & small.isNull()
+    return F.when(lost, _fail(f"{what} is out of BIGINT range; ask for a wide result")).otherwise(small), T.LongType()
+
+
+def _parsed_total(text: Column, is_number: Column, scale: int, what: str) -> tuple[Column, T.DataType]:
+    kind = T.DecimalType(38, scale)
+    value = F.when(is_number, text.try_cast(kind))
+    checked = F.when(is_number & value.isNull(), _fail(f"{what}: a value does not fit {kind.simpleString()}"))
+    return _decimal_total(checked.otherwise(value), what), kind
 
 
-def summand(col: Column, dtype: T.DataType, scale: int | None = None) -> tuple[Column, T.DataType] | None:
-    """The value a column adds to an exact sum, and the type of that sum.
+def _double_total(x: Column, scale: int, what: str) -> tuple[Column, T.DataType]:
+    """Doubles, summed as the decimals they print as.
 
-    Null, NaN, infinities and text that is no number add nothing (null). ``None`` for types
-    that never hold a number.
+    ``k / 10**f == x`` with a ``k`` of at most 14 digits means that x prints as exactly that
+    decimal, so those values are added as whole numbers. The rest goes through DECIMAL.
     """
+    f = min(scale, FAST_SCALE)
+    power = F.lit(float(10**f))
+    near = F.abs(x) < SPLIT_LIMIT / 10**f
+    k = F.when(near, F.rint(x * power).try_cast("bigint"))
+    exact = near & (k.cast("double") / power == x)
+    kind = T.DecimalType(37, scale)
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    slow = F.when(~exact & finite, x.try_cast(kind))
+    lost = F.when(~exact & finite & slow.isNull(), _fail(f"{what}: a value does not fit {kind.simpleString()}"))
+
+    whole = _whole_total(F.when(exact, k))
+    unit = F.lit(Decimal(1).scaleb(-f)).cast(T.DecimalType(f + 1, f))
+    fast_sum = (whole * unit).try_cast(kind)
+    slow_sum = _decimal_total(lost.otherwise(slow), what).try_cast(kind)
+    result = T.DecimalType(38, scale)
+    total = (
+        F.when(whole.isNotNull() & fast_sum.isNull(), _fail(f"{what}: the sum is out of range"))
+        .when(slow_sum.isNull(), fast_sum)
+        .when(fast_sum.isNull(), slow_sum)
+        .otherwise(fast_sum + slow_sum)
+    )
+    return total.cast(result), result
+
+
+def exact_sum(
+    col: Column, dtype: T.DataType, what: str, scale: int | None = None, wide: bool = False
+) -> tuple[Column, T.DataType] | None:
+    """The exact sum of a column, and its type; null when nothing was added.
+
+    Null, NaN, infinities and text that is no number add nothing. Whole numbers give BIGINT
+    (``wide``: DECIMAL(38,0)), decimals keep their scale, doubles and text have ``scale``. A
+    result or a value out of range is an error, never a null. ``None`` for types that never hold
+    a number.
+    """
+    places = DEFAULT_SCALE if scale is None else scale
     if isinstance(dtype, SMALL_INTEGERS):
-        return col.cast("bigint"), T.LongType()
+        return _whole_result(_whole_total(col.cast("bigint")), wide, what)
     if isinstance(dtype, T.LongType):
-        return col.cast("decimal(19,0)"), T.LongType()
+        return _whole_result(_decimal_total(col.cast("decimal(19,0)"), what), wide, what)
     if isinstance(dtype, T.DecimalType):
-        return col, T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
-    wanted = T.DecimalType(38, DEFAULT_SCALE if scale is None else scale)
-    failure = f"a summed value does not fit {wanted.simpleString()}"
-    if isinstance(dtype, FLOATS):
+        kind = T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
+        return _decimal_total(col, what).cast(kind), kind
+    if isinstance(dtype, T.DoubleType):
+        return _double_total(col, places, what)
+    if isinstance(dtype, T.FloatType):
         # A float is read as it prints, not as its nearest double.
-        source = col.cast("string") if isinstance(dtype, T.FloatType) else col
-        is_number = _finite(col)
-        return _fits_or_fail(F.when(is_number, source.try_cast(wanted)), is_number, failure), wanted
+        return _parsed_total(col.cast("string"), _finite(col), places, what)
     if isinstance(dtype, T.StringType):
-        is_number = col.rlike(NUMBER_PATTERN)
-        return _fits_or_fail(F.when(is_number, col.try_cast(wanted)), is_number, failure), wanted
+        return _parsed_total(col, col.rlike(NUMBER_PATTERN), places, what)
     return None
 
 
-def exact_total(value: Column, total_type: T.DataType, what: str) -> Column:
-    """The sum of a :func:`summand`, null when nothing was added; an error when it overflows,
-    whatever the session's ANSI setting."""
-    total = F.try_sum(value)
-    lost = F.raise_error(F.lit(f"{what}: the sum is out of range"))
-    checked = F.when(total.isNull() & (F.count(value) > 0), lost).otherwise(total)
-    return whole_result(checked, what) if isinstance(total_type, T.LongType) else checked.cast(total_type)
-
-
-def whole_result(total: Column, what: str) -> Column:
-    """A whole-number total as BIGINT; an error, not a null, when it is out of range."""
-    small = total.try_cast("bigint")
-    failure = F.raise_error(F.lit(f"{what} is out of BIGINT range; ask for a wide result"))
-    return F.when(total.isNotNull() & small.isNull(), failure).otherwise(small)
-
-
 def _nearest_integer_multiple(col: Column, g: int, wide: bool) -> Column:
     if wide:
         return _nearest_decimal_multiple(col.cast("decimal(19,0)"), g)
@@ -77,7 +130,7 @@ def _nearest_integer_multiple(col: Column, g: int, wide: bool) -> Column:
     up = F.try_add(base, F.lit(g).cast("bigint"))
     down = F.try_subtract(base, F.lit(g).cast("bigint"))
     stepped = F.when(rest * 2 >= g, up).when(rest * 2 <= -g, down).otherwise(base)
-    failure = F.raise_error(F.lit("a rounded value is out of BIGINT range; ask for a wide result"))
+    failure = _fail("a rounded value is out of BIGINT range; ask for a wide result")
     return F.when(value.isNotNull() & stepped.isNull(), failure).otherwise(stepped)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docnest.functions.columns import column, find_name, has_column
-from docnest.functions.numbers import exact_total, nearest_multiple, summand
+from docnest.functions.numbers import exact_sum, nearest_multiple
 from docnest.operators import grouping as g
 from docnest.plans.model import PlanError
 
@@ -231,13 +231,11 @@ def total_of(pattern: Computed, child: DataFrame) -> tuple[Column, Column]:
     name = find_name(child, pattern.column)
     if name is None:
         raise PlanError(f"{pattern.field}: {pattern.child} has no column {pattern.column}")
-    made = summand(column(name), child.schema[name].dataType, pattern.scale)
+    made = exact_sum(column(name), child.schema[name].dataType, pattern.field, pattern.scale, pattern.wide)
     if made is None:
         return F.sum(F.lit(0).cast("bigint")), F.lit(0).cast("bigint")
-    value, total_type = made
-    if isinstance(total_type, T.LongType) and pattern.wide:
-        total_type = T.DecimalType(38, 0)
-    return exact_total(value, total_type, pattern.field), F.lit(0).cast(total_type)
+    total, total_type = made
+    return total, F.lit(0).cast(total_type)
 
 
 # --- patterns that read a child table --------------------------------------------------------

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docnest.functions.columns import as_type, column, hashable
 from docnest.operators import grouping as g
@@ -44,33 +43,54 @@ def _column_counts(name: str, df: DataFrame) -> DataFrame:
     return exploded.select(F.lit(name).alias("table_name"), F.col("rows").alias("row_count"), "e.*")
 
 
-def _comparable_text(name: str, dtype: T.DataType) -> Column:
-    """Text that is equal exactly when the values are, so that columns can share one shuffle."""
-    col = column(name)
-    if isinstance(dtype, T.StringType):
-        return col
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return (col + F.lit(0.0)).cast("string")  # -0.0 equals 0.0
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col).cast("string")
-    if isinstance(dtype, T.BinaryType):
-        return F.base64(col)
-    if isinstance(dtype, (T.ArrayType, T.StructType)):
-        return F.when(col.isNotNull(), F.to_json(F.struct(col), {"ignoreNullFields": "false"}))
-    return col.cast("string")
-
-
-def _repeats(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
-    """Per candidate column, how often its most frequent value occurs: one scan and one shuffle
-    for all candidates of a table."""
+def _shared_hashes(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """Per candidate column, how many rows share the most frequent 64-bit hash, and that hash:
+    one scan and one shuffle of hashes for all candidates of a table, whatever their width."""
     entries = [
-        F.struct(F.lit(i).alias("position"), _comparable_text(f.name, f.dataType).alias("value"))
+        F.struct(F.lit(i).alias("position"), F.when(column(f.name).isNotNull(), F.xxhash64(column(f.name))).alias("hash"))
         for i, f in enumerate(df.schema.fields)
         if i in positions
     ]
-    values = df.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
-    counted = values.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("position").agg(F.max("n").alias("most")).withColumn("table_name", F.lit(name))
+    hashes = df.select(F.inline(F.array(*entries))).filter(F.col("hash").isNotNull())
+    counted = hashes.groupBy("position", "hash").agg(F.count(F.lit(1)).alias("n"))
+    widest = counted.groupBy("position").agg(F.max("n").alias("most"), F.max_by("hash", "n").alias("hash"))
+    return widest.withColumn("table_name", F.lit(name))
+
+
+def _most_equal(name: str, position: int, rows: DataFrame, col: str) -> DataFrame:
+    """How often the most frequent value of a column occurs."""
+    counted = rows.filter(column(col).isNotNull()).groupBy(column(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    found = counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    return found.select(F.lit(name).alias("table_name"), F.lit(position).alias("position"), "most")
+
+
+def _unique_columns(tables: Mapping[str, DataFrame], candidates: Mapping[str, Sequence[int]]) -> set[tuple[str, int]]:
+    """Which candidates have no value twice, exactly.
+
+    Distinct hashes prove distinct values. Where a hash is shared, the rows with that hash are
+    compared by value; only if those turn out to differ is the whole column grouped by value.
+    """
+    unique = {(name, i) for name, found in candidates.items() for i in found}
+
+    def largest(frames: list[DataFrame]) -> dict[tuple[str, int], Row]:
+        # one row per candidate column
+        return {(r["table_name"], r["position"]): r for r in union_all(frames).collect()} if frames else {}
+
+    def field(name: str, i: int) -> str:
+        return tables[name].schema.fields[i].name
+
+    hashed = largest([_shared_hashes(name, tables[name], found) for name, found in candidates.items() if found])
+    shared = {key: r["hash"] for key, r in hashed.items() if r["most"] > 1}
+    compared = largest(
+        [
+            _most_equal(n, i, tables[n].filter(F.xxhash64(column(field(n, i))) == F.lit(h)), field(n, i))
+            for (n, i), h in shared.items()
+        ]
+    )
+    collided = [key for key, r in compared.items() if r["most"] <= 1]
+    grouped = largest([_most_equal(n, i, tables[n], field(n, i)) for n, i in collided])
+    repeated = {key for found in (compared, grouped) for key, r in found.items() if r["most"] > 1}
+    return unique - repeated
 
 
 def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalogue: Catalogue) -> DataFrame:
@@ -93,11 +113,7 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalog
         ]
         for name, t in tables.items()
     }
-    # A candidate without values does not appear among the repeats.
-    most = {(name, i): 0 for name, found in candidates.items() for i in found}
-    exact = [_repeats(name, tables[name], found) for name, found in candidates.items() if found]
-    if exact:
-        most |= {(r["table_name"], r["position"]): r["most"] for r in union_all(exact).collect()}
+    unique = _unique_columns(tables, candidates)
     rows = []
     for name, t in tables.items():
         pk = {k.lower() for k in catalogue.spec(name).pk}
@@ -107,7 +123,7 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalog
                 (
                     name, i + 1, f.name, f.dataType.simpleString(), f.name.lower() in pk,
                     m["row_count"], m["value_count"], m["value_count"] < m["row_count"],
-                    most.get((name, i), 2) <= 1,
+                    (name, i) in unique,
                 )
             )
     return spark.createDataFrame(rows, PROFILE_SCHEMA)

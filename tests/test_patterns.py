@@ -1,5 +1,6 @@
 import datetime as dt
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 
@@ -34,6 +35,18 @@ def test_sums(spark):
     assert total(spark, "boolean", [True, True]) == [0, 0]
 
 
+def test_sums_of_doubles_are_those_of_their_printed_decimals(spark):
+    rnd = random.Random(5)
+    values = [round(rnd.uniform(-1e7, 1e7), rnd.randint(0, 9)) for _ in range(3000)]
+    values += [1.005, 2.675, 1e15, -1e15, 35184372088832.0, 0.1 + 0.2, 123456789012.3456, 1e-7]
+    for scale in (0, 2, 4, 12):
+        unit = Decimal(1).scaleb(-scale)
+        exact = sum((Decimal(repr(v)).quantize(unit, ROUND_HALF_UP) for v in values), Decimal(0))
+        assert total(spark, "double", values, scale=scale) == [exact, 0], scale
+    assert total(spark, "int", [2**31 - 1, -(2**31), -1, None]) == [-2, 0]
+    assert total(spark, "int", [-5, 3], wide=True) == [Decimal(-2), 0]
+
+
 def test_sum_out_of_range_is_loud_or_wide(spark):
     big = [2**63 - 1, 1]
     assert total(spark, "bigint", big, wide=True) == [Decimal(2**63), 0]

@@ -241,8 +241,8 @@ LEFT JOIN {grouped("customer", "c_nationkey", "CAST(c_custkey AS VARCHAR)", "c_c
     ),
     "embed_role_names": f"""
 WITH lane AS ({TRADE_LANES}),
-b AS (SELECT buyer_id AS k, count(*) AS n, string_agg(seller_id || ':' || n_lines, ',' ORDER BY seller_id) AS d FROM lane GROUP BY 1),
-s AS (SELECT seller_id AS k, count(*) AS n, string_agg(buyer_id || ':' || n_lines, ',' ORDER BY buyer_id) AS d FROM lane GROUP BY 1)
+b AS (SELECT buyer_id AS k, count(*) AS n, string_agg(coalesce(seller_id || ':', '') || n_lines, ',' ORDER BY seller_id NULLS FIRST) AS d FROM lane GROUP BY 1),
+s AS (SELECT seller_id AS k, count(*) AS n, string_agg(coalesce(buyer_id || ':', '') || n_lines, ',' ORDER BY buyer_id NULLS FIRST) AS d FROM lane GROUP BY 1)
 SELECT n_nationkey, coalesce(b.n, 0) AS n_bought, coalesce(b.d, '') AS bought, coalesce(s.n, 0) AS n_sold, coalesce(s.d, '') AS sold
 FROM nation LEFT JOIN b ON b.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey
 """,
@@ -265,7 +265,7 @@ FROM orders o LEFT JOIN (SELECT l_orderkey AS k, {REVENUE} AS r, sum(l_linenumbe
   FROM lineitem GROUP BY 1) g ON g.k = o.o_orderkey
 """,
     "computed_count_through_junction": """
-SELECT p_partkey, count(l_orderkey) AS supplies FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1
+SELECT p_partkey, count(l_partkey) AS supplies FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1
 """,
     "computed_sum_text": """
 SELECT c.c_custkey, CAST(coalesce(g.s, 0) AS DECIMAL(38,4)) AS amount FROM customer c

@@ -284,13 +284,20 @@ def embed_fan_in(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trade_lanes(t: dict[str, DataFrame]) -> DataFrame:
-    """Lines per (customer nation, supplier nation): a child with two keys to the same parent."""
+    """Lines per (customer nation, supplier nation): a child with two keys to the same parent.
+
+    Lines are counted per order and supplier before they meet either, so that a hot order brings
+    at most one row per supplier into the joins.
+    """
+    lines = t["lineitem"].groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    customers = t["customer"].select("c_custkey", F.col("c_nationkey").alias("buyer_id"))
+    suppliers = t["supplier"].select("s_suppkey", F.col("s_nationkey").alias("seller_id"))
+    orders = t["orders"].select("o_orderkey", "o_custkey")
+    sold = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "seller_id").agg(F.sum("n").alias("n"))
+    bought = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "buyer_id")
     return (
-        t["lineitem"].select("l_orderkey", "l_suppkey")
-        .join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["customer"].select("c_custkey", F.col("c_nationkey").alias("buyer_id")), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["supplier"].select("s_suppkey", F.col("s_nationkey").alias("seller_id")), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("buyer_id", "seller_id").agg(F.count(F.lit(1)).alias("n_lines"))
+        sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("buyer_id", "seller_id").agg(F.sum("n").alias("n_lines"))
         .withColumn("id", (F.col("buyer_id") * 1000 + F.col("seller_id")).cast("bigint"))
     )
 
