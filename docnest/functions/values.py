@@ -35,9 +35,27 @@ def to_instant(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
+def _whole_json(col: Column) -> tuple[Column, Column]:
+    """The text's JSON value, and whether all of the text is that value.
+
+    Spark's parser stops after the first value and ignores what follows. The text is therefore
+    parsed as the first element of an array whose second is the text's own hash: only if nothing
+    follows the value is the hash found there.
+    """
+    mark = F.xxhash64(col)
+    pair = F.try_parse_json(F.concat(F.lit("["), col, F.lit(","), mark.cast("string"), F.lit("]")))
+    whole = F.coalesce(F.try_variant_get(pair, "$[1]", "bigint") == mark, F.lit(False))
+    return F.variant_get(pair, "$[0]", "variant"), whole
+
+
+def is_json(col: Column) -> Column:
+    return _whole_json(col)[1]
+
+
 def parsed_json(col: Column) -> Column:
-    """JSON text as a VARIANT; text that does not parse is kept as a string inside the VARIANT."""
-    return F.coalesce(F.try_parse_json(col), col.cast("variant"))
+    """JSON text as a VARIANT; text that does not parse as a whole is kept as a string inside it."""
+    value, whole = _whole_json(col)
+    return F.when(whole, value).otherwise(col.cast("variant"))
 
 
 def stored_type(dtype: T.DataType) -> T.DataType:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docnest.functions.columns import column, find_name
-from docnest.functions.values import needs_instant, parsed_json, to_instant
+from docnest.functions.values import is_json, needs_instant, parsed_json, to_instant
 from docnest.plans.model import PlanError
 
 UNPARSED = "_unparsed"
@@ -37,7 +37,7 @@ def normalise(df: DataFrame, json_columns: Mapping[str, str | T.DataType | None]
         elif wanted[field.name] is None:
             selected.append(parsed_json(col).alias(field.name))
         else:
-            bad = col.isNotNull() & F.try_parse_json(col).isNull()
+            bad = col.isNotNull() & ~is_json(col)
             selected.append(F.when(~bad, F.from_json(col, wanted[field.name])).alias(field.name))
             selected.append(F.when(bad, col).alias(field.name + UNPARSED))
     return df.select(*selected)

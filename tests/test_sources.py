@@ -51,6 +51,15 @@ def test_json_columns(spark):
         normalise(df, {"nope": None})
 
 
+def test_json_followed_by_more_text_is_kept_whole(spark):
+    texts = ["829484 In the end", '{"k": 1} and more', '"a"] x', '"a",0] x', "1,2", "", "null", " [1, {}] ", "-1.5e3", '"x"', "true"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
+    got = [json.loads(r.x) for r in normalise(df, {"j": None}).orderBy("i").selectExpr("to_json(struct(j), map('ignoreNullFields', 'false')) AS x").collect()]
+    assert [g["j"] for g in got] == [*texts[:6], None, [1, {}], -1500, "x", True]
+    kept = rows(normalise(df, {"j": "struct<k:int>"}), "i")
+    assert kept[1]["j"] is None and kept[1]["j_unparsed"] == texts[1]
+
+
 def test_sql_keeps_aliases(spark):
     users = spark.createDataFrame([(1, "a", 25), (2, "b", 30), (3, "c", 35)], "id int, name string, age int")
     assert rows(sql_rows(spark, {"users": users}, "SELECT name AS who FROM users WHERE age > 28"), "who") == [

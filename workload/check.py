@@ -53,8 +53,8 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
         return True, f"{len(left[1])} rows, {spent:.1f}s"
     if left[0] != right[0]:
         return False, f"columns {left[0]} against {right[0]}"
-    extra = [r for r in left[1] if r not in set(right[1])][:3]
-    lacking = [r for r in right[1] if r not in set(left[1])][:3]
+    ours, theirs = set(left[1]), set(right[1])
+    extra, lacking = sorted(ours - theirs)[:3], sorted(theirs - ours)[:3]
     return False, f"{len(left[1])} against {len(right[1])} rows; only here {extra}; only there {lacking}"
 
 
