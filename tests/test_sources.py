@@ -154,3 +154,12 @@ def test_shared_folder_and_shuffle_size(spark):
     assert size_shuffles(spark, [spark.range(10)]) == 4 and spark.conf.get(key, None) is None
     assert size_shuffles(spark, [spark.range(10**12)]) == 89406
     spark.conf.unset(key)
+
+
+def test_uniqueness_survives_hash_collisions(spark, monkeypatch):
+    from docnest.operators import profile
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, s string")
+    assert profile._unique_columns({"t": df}, {"t": [0, 1]}) == {("t", 0)}
+    monkeypatch.setattr(profile.F, "xxhash64", lambda *cols: profile.F.lit(7).cast("bigint"))
+    assert profile._unique_columns({"t": df}, {"t": [0, 1]}) == {("t", 0)}
