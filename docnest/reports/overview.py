@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docnest.functions.columns import column
 from docnest.functions.naming import dataset_name
-from docnest.operators.profile import column_profile, edge_profile
+from docnest.operators.profile import column_profile, edge_cardinality, edge_profile
 from docnest.plans.migrate import Migration
 from docnest.plans.model import EMBED, Catalogue
 from docnest.plans.resolve import NestingPlan
@@ -83,7 +83,7 @@ def relationship_map(tables: Mapping[str, DataFrame], plan: NestingPlan) -> Data
     for e in edges:
         same = (F.col("child") == e.child) & (F.col("parent") == e.parent)
         strategy = F.when(same, F.lit(plan.strategies[e])).otherwise(strategy)
-    profile = edge_profile(tables, Catalogue(plan.catalogue.tables, edges), plan.settings.max_children)
+    profile = edge_cardinality(tables, Catalogue(plan.catalogue.tables, edges))
     return profile.select("child", "parent", "declared", "observed", "max_children", strategy.alias("strategy"))
 
 
