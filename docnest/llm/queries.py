@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docnest.llm import fingerprints, mixing, quality, sharding
+from docnest.llm import fingerprints, mixing, neardup, quality, sharding
 from docnest.llm.frames import table
 
 SHARDS = 40
@@ -21,6 +21,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shingle count and the component of its near copies."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
@@ -41,5 +46,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op6_fingerprints, op7_mixing, op10_quality)
+    f.__name__: f for f in (op1_sharding, op3_neardup, op6_fingerprints, op7_mixing, op10_quality)
 }

@@ -1,0 +1,176 @@
+"""Secret scans by assignment-aware lexing.
+
+Two passes over a text. The first finds fixed shapes: a sensitive word assigned a value, access keys, long hexadecimal
+runs. The second reads source and configuration syntax (``name = "literal"``, ``name: 'literal'``, ``"name": "literal"``,
+``name := literal``, ``name => literal``, ``NAME=bare``) into pairs of a name and a value. A value is a literal, several literals joined by
+``+``, or another name; names carry their literals on, so ``K = "..."; api_secret = K`` finds the literal of K. A literal is a
+secret when the best sensitive name it reaches and its own look score SECRET or more.
+
+Offsets count code points, ends are exclusive. Defined results: null and empty texts have no spans; equal spans of one
+kind are listed once.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Fixed patterns of the base scan. The third value is the least length, the fourth the group that has it.
+KINDS = ("assign", "access", "hex", "literal")
+BASE = (
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8, 2),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 16, 0),
+    ("hex", re.compile(r"[0-9a-f]+"), 32, 0),
+)
+#: What a text must hold before a pattern is run over it; lower case.
+_HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",)}
+_NOT_HEX = bytes(32 if chr(c) not in "0123456789abcdef" else 120 for c in range(256))
+
+#: Sensitive parts of names and their scores.
+SENSITIVE = {
+    "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "secrets": 3, "token": 3, "apikey": 3,
+    "credential": 3, "credentials": 3, "privatekey": 3, "accesskey": 3, "secretkey": 3, "authkey": 3,
+    "signature": 1, "auth": 2, "bearer": 2, "salt": 2, "pass": 2, "key": 1, "private": 1, "access": 1, "api": 1, "encryption": 1, "signing": 1,
+}
+SECRET = 5
+_PLACEHOLDER = re.compile(r"^(?:change_?me.*|your[_-].*|example.*|placeholder|none|null|true|false|undefined|x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$", re.I)
+
+_NAME = r"""(?P<name>"[\w.\- ]{1,80}"|'[\w.\- ]{1,80}'|[A-Za-z_$][\w.\-$]{0,120})"""
+_LITERAL = r"""(?:"(?:[^"\\\n]|\\.){0,4000}"|'(?:[^'\\\n]|\\.){0,4000}')"""
+_ASSIGNED = re.compile(
+    rf"""(?<![\w$]){_NAME}[ \t]{{0,20}}(?::[ \t]{{0,4}}[A-Za-z_][\w.\[\], ]{{0,40}}?[ \t]{{0,4}}(?==))?(?::=|=>|=(?!=)|:(?!:|//))[ \t]{{0,20}}"""
+    rf"""(?P<value>{_LITERAL}(?:[ \t]*\+?[ \t]*{_LITERAL})*|[^\s"'`;,(){{}}\[\]<>]+)"""
+)
+_ONE_LITERAL = re.compile(_LITERAL)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+
+Span = tuple[str, int, int]
+
+
+def base_spans(text: str) -> list[Span]:
+    """Spans of the fixed shapes, by kind."""
+    found: list[Span] = []
+    low = text.lower()
+    for kind, pattern, least, group in BASE:
+        if kind in _HINTS and not any(h in low for h in _HINTS[kind]):
+            continue
+        if kind == "hex" and b"x" * least not in text.encode("utf-8", "replace").translate(_NOT_HEX):
+            continue
+        found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+    return found
+
+
+def name_score(name: str) -> int:
+    """How sensitive a name is: its best part, or the sum of two weak neighbours such as access and key."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    pairs = [SENSITIVE.get(a, 0) + SENSITIVE.get(b, 0) for a, b in zip(parts, parts[1:], strict=False)]
+    return min(3, max([0, *pairs, *(SENSITIVE.get(p, 0) for p in parts), *(SENSITIVE.get(a + b, 0) for a, b in zip(parts, parts[1:], strict=False))]))
+
+
+def value_score(value: str) -> int:
+    """How much a literal looks like a secret: length, mixed characters, no prose, no placeholder."""
+    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+        return 0
+    counts = Counter(value)
+    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return 1 + (classes >= 2) + (entropy >= 3.0)
+
+
+def assigned_literals(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(target name, its literals as start, end, value) of every assignment, names already followed to literals."""
+    constants: dict[str, list[tuple[int, int, str]]] = {}
+    out = []
+    for m in _ASSIGNED.finditer(text):
+        name, value, at = m["name"].strip("\"'"), m["value"], m.start("value")
+        if value[0] in "\"'":
+            literals = [(at + x.start() + 1, at + x.end() - 1, x[0][1:-1]) for x in _ONE_LITERAL.finditer(value)]
+            if len(literals) > 1:  # joined parts are judged as the whole they make
+                whole = "".join(x[2] for x in literals)
+                literals = [(s, e, whole) for s, e, _ in literals]
+        elif value in constants:
+            literals = constants[value]
+        else:
+            bare = value.rstrip(".:")
+            literals = [(at, at + len(bare), bare)]
+        constants[name] = literals
+        out.append((name, literals))
+    return out
+
+
+def literal_spans(text: str) -> list[Span]:
+    """Literals that reach a sensitive name."""
+    if "=" not in text and ":" not in text:
+        return []
+    best: dict[tuple[int, int], int] = {}
+    for name, literals in assigned_literals(text):
+        score = name_score(name)
+        for start, end, value in literals if score else ():
+            looks = value_score(value)
+            if looks and end > start:
+                best[start, end] = max(best.get((start, end), 0), score + looks)
+    return [("literal", s, e) for (s, e), score in best.items() if score >= SECRET]
+
+
+def ordered(spans: list[Span]) -> list[Span]:
+    return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+def printed(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in ordered(spans))
+
+
+def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
+    """The text with every span, overlapping ones as one, replaced by ``mark``."""
+    out, at = [], 0
+    merged: list[list[int]] = []
+    for _, start, end in ordered(spans):
+        if merged and start < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    for start, end in merged:
+        out += [text[at:start], mark]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text in batch.column("text").to_pylist():
+            text = text or ""
+            base = base_spans(text)
+            counts = Counter(kind for kind, _, _ in base)
+            digest = hashlib.sha256(printed(base).encode()).hexdigest()
+            rows.append((counts["assign"], counts["access"], counts["hex"], digest, printed(base + literal_spans(text))))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        types = [pa.int64()] * 3 + [pa.string()] * 2
+        made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return asked.mapInArrow(_scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        clean = [t and redacted(t, base_spans(t) + literal_spans(t)) for t in texts]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(clean, batch.schema.field("text").type))
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with every secret replaced by a mark; all rows and columns stay."""
+    return docs.mapInArrow(_cleaned, docs.schema)
