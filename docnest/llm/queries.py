@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docnest.llm import fingerprints, mixing, neardup, quality, sharding
+from docnest.llm import fingerprints, html_text, mixing, neardup, packing, quality, secret_scan, sharding
 from docnest.llm.frames import table
 
 SHARDS = 40
@@ -26,6 +26,11 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every document and of its edited text."""
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
@@ -37,6 +42,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     rows = quality.quality(table(spark, sf_dir, "documents"))
@@ -46,5 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_neardup, op6_fingerprints, op7_mixing, op10_quality)
+    f.__name__: f for f in (
+        op1_sharding, op3_neardup, op5_html, op6_fingerprints, op7_mixing, op8_packing, op9_secrets, op10_quality,
+    )
 }
