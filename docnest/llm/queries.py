@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docnest.llm import fingerprints, html_text, mixing, neardup, packing, quality, secret_scan, sharding
+from docnest.llm import (
+    fingerprints,
+    html_text,
+    language_id,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 from docnest.llm.frames import table
 
 SHARDS = 40
 
 
+def fold(n: int) -> Column:
+    """The fold of a document: checksum of its printed id modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 40 shards of near equal bytes."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
@@ -21,11 +37,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    held = fold(3) == 1
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the component of its near copies."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from three quarters of the labels."""
+    held = fold(4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted")
+    )
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -62,6 +95,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op3_neardup, op5_html, op6_fingerprints, op7_mixing, op8_packing, op9_secrets, op10_quality,
+        op1_sharding, op2_language, op3_neardup, op4_toxicity, op5_html, op6_fingerprints, op7_mixing, op8_packing, op9_secrets,
+        op10_quality,
     )
 }
