@@ -30,9 +30,9 @@ from docnest.llm.subwords import WordTable, affixes, grams
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 3000
-SEQUENCES = 3000
+SEQUENCES = 2000
 SEQUENCE_WORDS = 40
-EPOCHS = 40
+EPOCHS = 30
 BUCKETS = 1 << 15
 LEXICON = 4000
 CHAIN = 64

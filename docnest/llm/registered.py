@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from docnest.llm.oracle import ORACLE
-from docnest.llm.queries import QUERIES
+import corpus_pipeline
+from docnest.llm import oracle, queries
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE = dict(oracle.ORACLE)
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
