@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docnest.session import shared_folder
 
@@ -40,6 +45,36 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, by way of the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "code"), "docnest.zip")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    files.deleteOnExit(path.getParent())
+    context.addPyFile(files.makeQualified(path).toString())
+    _SHIPPED.add(context.applicationId)
+
+
+def mapped(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` on executors that know this package."""
+    _ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

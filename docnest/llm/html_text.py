@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docnest.llm.frames import mapped
+
 # Fixed sets of HTML's element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
@@ -290,4 +292,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
     asked = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return asked.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
+    return mapped(asked, _extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docnest.llm.frames import LETTER, stored
+from docnest.llm.frames import LETTER, mapped, stored
 from docnest.llm.subwords import WordTable, affixes, grams
 
 SAMPLE_DOCS = 300
@@ -253,7 +254,7 @@ def _predicted(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def labelled(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row as ``row``, with lang_pred and score of its text."""
     asked = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
-    return asked.mapInArrow(_predicted(model), f"row {asked.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return mapped(asked, _predicted(model), StructType([asked.schema["row"], *StructType.fromDDL("lang_pred string, score double")]))
 
 
 def identify(docs: DataFrame, learn: Column) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docnest.llm.frames import stored
+from docnest.llm.frames import mapped, stored
 
 CAPACITY = 1024
 BLOCK = 128
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     run = _pieces(tokenizer or default_tokenizer(), capacity, block)
-    pieces = stored(asked.mapInArrow(run, f"doc_id {kind}, {_PIECE}"), "pieces")
+    pieces = stored(mapped(asked, run, f"doc_id {kind}, {_PIECE}"), "pieces")
     # one row per task
     tasks = pieces.groupBy("task").agg((F.max("nth") + 1).alias("n"))
     upto = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)

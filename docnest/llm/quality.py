@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docnest.llm.frames import SPACES, WordHashes, byte_values, shingle_hashes, stored
+from docnest.llm.frames import SPACES, WordHashes, byte_values, mapped, shingle_hashes, stored
 
 SYMBOLS = b"#*$%&|<>"
 REACH = 6
@@ -85,7 +85,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = [F.col(c).cast("string") for c in ("lang", "source", "text")]
-    return docs.select("doc_id", *named).mapInArrow(_measured, f"doc_id {kind}, lang string, source string, {_COUNTS}")
+    return mapped(docs.select("doc_id", *named), _measured, f"doc_id {kind}, lang string, source string, {_COUNTS}")
 
 
 def _per_thousand(part: str, whole: str) -> Column:

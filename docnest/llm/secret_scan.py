@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docnest.llm.frames import mapped
+
 # Fixed patterns of the base scan. The third value is the least length, the fourth the group that has it.
 KINDS = ("assign", "access", "hex", "literal")
 BASE = (
@@ -161,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return asked.mapInArrow(_scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return mapped(asked, _scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,4 +175,4 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret replaced by a mark; all rows and columns stay."""
-    return docs.mapInArrow(_cleaned, docs.schema)
+    return mapped(docs, _cleaned, docs.schema)

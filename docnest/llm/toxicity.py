@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docnest.llm.frames import stored
+from docnest.llm.frames import mapped, stored
 from docnest.llm.language_id import sampled
 from docnest.llm.subwords import WordTable, grams
 
@@ -197,4 +197,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return asked.mapInArrow(_scored(model), f"doc_id {kind}, score double")
+    return mapped(asked, _scored(model), f"doc_id {kind}, score double")
