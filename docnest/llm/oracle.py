@@ -1,5 +1,178 @@
-"""The same results in DuckDB's SQL, where SQL can express them."""
+"""The same results in DuckDB's SQL, where SQL can express them.
+
+Models, signatures with Spark's own hash, tokenizers and lexers are beyond SQL; those queries are tested by brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from docnest.llm import quality, sharding
+from docnest.llm.mixing import HASH_BITS
+
+WORD = r"[^\x20\x09-\x0D]+"
+SHARDS = 40
+
+OP1 = rf"""
+WITH RECURSIVE
+docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents
+),
+tbl AS (  -- the 256 remainders of a byte
+  SELECT list(r ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS r FROM range(256) x(b)
+  )
+),
+crc AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(size - 16), lambda i: ('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32
+  FROM docs, tbl
+),
+slots AS (
+  SELECT *, (('0x' || substr(md5(key), 1, 8))::BIGINT % {sharding.N_SLOTS})::INT AS virtual_slot,
+    (('0x' || substr(md5(key || ':' || size), 1, 8))::BIGINT % {sharding.LANES})::INT AS lane
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, 'text ' || text_crc32) AS key FROM crc)
+),
+lanes AS (SELECT virtual_slot, lane, sum(size)::BIGINT AS bytes, count(*) AS n FROM slots GROUP BY ALL),
+units AS (
+  SELECT virtual_slot, unit, sum(bytes)::BIGINT AS bytes FROM (
+    SELECT *, CASE WHEN sum(bytes) OVER (PARTITION BY virtual_slot) > sum(bytes) OVER () * ({sharding.SPLIT}::DOUBLE / {SHARDS}) THEN lane ELSE -1 END AS unit
+    FROM lanes)
+  GROUP BY ALL
+),
+ordered AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, virtual_slot, unit) AS nth FROM units),
+deal(nth, shard, loads) AS (
+  SELECT 0::BIGINT, NULL::INT, [0::BIGINT FOR x IN range({SHARDS})]
+  UNION ALL
+  SELECT o.nth, list_position(d.loads, list_min(d.loads))::INT - 1,
+    [CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN v + o.bytes ELSE v END FOR v, i IN d.loads]
+  FROM deal d JOIN ordered o ON o.nth = d.nth + 1
+),
+placed AS (SELECT virtual_slot, unit, shard FROM deal JOIN ordered USING (nth) WHERE shard IS NOT NULL)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY s.virtual_slot, lane, doc_id, text_crc32, size) - 1 AS slot,
+  NULL::INT AS grown_shard, s.virtual_slot
+FROM slots s JOIN placed p ON p.virtual_slot = s.virtual_slot AND (p.unit = -1 OR p.unit = s.lane)
+"""
+
+OP3 = rf"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE [concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) FOR i IN range(1, len(w) - 3)] END) AS s
+  FROM words
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(least.b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = d.doc_id
+"""
+
+OP7 = rf"""
+WITH rows AS (
+  SELECT doc_id, coalesce('a' || source, 'b') AS source_key, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, {HASH_BITS // 4}))::BIGINT AS hash
+  FROM documents
+),
+sizes AS (SELECT source_key, sum(size)::BIGINT AS source_size FROM rows GROUP BY 1),
+ranked AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source_key) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM sizes),
+filled AS (
+  SELECT *, cap / weight AS level, sum(cap) OVER upto AS capped, sum(weight) OVER () - sum(weight) OVER upto AS open, sum(source_size) OVER () * 1.5::DOUBLE AS total
+  FROM ranked WINDOW upto AS (ORDER BY cap / weight, source_key ROWS UNBOUNDED PRECEDING)
+),
+stops AS (SELECT *, capped + level * open <= total AS stops FROM filled),
+goal AS (
+  SELECT source_key, source_size, CASE WHEN stops THEN cap ELSE
+    (total - sum(CASE WHEN stops THEN cap ELSE 0 END) OVER ()) / (sum(CASE WHEN stops THEN 0 ELSE weight END) OVER ()) * weight END AS target
+  FROM stops
+),
+want AS (
+  SELECT *, target - rounds * source_size AS want
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS rounds FROM goal)
+),
+hashes AS (SELECT source_key, hash, sum(size) AS words FROM rows GROUP BY ALL),
+reached AS (SELECT *, sum(words) OVER (PARTITION BY source_key ORDER BY hash ROWS UNBOUNDED PRECEDING) AS reach FROM hashes),
+edge AS (
+  SELECT source_key, min_by(hash + CASE WHEN reach - want < want - (reach - words) THEN 1 ELSE 0 END, hash) AS threshold
+  FROM reached JOIN want USING (source_key) WHERE reach >= want GROUP BY 1
+)
+SELECT doc_id, size, source_size, target, (size * (rounds + CASE WHEN hash < threshold THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rows JOIN want USING (source_key) JOIN edge USING (source_key)
+"""
+
+
+def _measures(over: str) -> str:
+    return f"""[{{'m': 'mean_word', 'v': coalesce(word_chars * 1000 // {over}, 0)}}, {{'m': 'symbols', 'v': coalesce(n_symbols * 1000 // {over}, 0)}},
+      {{'m': 'dup_lines', 'v': coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0)}}, {{'m': 'repeats', 'v': coalesce(n_repeat_words * 1000 // {over}, 0)}}]"""
+
+
+def _fences(name: str, by: str, group: str) -> str:
+    """Quartiles and fences of the sketches per ``by``."""
+    return f"""
+{name} AS (
+  SELECT {group}, m, n, q3 + greatest(q3 - q1, q3 * {quality.SPREAD}::DOUBLE, {quality.FLOOR}) * {quality.REACH} AS high,
+    q1 - greatest(q3 - q1, q3 * {quality.SPREAD}::DOUBLE, {quality.FLOOR}) * {quality.REACH} AS low
+  FROM (
+    SELECT {group}, m, sum(n) AS n, min(bucket) FILTER (upto >= 0.25) AS q1, min(bucket) FILTER (upto >= 0.75) AS q3
+    FROM (SELECT *, sum(n) OVER (PARTITION BY {by} m ORDER BY bucket) / sum(n) OVER (PARTITION BY {by} m)::DOUBLE AS upto
+          FROM (SELECT {group}, m, bucket, sum(n) AS n FROM sketch GROUP BY ALL))
+    GROUP BY ALL)
+)"""
+
+
+OP10 = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+),
+windows AS (
+  SELECT r, i, concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)
+),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY 1),
+lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '{WORD}') GROUP BY 1
+),
+counts AS (
+  SELECT r, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(repeats.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM words LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)
+),
+measures AS (SELECT r, lang, source, unnest({_measures("nullif(n_words, 0)")}, recursive := true) FROM counts),
+sketch AS (
+  SELECT lang, source, m, (v >> low) << low AS bucket, count(*) AS n
+  FROM (SELECT lang, source, m, v, greatest(length(bin(v)) - {quality.SUB_BITS + 1}, 0)::BIGINT AS low FROM measures WHERE r IN (SELECT r FROM counts WHERE n_words > 0))
+  GROUP BY ALL
+),
+{_fences("fine", "lang, source,", "lang, source")},
+{_fences("mid", "lang,", "lang")},
+{_fences("whole", "", "1 AS one")},
+limits AS (
+  SELECT fine.lang, fine.source, fine.m,
+    CASE WHEN fine.n >= {quality.ENOUGH} THEN 'source' WHEN mid.n >= {quality.ENOUGH} THEN 'language' ELSE 'corpus' END AS level,
+    CASE WHEN fine.n >= {quality.ENOUGH} THEN fine.low WHEN mid.n >= {quality.ENOUGH} THEN mid.low ELSE whole.low END AS low,
+    CASE WHEN fine.n >= {quality.ENOUGH} THEN fine.high WHEN mid.n >= {quality.ENOUGH} THEN mid.high ELSE whole.high END AS high
+  FROM fine JOIN mid ON fine.m = mid.m AND fine.lang IS NOT DISTINCT FROM mid.lang JOIN whole ON fine.m = whole.m
+),
+judged AS (
+  SELECT r, any_value(level) AS level, bool_or(v > high OR x.m = 'mean_word' AND v < low) AS outside
+  FROM measures x JOIN limits l ON x.m = l.m AND x.lang IS NOT DISTINCT FROM l.lang AND x.source IS NOT DISTINCT FROM l.source GROUP BY 1
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outside, false) AS kept, level
+FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM counts) LEFT JOIN judged USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_sharding": OP1, "op3_neardup": OP3, "op7_mixing": OP7, "op10_quality": OP10}
