@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -27,7 +28,7 @@ def session(app: str, master: str | None = None, **settings: str) -> SparkSessio
 
 # One shuffle task should get about this much; more tasks than the cap cost more than they save.
 TASK_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_TASKS = 100_000
+MAX_SHUFFLE_TASKS = 2_000_000
 # Parquet columns grow by about this factor as shuffled rows.
 ROW_GROWTH = 3
 
@@ -52,6 +53,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"docnest-{purpose}-")

@@ -17,72 +17,60 @@ def moved(spark):
 
 
 def test_datasets_and_order(moved):
-    assert set(moved.datasets) == {
-        "departments", "employees", "projects", "employee_projects", "enrollments", "activity_logs"
-    }
-    order = moved.plan.order
-    assert order.index("employee_details") < order.index("employees") < order.index("departments")
+    assert set(moved.datasets) == {"soundings", "signals", "berths", "ships", "routes", "sailings"}
+    at = {t: i for i, t in enumerate(moved.plan.order)}
+    assert at["papers"] < at["ships"] < at["berths"]
 
 
-def test_employees(moved):
-    found = {r["id"]: r for r in rows(moved.documents["employees"])}
-    assert {i: r["subordinate_count"] for i, r in found.items()} == {1: 2, 2: 0, 3: 0}
-    assert [d["id"] for d in found[1]["recent_activity_logs"]] == [3, 2, 1]
-    assert [d["id"] for d in found[1]["activity_logs"]] == [3, 2]
-    assert {i: r["has_extras"] for i, r in found.items()} == {1: True, 2: False, 3: False}
-    assert [d["id"] for d in found[2]["activity_logs"]] == [4]
-    assert found[3]["activity_logs"] == [] and found[3]["recent_activity_logs"] == []
-    assert "employee_id" not in found[1]["activity_logs"][0]
-    assert found[3]["employee_details"] is None
-    details = found[1]["employee_details"]
-    assert details["id"] == 1 and [e["key"] for e in details["personal"]] == ["PESEL", "Data", "Bio"]
+def test_ships(moved):
+    found = {r["hull"]: r for r in rows(moved.documents["ships"])}
+    assert [found[h]["tows"] for h in (10, 20, 30, 40, 50)] == [0, 0, 3, 0, 0]
+    assert [s["seq"] for s in found[40]["recent_signals"]] == [5, 4, 3, 2]
+    assert [s["seq"] for s in found[40]["signals"]] == [5, 4, 3]
+    assert [s["seq"] for s in found[10]["signals"]] == [7, 6] and not found[10]["has_extras"] and found[40]["has_extras"]
+    assert set(found[40]["signals"][0]) == {"seq", "body"} and found[20]["signals"] == found[20]["recent_signals"] == []
+    assert found[20]["papers"] is None and found[10]["papers"]["folio"] == 8
+    assert [x["key"] for x in found[40]["papers"]["stamps"]] == ["issued", "flag state"]
+    assert [x["key"] for x in found[10]["papers"]["stamps"]] == ["issued"]
 
 
-def test_departments_nest_transformed_employees(moved):
-    found = {r["id"]: r for r in rows(moved.documents["departments"])}
-    assert {i: [e["id"] for e in r["employees"]] for i, r in found.items()} == {1: [1, 2], 2: [3], 3: []}
-    assert {i: r["employee_count"] for i, r in found.items()} == {1: 2, 2: 1, 3: 0}
-    inner = found[1]["employees"][0]
-    assert inner["subordinate_count"] == 2 and inner["employee_details"]["id"] == 1
-    assert "department_id" not in inner and inner["manager_id"] is None
+def test_berths_nest_ships_with_their_patterns(moved):
+    east, west = rows(moved.documents["berths"], "code")
+    assert [s["hull"] for s in east["ships"]] == [40, 50] and [s["hull"] for s in west["ships"]] == [10, 30]
+    assert (east["tonnage"], east["moored"], west["tonnage"], west["moored"]) == (710, 2, 790, 2)
+    assert west["ships"][1]["tows"] == 3 and west["ships"][1]["tug"] is None and "berth" not in west["ships"][1]
+    assert east["ships"][0]["papers"]["folio"] == 7
 
 
 def test_other_tables(moved):
-    assert [float(r["grade"]) for r in rows(moved.documents["enrollments"], "id")] == [5.0, 5.0, 4.0]
-    assert [r["participant_count"] for r in rows(moved.documents["projects"], "id")] == [2, 1]
-    assert [r["employee_id"] for r in rows(moved.documents["activity_logs"], "id")] == [1, 1, 1, 2]
-    stamp = rows(moved.documents["enrollments"], "id")[0]["enrolled_at"]
-    assert stamp.microsecond == 123000
+    depths = [r["depth"] for r in rows(moved.documents["soundings"], "no")]
+    assert [None if d is None else int(d) for d in depths] == [12, -4, None, 0]
+    assert rows(moved.documents["soundings"], "no")[0]["taken"].microsecond == 789000
+    assert {r["route"]: r["calls"] for r in rows(moved.documents["routes"])} == {"north": 3, "south": 1}
+    assert [r["sender"] for r in rows(moved.documents["signals"], "seq")] == [40] * 5 + [10, 10, None]
 
 
 @pytest.mark.parametrize("source", ["json", "parquet"])
 def test_written_and_reconciled(spark, moved, source, tmp_path):
     written = moved.write(spark, str(tmp_path), source)
     assert set(written) == set(moved.datasets)
-    assert {p.name for p in tmp_path.iterdir()} == {
-        "department", "employee", "project", "employee_project", "enrollment", "activity_log"
-    }
+    assert {p.name for p in tmp_path.iterdir()} == {"sounding", "signal", "berth", "ship", "route", "sailing"}
     back = read_documents(spark, str(tmp_path), moved.datasets, source)
-    summary = {r["table_name"]: r for r in rows(migration_summary(moved, back))}
-    assert summary["employees"] == {
-        "table_name": "employees", "rows_read": 3, "rows_nested": 3, "rows_orphaned": 0, "docs_written": 3
-    }
-    assert summary["employee_details"]["docs_written"] is None and summary["employee_details"]["rows_nested"] == 2
+    summary = {r.pop("table_name"): r for r in rows(migration_summary(moved, back))}
+    assert summary["ships"] == {"rows_read": 5, "rows_nested": 4, "rows_orphaned": 1, "docs_written": 5}
+    assert summary["papers"] == {"rows_read": 3, "rows_nested": 3, "rows_orphaned": 0, "docs_written": None}
     overview = {r["dataset"]: r for r in rows(target_overview(spark, back, 2))}
-    assert overview["activity_log"]["documents"] == 4 and len(overview["activity_log"]["samples"]) == 2
-    sample = json.loads(overview["employee"]["samples"][0])
-    assert "employee_details" in sample
+    assert overview["signal"]["documents"] == 8 and len(overview["signal"]["samples"]) == 2
+    assert "papers" in json.loads(overview["ship"]["samples"][0])
 
 
 def test_json_keeps_nulls_and_variants(spark, moved, tmp_path):
     moved.write(spark, str(tmp_path))
-    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/department").collect()]
-    assert all("location" in d for d in lines) and any(d["location"] is None for d in lines)
-    projects = {d["id"]: d for d in (json.loads(r.value) for r in spark.read.text(f"{tmp_path}/project").collect())}
-    assert projects[1]["metadata"] == {"budget": 100000, "tags": ["a", "b"]}
-    assert projects[2]["metadata"] == "not json"
-    grades = [json.loads(r.value)["grade"] for r in spark.read.text(f"{tmp_path}/enrollment").collect()]
-    assert sorted(grades) == [4.0, 5.0, 5.0]
+    read = lambda name: [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/{name}").collect()]
+    assert {d["code"]: d["metres"] for d in read("berth")} == {"B-east": 120, "B-west": None}
+    charts = {d["route"]: d["chart"] for d in read("route")}
+    assert charts == {"north": {"legs": [3, 5]}, "south": "{oops"}
+    assert sorted(d["depth"] for d in read("sounding") if d["depth"] is not None) == [-4.0, 0.0, 12.0]
 
 
 def test_staged_run_gives_the_same_documents(spark, moved):
@@ -97,21 +85,21 @@ def test_staged_run_gives_the_same_documents(spark, moved):
 
 
 def test_empty_table_leaves_no_dataset(spark, tmp_path):
-    catalogue = Catalogue.of([TableSpec("users", "id"), TableSpec("empty_table", "id")])
-    tables = {"users": spark.range(2), "empty_table": spark.range(0)}
-    assert migrate({**tables, "empty_table": spark.range(1)}, catalogue).write(spark, str(tmp_path)) == ["users", "empty_table"]
-    assert migrate(tables, catalogue).write(spark, str(tmp_path)) == ["users"]
-    assert {p.name for p in tmp_path.iterdir()} == {"user"}
+    catalogue = Catalogue.of([TableSpec("lamps", "id"), TableSpec("blanks", "id")])
+    tables = {"lamps": spark.range(2), "blanks": spark.range(0)}
+    assert migrate({**tables, "blanks": spark.range(1)}, catalogue).write(spark, str(tmp_path)) == ["lamps", "blanks"]
+    assert migrate(tables, catalogue).write(spark, str(tmp_path)) == ["lamps"]
+    assert {p.name for p in tmp_path.iterdir()} == {"lamp"}
 
 
 def test_names_must_not_collide(spark, tmp_path):
-    catalogue = Catalogue.of([TableSpec("user", "id"), TableSpec("users", "id")])
+    catalogue = Catalogue.of([TableSpec("lamp", "id"), TableSpec("lamps", "id")])
     with pytest.raises(PlanError):
-        migrate({"user": spark.range(1), "users": spark.range(1)}, catalogue).write(spark, str(tmp_path))
+        migrate({"lamp": spark.range(1), "lamps": spark.range(1)}, catalogue).write(spark, str(tmp_path))
 
 
 def test_capped_array_needs_reference(spark):
-    settings = Settings(patterns={"employees": [Outlier("activity_logs", 2)]})
+    settings = Settings(patterns={"ships": [Outlier("signals", 2)]})
     with pytest.raises(PlanError, match="REFERENCE"):
         migrate(seed.tables(spark), seed.CATALOGUE, settings)
 
@@ -160,21 +148,18 @@ def test_cycle_is_broken_and_no_rows_are_lost(spark):
 
 def test_junction_payload_in_a_plan(spark):
     catalogue = Catalogue.of(
-        [TableSpec("students", "id"), TableSpec("courses", "id"), TableSpec("enrollments", "id")],
-        [
-            Edge("enrollments", "student_id", "students", "id", "MANY_TO_MANY"),
-            Edge("enrollments", "course_id", "courses", "id", "MANY_TO_MANY"),
-        ],
+        [TableSpec("bands", "id"), TableSpec("halls", "id"), TableSpec("gigs", "id")],
+        [Edge("gigs", "band", "bands", "id", "MANY_TO_MANY"), Edge("gigs", "hall", "halls", "id", "MANY_TO_MANY")],
     )
     tables = {
-        "students": spark.range(1, 3),
-        "courses": spark.range(1, 2),
-        "enrollments": spark.sql("SELECT * FROM VALUES (1L,1L,1L,'A'),(2L,2L,1L,'B') AS t(id,student_id,course_id,grade)"),
+        "bands": spark.range(5, 7),
+        "halls": spark.range(9, 10),
+        "gigs": spark.sql("SELECT * FROM VALUES (3L,5L,9L,40.5D),(4L,6L,9L,0.0D) AS t(id,band,hall,fee)"),
     }
     moved = migrate(tables, catalogue)
-    assert rows(moved.documents["students"], "id")[0]["students"] == [{"id": 1, "grade": "A"}]
-    assert rows(moved.documents["courses"])[0]["courses"] == [{"id": 1, "grade": "A"}, {"id": 2, "grade": "B"}]
-    assert moved.plan.written == ["students", "courses"]
+    assert rows(moved.documents["bands"], "id")[0]["bands"] == [{"id": 3, "fee": 40.5}]
+    assert rows(moved.documents["halls"])[0]["halls"] == [{"id": 3, "fee": 40.5}, {"id": 4, "fee": 0.0}]
+    assert moved.plan.written == ["bands", "halls"]
 
 
 def test_child_patterns_show_in_the_nest_and_totals_read_raw_rows(spark):
@@ -213,6 +198,5 @@ def test_custom_pattern_runs_after_the_others(spark):
 
 def test_relationship_map_shows_resolved_strategies(spark, moved):
     found = {(r["child"], r["parent"]): r for r in rows(relationship_map(moved.raw, moved.plan))}
-    assert found["employees", "employees"]["strategy"] == "REFERENCE"
-    assert found["employee_details", "employees"]["declared"] == "ONE_TO_ONE"
-    assert found["employees", "departments"]["strategy"] == "EMBED"
+    assert found["ships", "ships"]["strategy"] == "REFERENCE" and found["ships", "berths"]["strategy"] == "EMBED"
+    assert found["papers", "ships"]["declared"] == "ONE_TO_ONE" and found["signals", "ships"]["max_children"] == 5

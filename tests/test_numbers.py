@@ -19,18 +19,18 @@ def one(spark, kind, value, step, wide=False):
     ("kind", "value", "step", "expected"),
     [
         ("int", 40123, 100, 40100),
-        ("int", 40150, 100, 40200),
-        ("int", -25, 10, -30),
+        ("int", 7350, 100, 7400),
+        ("int", -45, 10, -50),
         ("int", 53, 10, 50),
         ("smallint", 7, 5, 5),
-        ("bigint", 40150, 100, 40200),
-        ("double", 87.5, 10, 90.0),
-        ("double", 36.7, 5, 35.0),
-        ("float", 36.7, 5, 35.0),
+        ("bigint", 7350, 100, 7400),
+        ("double", 64.25, 10, 60.0),
+        ("double", 18.3, 5, 20.0),
+        ("float", 18.3, 5, 20.0),
         ("decimal(10,2)", Decimal("149.99"), 100, Decimal(100)),
         ("decimal(38,18)", Decimal("149.999999999999999999"), 100, Decimal(100)),
         ("string", "123.456", 10, "120"),
-        ("string", " 125 ", 10, "130"),
+        ("string", " 95 ", 10, "100"),
         ("string", "1.25e2", 10, "130"),
         ("string", "149." + "9" * 30, 100, "100"),
         ("string", "about 7", 10, "about 7"),

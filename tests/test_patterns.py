@@ -68,22 +68,22 @@ def test_unknown_sum_column_fails_when_planned(spark):
         p.computed(parents(spark), child, pk="id", fk="parent_id", field="t", function="SUM", column="nope")
 
 
-MOVIE = ("title string, release_US string, release_France string, release_Italy string",)
+PUMP = "pump string, bar_spring string, bar_autumn string, bar_winter string"
 
 
 def test_attribute_folds_and_drops(spark):
-    df = spark.createDataFrame([("A", "1977-05-25", None, "1977-10-20")], MOVIE[0])
-    mapping = {"release_US": "USA", "release_France": "France", "release_Italy": "Italy", "release_Spain": "Spain"}
-    assert rows(p.attribute(df, Attribute("releases", mapping))) == [
-        {"title": "A", "releases": [{"key": "USA", "value": "1977-05-25"}, {"key": "Italy", "value": "1977-10-20"}]}
+    df = spark.createDataFrame([("p-4", None, "3.5", "2.25")], PUMP)
+    mapping = {"bar_winter": "w", "bar_spring": "s", "bar_summer": "u", "bar_autumn": "a"}
+    assert rows(p.attribute(df, Attribute("pressures", mapping))) == [
+        {"pump": "p-4", "pressures": [{"key": "w", "value": "2.25"}, {"key": "a", "value": "3.5"}]}
     ]
 
 
 def test_attribute_edges(spark):
-    df = spark.createDataFrame([("A", None, None, None)], MOVIE[0])
-    again = [("release_US", "USA"), ("release_us", "again"), ("broken",), ("", "x"), 5]
-    got = p.attribute(df, Attribute("title", again))  # replaces a field of that name, in place
-    assert got.columns == ["title", "release_France", "release_Italy"] and got.first()["title"] == []
+    df = spark.createDataFrame([("p-4", None, None, None)], PUMP)
+    again = [("bar_spring", "s"), ("BAR_spring", "again"), ("broken",), ("", "x"), 5]
+    got = p.attribute(df, Attribute("pump", again))  # replaces a field of that name, in place
+    assert got.columns == ["pump", "bar_autumn", "bar_winter"] and got.first()["pump"] == []
     assert p.attribute(df, Attribute("none", {})).first()["none"] == []
 
 
