@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -36,6 +37,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Like :func:`stored`, and dealt out by ``column``: later joins on it do not shuffle the table again."""
+    spark = df.sparkSession
+    folder, n = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entry = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.repartition(n, column).write.format("parquet").option("path", folder).bucketBy(n, column).saveAsTable(entry)
+    table = spark.table(entry).select("*")
+    spark.sql(f"DROP TABLE {entry}")  # the catalogue forgets it; the files stay until the end, and the plan has them
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`stored` that nothing will read again."""
     for df in tables:

@@ -265,7 +265,7 @@ def _chosen(every: list[Element]) -> list[Element]:
     for x in best.parent.inside:
         if isinstance(x, str) or x.gone:
             continue
-        alike = x.scored and x.points >= max(10, best.points * 0.2)
+        alike = x.scored and x.points >= min(max(10, best.points * 0.2), best.points * 0.5)
         text = "".join(_strings(x)) if x.tag == "p" else ""
         prose = x.tag == "p" and (x.length > 80 and x.density() < 0.25 or x.links == 0 and bool(_PROSE.search(text)))
         if x is best or alike or prose or x.tag in ("h1", "h2", "h3", "blockquote", "pre") and x.density() < 0.5:

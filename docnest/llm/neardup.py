@@ -7,8 +7,8 @@
    probability of a similarity of 0.75 or more, given the matches so far, falls under MISS.
 3. Survivors are verified on their full shingle sets: each node with its likeliest partner first, then pairs whose
    ends are still in different components.
-4. What is left in a bucket are pairs across components. They are compared by signature block by block, inside
-   tasks; survivors are verified the same way.
+4. What is left in a bucket are pairs between its largest component and strays, and between strays. They go block by block
+   through the same comparison and verification inside a task, which reports only links that join components.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**ROWS)**BANDS = 2e-5, less for likelier pairs.
 
@@ -18,18 +18,19 @@ texts are linked only by their texts. A null id never names a component unless a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docnest.llm.components import components
-from docnest.llm.frames import WordHashes, byte_values, discard, shingle_hashes, stored
+from docnest.llm.frames import WordHashes, bucketed, byte_values, discard, mapped, shingle_hashes, stored
 
 BANDS = 40
 ROWS = 5
@@ -38,7 +39,7 @@ BATCH = 20
 #: Similarity of a link, in hundredths.
 SIMILAR = 75
 #: A pair goes on while a link is at least this likely.
-MISS = 1e-6
+MISS = 1e-5
 #: Members of a block when what is left of a bucket is compared.
 BLOCK = 512
 #: Shingles hashed at once.
@@ -64,34 +65,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sign: np.ndarray) -> list[int]:
-    """One signed 64-bit key per band."""
-    raw = sign.tobytes()
-    width = 4 * ROWS
-    keys = [xxhash.xxh3_64_intdigest(raw[b * width : (b + 1) * width], seed=b + 1) for b in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def band_keys(sign: Column) -> Column:
+    """One key per band of a stored signature; the last six bits of a key are its band."""
+    width = 2 * ROWS
+    part = lambda b: F.xxhash64(F.substring(sign, width * b + 1, width), F.lit(b))
+    return F.array(*[F.expr("~63L").bitwiseAND(part(b)).bitwiseOR(F.lit(b)) for b in range(BANDS)])
 
 
-_HASHED = "n_shingles long, set_key binary, sign binary, bands array<long>"
+_HASHED = "n_shingles long, set_key binary, sign binary"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        sizes, keys, signs, bands = [], [], [], []
+        sizes, keys, signs = [], [], []
         for text in byte_values(batch.column("doc").field("text")):
             shingles = shingle_set(text, hashes)
             sizes.append(len(shingles))
             keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            if len(shingles):
-                sign = signature(shingles)
-                signs.append(sign.astype(np.uint16).tobytes())
-                bands.append(band_keys(sign))
-            else:
-                signs.append(None)
-                bands.append([])
-        made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), *made], names=["doc", "n_shingles", "set_key", "sign", "bands"])
+            signs.append(signature(shingles).astype(np.uint16).tobytes() if len(shingles) else None)
+        made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *made], names=["doc", "n_shingles", "set_key", "sign"])
 
 
 @cache
@@ -137,14 +131,20 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*ends, pa.array(matches, pa.int32())], names=["u", "v", "matches"])
 
 
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets are similar enough, exactly."""
+    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= SIMILAR * (len(a) + len(b) - shared)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         keep = []
         for left, right in zip(byte_values(batch.column("text_u")), byte_values(batch.column("text_v")), strict=True):
-            a, b = shingle_set(left, hashes), shingle_set(right, hashes)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * shared >= SIMILAR * (len(a) + len(b) - shared))
+            keep.append(linked(shingle_set(left, hashes), shingle_set(right, hashes)))
         ends = [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")]
         yield pa.RecordBatch.from_arrays(ends, names=["u", "v"])
 
@@ -157,7 +157,7 @@ def _with_ends(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) that are links, by their full sets."""
-    return stored(_with_ends(pairs.select("u", "v"), nodes, "text").mapInArrow(_linked, "u long, v long"), "links")
+    return stored(mapped(_with_ends(pairs.select("u", "v"), nodes, "text"), _linked, "u long, v long"), "links")
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -168,73 +168,116 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("root_u <> root_v")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs across components in one block pair; rows of a block pair arrive together, ordered."""
-
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        node = np.array([r[0] for r in rows], np.int64)
-        root = np.array([r[1] for r in rows], np.int64)
-        side = np.array([r[2] for r in rows], np.int8)  # 0: left, 1: right, 2: both
-        sign = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, BANDS * ROWS)
-        us, vs = [], []
-        for i in range(len(rows)):
-            if side[i] == 1:
-                continue
-            others = np.arange(i + 1, len(rows)) if side[i] == 2 else np.flatnonzero(side == 1)
-            others = others[root[others] != root[i]]
-            kept, _ = bayes(np.broadcast_to(sign[i], (len(others), BANDS * ROWS)), sign[others])
-            us.append(np.full(len(kept), node[i]))
-            vs.append(node[others[kept]])
-        return (np.concatenate(us) if us else node[:0]), (np.concatenate(vs) if vs else node[:0])
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        u, v = compare(rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+def _links_between(rows: list[tuple], key: int, hashes: WordHashes) -> list[tuple[int, int]]:
+    """Links that join components, among the rows (node, root, side, sign, text) of a group of bucket ``key``.
+
+    Side 0 is a block of members, side 1 a block of strays. A pair counts in the first bucket its ends share only; once
+    two components are joined, no more of their pairs are looked at.
+    """
+    node = np.array([r[0] for r in rows], np.int64)
+    root = np.array([r[1] for r in rows], np.int64)
+    side = np.array([r[2] for r in rows], np.int8)
+    sign = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, BANDS * ROWS)
+    bands = sign.reshape(-1, BANDS, ROWS)
+    band = key & 63
+    sets: dict[int, np.ndarray] = {}
+    joined: dict[int, int] = {}
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set((rows[i][4] or "").encode("utf-8", "replace"), hashes)
+        return sets[i]
+
+    def top(r: int) -> int:
+        while r in joined:
+            r = joined[r]
+        return r
+
+    out = []
+    left = np.flatnonzero(side == 0)
+    for i in np.flatnonzero(side == 1):
+        others = left[root[left] != root[i]]
+        kept, matches = bayes(np.broadcast_to(sign[i], (len(others), BANDS * ROWS)), sign[others])
+        others = others[kept]
+        mine = (bands[others] == bands[i]).all(axis=2).argmax(axis=1) == band
+        others, matches = others[mine], matches[mine]
+        for j in others[np.argsort(-matches, kind="stable")].tolist():
+            a, b = top(int(root[i])), top(int(root[j]))
+            if a != b and linked(set_of(int(i)), set_of(j)):
+                joined[max(a, b)] = min(a, b)
+                out.append((int(node[i]), int(node[j])))
+    return out
 
+
+def _grouped_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every group; the rows of a group arrive one after another."""
+
+    def out(key: int, rows: list[tuple]) -> pa.RecordBatch:
+        found = _links_between(rows, key, hashes)
+        ends = [pa.array([f[e] for f in found], pa.int64()) for e in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+
+    hashes = WordHashes()
     held, rows = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "root", "side", "sign")]
+        columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "node", "root", "side", "sign", "text")]
         for key, low, high, *row in zip(*columns, strict=True):
             if (key, low, high) != held:
                 if rows:
-                    yield out(rows)
+                    yield out(held[0], rows)
                 held, rows = (key, low, high), []
             rows.append(tuple(row))
     if rows:
-        yield out(rows)
+        yield out(held[0], rows)
 
 
-def leftover_pairs(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs (u, v) across components in one bucket.
+def leftover_links(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between the components that share a bucket.
 
-    A bucket of n members is cut into n / BLOCK blocks, and every pair of blocks is one group of at most 2 * BLOCK rows.
+    Strays are the members outside the largest component of their bucket. Members and strays are dealt into blocks of
+    about BLOCK / 2, and a block of members with a block of strays is one group: a bucket of n members with s strays
+    makes about n * s comparisons in groups of bounded size, whatever n is.
     """
     now = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
-    count = F.ceil(F.col("n") / (BLOCK / 2)).cast("int")  # half full on average, so that few blocks exceed BLOCK
-    own = F.pmod(F.xxhash64("node", F.lit(7)), count).cast("int")
-    dealt = now.join(open_, "key").select("key", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root", side.alias("side"))
-    rows = dealt.join(nodes.select("node", "sign"), "node")
+    shares = now.groupBy("key", "root").agg(F.count("*").alias("n"))
+    half = BLOCK // 2
+    open_ = (
+        shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        .where("most < n")
+        .select("key", "main", F.ceil(F.col("n") / half).cast("int").alias("lows"), F.ceil((F.col("n") - F.col("most")) / half).cast("int").alias("highs"))
+    )
+    dealt = now.join(open_, "key").withColumn("turn", F.xxhash64("node", F.lit(7)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.select("key", F.pmod("turn", "lows").cast("int").alias("low"), every("highs").alias("high"), "node", "root", F.lit(0).alias("side"))
+    strays = dealt.where("root <> main")
+    right = strays.select("key", every("lows").alias("low"), F.pmod("turn", "highs").cast("int").alias("high"), "node", "root", F.lit(1).alias("side"))
+    rows = left.unionByName(right).join(nodes.select("node", "sign", "text"), "node")
     grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return grouped.select("key", "low", "high", "node", "root", "side", "sign").mapInArrow(_blocks, "u long, v long").distinct()
+    asked = grouped.select("key", "low", "high", "node", "root", "side", "sign", "text")
+    return mapped(asked, _grouped_links, "u long, v long")
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v, matches) of every node, the one with most matches."""
+    ends = pairs.select("u", "v", "matches", F.explode(F.array("u", "v")).alias("node"))
+    best = ends.groupBy("node").agg(F.max_by(F.struct("u", "v"), F.struct("matches", "v")).alias("p"))
+    return best.select("p.u", "p.v").distinct()
 
 
 def row_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): ``rows`` are the documents with row number, set_key, n_shingles and the whole row as ``doc``;
     ``sets`` has set_key, component_id and ``first_row``, the one row of its component that stays."""
     asked = docs.select(F.struct(*docs.columns).alias("doc"))
-    hashed = asked.mapInArrow(_hashed, f"doc {asked.schema['doc'].dataType.simpleString()}, {_HASHED}")
-    rows = stored(hashed.withColumn("row", F.monotonically_increasing_id()), "shingled")
-    return rows, set_components(rows.select("row", "doc.doc_id", "doc.text", "n_shingles", "set_key", "sign", "bands"))
+    hashed = mapped(asked, _hashed, StructType([asked.schema["doc"], *StructType.fromDDL(_HASHED)]))
+    rows = bucketed(hashed.withColumn("row", F.monotonically_increasing_id()), "row", "shingled")
+    return rows, set_components(rows.select("row", "doc.doc_id", "doc.text", "n_shingles", "set_key", "sign"))
 
 
 def set_components(rows: DataFrame) -> DataFrame:
     """set_key, component_id, first_row of every distinct non-empty set."""
     whole = rows.where("n_shingles > 0")
     sets = stored(whole.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id")), "sets")
-    bands = rows.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.explode("bands").alias("key"))
+    bands = rows.join(sets.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.explode(band_keys(F.col("sign"))).alias("key"))
     bands = stored(bands, "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(bands.join(shared, "key"), "buckets")
@@ -247,17 +290,15 @@ def set_components(rows: DataFrame) -> DataFrame:
     centres = members.groupBy("key").agg(F.min_by("node", turn(10)).alias("a"), F.min_by("node", turn(20)).alias("b"))
     pairs = members.join(centres, "key").select("node", F.explode(F.array("a", "b")).alias("centre")).where("node <> centre")
     pairs = pairs.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-    likely = stored(_with_ends(pairs, nodes, "sign").mapInArrow(_likely, "u long, v long, matches int"), "likely")
+    likely = stored(mapped(_with_ends(pairs, nodes, "sign"), _likely, "u long, v long, matches int"), "likely")
 
-    ends = likely.select("u", "v", "matches", F.explode(F.array("u", "v")).alias("node"))
-    best = ends.groupBy("node").agg(F.max_by(F.struct("u", "v"), F.struct("matches", "v")).alias("p")).select("p.u", "p.v").distinct()
+    best = likeliest(likely)
     links = verified(best, nodes)
     roots = stored(components(links), "roots")
     rest = likely.select("u", "v").join(best, ["u", "v"], "left_anti")
     links = links.unionByName(verified(_rooted(rest, roots), nodes))
     roots = stored(components(links), "roots")
-    left = stored(leftover_pairs(members, roots, nodes).join(likely, ["u", "v"], "left_anti"), "leftover")
-    links = links.unionByName(verified(left, nodes))
+    links = links.unionByName(stored(leftover_links(members, roots, nodes), "links"))
     roots = stored(components(links), "roots")
 
     named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -280,6 +321,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns: one of each component, and every row without words."""
     rows, sets = row_components(docs)
-    stay = rows.where("n_shingles > 0").select("row", "set_key").join(sets.select("set_key", F.col("first_row").alias("row")), ["set_key", "row"])
-    stay = stay.select("row").unionByName(rows.where("n_shingles = 0").select("row"))
+    stay = sets.select(F.col("first_row").alias("row")).unionByName(rows.where("n_shingles = 0").select("row"))
     return rows.join(stay, "row").select("doc.*")
