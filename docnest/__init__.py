@@ -1,6 +1,6 @@
 """Relational tables to nested document datasets, on Spark."""
 
-from docnest.operators.nest import embed_junction, embed_levels, embed_many, embed_one
+from docnest.operators.nest import embed_chunks, embed_junction, embed_levels, embed_many, embed_one
 from docnest.operators.patterns import (
     Approximation,
     Attribute,
@@ -16,6 +16,6 @@ from docnest.plans.model import EMBED, REFERENCE, Catalogue, Edge, PlanError, Se
 
 __all__ = [
     "EMBED", "REFERENCE", "Approximation", "Attribute", "Catalogue", "Computed", "Custom", "Edge", "Migration",
-    "Outlier", "PlanError", "Settings", "Subset", "TableSpec", "apply_patterns", "embed_junction", "embed_levels",
+    "Outlier", "PlanError", "Settings", "Subset", "TableSpec", "apply_patterns", "embed_chunks", "embed_junction", "embed_levels",
     "embed_many", "embed_one", "migrate", "plan_for", "register_pattern",
 ]

@@ -80,8 +80,12 @@ def common_key_type(left: T.DataType, right: T.DataType) -> T.DataType:
         scale = max(getattr(t, "scale", 0) for t in (left, right))
         whole = max(d or t.precision - t.scale for d, t in zip(digits, (left, right), strict=True))
         return T.DecimalType(min(38, whole + scale), scale)
-    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
+    floats = (T.FloatType, T.DoubleType)
+    if isinstance(left, floats) and isinstance(right, floats):
         return T.DoubleType()
+    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
+        # Exact on both sides: as doubles, large whole numbers would meet their neighbours.
+        return T.DecimalType(38, max(getattr(t, "scale", 0) for t in (left, right)))
     temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
     if isinstance(left, temporal) and isinstance(right, temporal):
         return T.TimestampType()
@@ -89,4 +93,17 @@ def common_key_type(left: T.DataType, right: T.DataType) -> T.DataType:
 
 
 def as_type(col: Column, current: T.DataType, wanted: T.DataType) -> Column:
-    return col if current == wanted else col.cast(wanted)
+    """A key in the compared type. A float that is no such decimal becomes null and matches nothing; a number that meets
+    text is written without an exponent and without zeros after its last digit."""
+    if current == wanted:
+        return col
+    if isinstance(current, (T.FloatType, T.DoubleType)) and isinstance(wanted, T.DecimalType):
+        made = col.try_cast(wanted)
+        return F.when(made.cast("double") == col.cast("double"), made)
+    if isinstance(wanted, T.StringType):
+        if isinstance(current, (T.FloatType, T.DoubleType)):
+            whole = col.try_cast("decimal(38,0)")
+            return F.when(whole.cast("double") == col.cast("double"), whole.cast("string")).otherwise(col.cast("string"))
+        if isinstance(current, T.DecimalType) and current.scale:
+            return F.regexp_replace(F.regexp_replace(col.cast("string"), "0+$", ""), "[.]$", "")
+    return col.cast(wanted)

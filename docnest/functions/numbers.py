@@ -56,11 +56,30 @@ def _whole_result(total: Column, wide: bool, what: str) -> tuple[Column, T.DataT
     return F.when(lost, _fail(f"{what} is out of BIGINT range; ask for a wide result")).otherwise(small), T.LongType()
 
 
+def _fitted(value: Column, is_number: Column, scale: int, what: str) -> tuple[Column, Column]:
+    """A printed number as (decimal with all its places, decimal with ``scale`` places): the second only for values
+    too large for the first. Nothing is rounded before it is added."""
+    places = max(scale, DEFAULT_SCALE)
+    fine = F.when(is_number, value.try_cast(T.DecimalType(37, places)))
+    coarse = F.when(is_number & fine.isNull(), value.try_cast(T.DecimalType(37, min(scale, 4))))
+    lost = is_number & fine.isNull() & coarse.isNull()
+    return fine, F.when(lost, _fail(f"{what}: a value does not fit a decimal")).otherwise(coarse)
+
+
+def _added(sums: list[Column], scale: int, what: str) -> tuple[Column, T.DataType]:
+    """Sums of decimals, each null when nothing was in it, as one total that is rounded once."""
+    result = T.DecimalType(38, scale)
+    rounded = [F.when(s.isNotNull() & s.try_cast(result).isNull(), _fail(f"{what}: the sum is out of range")).otherwise(s) for s in sums]
+    fine, coarse = rounded
+    both = F.try_add(fine.try_cast(result), coarse.try_cast(result))
+    lost = fine.isNotNull() & coarse.isNotNull() & both.isNull()
+    total = F.when(lost, _fail(f"{what}: the sum is out of range")).when(coarse.isNull(), fine.try_cast(result))
+    return total.when(fine.isNull(), coarse.try_cast(result)).otherwise(both), result
+
+
 def _parsed_total(text: Column, is_number: Column, scale: int, what: str) -> tuple[Column, T.DataType]:
-    kind = T.DecimalType(38, scale)
-    value = F.when(is_number, text.try_cast(kind))
-    checked = F.when(is_number & value.isNull(), _fail(f"{what}: a value does not fit {kind.simpleString()}"))
-    return _decimal_total(checked.otherwise(value), what), kind
+    fine, coarse = _fitted(text, is_number, scale, what)
+    return _added([_decimal_total(fine, what), _decimal_total(coarse, what)], scale, what)
 
 
 def _double_total(x: Column, scale: int, what: str) -> tuple[Column, T.DataType]:
@@ -74,23 +93,18 @@ def _double_total(x: Column, scale: int, what: str) -> tuple[Column, T.DataType]
     near = F.abs(x) < SPLIT_LIMIT / 10**f
     k = F.when(near, F.rint(x * power).try_cast("bigint"))
     exact = near & (k.cast("double") / power == x)
-    kind = T.DecimalType(37, scale)
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    slow = F.when(~exact & finite, x.try_cast(kind))
-    lost = F.when(~exact & finite & slow.isNull(), _fail(f"{what}: a value does not fit {kind.simpleString()}"))
+    fine, coarse = _fitted(x, F.coalesce(finite & ~exact, F.lit(False)), scale, what)
 
     whole = _whole_total(F.when(exact, k))
     unit = F.lit(Decimal(1).scaleb(-f)).cast(T.DecimalType(f + 1, f))
+    kind = T.DecimalType(38, max(scale, DEFAULT_SCALE))
     fast_sum = (whole * unit).try_cast(kind)
-    slow_sum = _decimal_total(lost.otherwise(slow), what).try_cast(kind)
-    result = T.DecimalType(38, scale)
-    total = (
-        F.when(whole.isNotNull() & fast_sum.isNull(), _fail(f"{what}: the sum is out of range"))
-        .when(slow_sum.isNull(), fast_sum)
-        .when(fast_sum.isNull(), slow_sum)
-        .otherwise(fast_sum + slow_sum)
-    )
-    return total.cast(result), result
+    overflow = whole.isNotNull() & fast_sum.isNull()
+    fine_sum = _decimal_total(fine, what).try_cast(kind)
+    exact_sums = F.when(overflow, _fail(f"{what}: the sum is out of range")).when(fine_sum.isNull(), fast_sum)
+    exact_sums = exact_sums.when(fast_sum.isNull(), fine_sum).otherwise((fast_sum + fine_sum).try_cast(kind))
+    return _added([exact_sums, _decimal_total(coarse, what)], scale, what)
 
 
 def exact_sum(
@@ -157,8 +171,15 @@ def _nearest_text_multiple(col: Column, g: int) -> Column:
     text = F.trim(col)
     # Digits beyond the scale are cut, not rounded: a cut never crosses the half-way point.
     cut = F.regexp_replace(text, r"(\.\d{18})\d+$", "$1")
-    parsed = F.when(text.rlike(NUMBER_PATTERN), cut.try_cast("decimal(38,18)"))
-    return F.coalesce(_nearest_decimal_multiple(parsed, g).cast("string"), col)
+    number = text.rlike(NUMBER_PATTERN)
+    # Numbers of more whole digits keep fewer places; whether the cut ones pass the half-way point is kept by a sign.
+    tail = F.regexp_replace(text, r"(\.\d{3})\d*[1-9]\d*$", "$11")
+    tail = F.regexp_replace(tail, r"(\.\d{3})0+$", "$1")
+    whole = F.regexp_replace(text, r"\.\d*$", "")
+    tries = [cut.try_cast("decimal(38,18)"), tail.try_cast("decimal(38,4)"), whole.try_cast("decimal(38,0)")]
+    near = F.coalesce(*[_nearest_decimal_multiple(F.when(number, t), g) for t in tries])
+    lost = F.when(number & near.isNull(), _fail("a number in text is too long to round"))
+    return lost.otherwise(F.coalesce(near.cast("string"), col))
 
 
 def nearest_multiple(col: Column, dtype: T.DataType, granularity: int, wide: bool = False) -> Column | None:

@@ -29,6 +29,7 @@ from docnest.plans.model import PlanError
 
 KEY = "__parent_key"
 DOCS = "__docs"
+CHUNK = "__chunk"
 
 # A key with more rows than this is split over several tasks before its last rows are picked.
 HOT_KEY_ROWS = 1_000_000
@@ -93,6 +94,25 @@ def all_docs(
     return rows.repartition(KEY).groupBy(KEY).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
+def chunked_docs(rows: DataFrame, child_pk: Sequence[str], docs: Sequence[str], size: int, widest: int | None) -> DataFrame:
+    """All child documents per key in arrays of at most ``size``: one row per key and chunk.
+
+    Chunks count from 0 and follow the primary key. A key with more than HOT_KEY_ROWS rows is cut into slices by hash
+    first, so that no task sorts it whole; its chunks are ordered inside, and take turns between the slices.
+    """
+    names = sort_names(rows, child_pk, docs)
+    ascending = [column(c).asc() for c in names] or [F.lit(0).asc()]
+    slices = max(1, math.ceil((widest or 0) / HOT_KEY_ROWS))
+    mixed = F.pmod(F.xxhash64(*[column(c) for c in names]), F.lit(slices)) if slices > 1 and names else F.lit(0)
+    sliced = rows.withColumn("__slice", mixed.cast("long"))
+    rank = F.row_number().over(W.partitionBy(KEY, "__slice").orderBy(*ascending)) - 1
+    numbered = sliced.withColumn("__rank", rank.cast("long"))
+    numbered = numbered.withColumn(CHUNK, F.col("__slice") + F.floor(F.col("__rank") / size) * slices)
+    comparable = all(orderable(rows.schema[find_name(rows, c)].dataType) for c in docs)
+    grouped = numbered.groupBy(KEY, "__slice", CHUNK).agg(_sorted_docs(F.col("__rank"), document(docs), comparable).alias(DOCS))
+    return grouped.drop("__slice")
+
+
 def first_doc(rows: DataFrame, child_pk: Sequence[str], docs: Sequence[str], proven_unique: bool) -> DataFrame:
     """One child document per key: the one with the smallest primary key."""
     if proven_unique:
@@ -129,6 +149,23 @@ def last_docs(rows: DataFrame, child_pk: Sequence[str], docs: Sequence[str], n:
     return kept.groupBy(KEY).agg(_sorted_docs(F.col("__rank"), document(docs), comparable).alias(DOCS))
 
 
+def rows_under(levels: Sequence[tuple[DataFrame, str, Sequence[str]]], links: Sequence[tuple[str, str]]) -> int:
+    """The largest number of rows, of all levels together, under one row of the last level. Reads key columns only."""
+    below: DataFrame | None = None
+    inner: str | None = None
+    for i, (fk, pk) in enumerate(links):
+        child, parent = levels[i][0], levels[i + 1][0]
+        weight = F.lit(1).cast("bigint")
+        if below is not None:
+            kind = key_type(child, inner, levels[i - 1][0], links[i - 1][0])
+            child = child.join(below, as_type(column(inner), field_type(child, inner), kind) == F.col(KEY), "left").drop(KEY)
+            weight = weight + F.coalesce(F.col("__n"), F.lit(0))
+        rows = keyed(child, fk, key_type(parent, pk, levels[i][0], fk))
+        below = rows.groupBy(KEY).agg(F.sum(weight).alias("__n"))
+        inner = pk
+    return below.agg(F.coalesce(F.max("__n"), F.lit(0))).first()[0] if below is not None else 0
+
+
 def fan_out(child: DataFrame, fk: str) -> DataFrame:
     """One row: the largest number of rows sharing one non-null key."""
     counted = child.filter(column(fk).isNotNull()).groupBy(column(fk).alias(KEY)).agg(F.count(F.lit(1)).alias("n"))

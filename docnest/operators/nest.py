@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +13,6 @@ from docnest.operators import grouping as g
 from docnest.operators.patterns import Computed, total_of
 from docnest.plans.model import DEFAULT_MAX_CHILDREN, PlanError
 
-log = logging.getLogger(__name__)
-
-
 def _set(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(find_name(df, name) or name, value)
 
@@ -28,13 +24,9 @@ def _docs_or_fail(child: DataFrame, dropped: Sequence[str], what: str) -> list[s
     return docs
 
 
-def within_limit(child: DataFrame, fk: str, field: str, max_children: int, measured: int | None) -> bool:
-    """Whether every parent's children may be nested; measured by a job unless already known."""
-    widest = g.measured_fan_out(child, fk) if measured is None else measured
+def _check_limit(widest: int, field: str, max_children: int) -> None:
     if widest > max_children:
-        log.warning("%s: %d children under one parent, over %d: left as a reference", field, widest, max_children)
-        return False
-    return True
+        raise PlanError(f"{field}: {widest} rows under one parent, over {max_children}: nest in chunks or leave a reference")
 
 
 def embed_one(
@@ -71,21 +63,21 @@ def embed_many(
     child_pk: Sequence[str] = (),
     drop: Sequence[str] = (),
     totals: Sequence[Computed] = (),
-    max_children: int = DEFAULT_MAX_CHILDREN,
+    max_children: int | None = DEFAULT_MAX_CHILDREN,
     measured: int | None = None,
 ) -> DataFrame:
     """Nest all children as an array of structs without the foreign key, in primary-key order.
 
-    No children gives an empty array. When some parent has more than ``max_children`` the edge
-    stays a reference: the parent comes back untouched and the children keep their own dataset.
-    ``totals`` are counts and sums over the same rows, computed in the same aggregate.
+    No children gives an empty array. A parent with more than ``max_children`` rows is an error, as
+    a document of any size cannot be promised to fit; :func:`embed_chunks` takes any number. ``None``
+    nests without measuring. ``totals`` are counts and sums over the same rows, computed in the same aggregate.
     """
     docs = _docs_or_fail(child, [fk, *drop], field)
     array_type = T.ArrayType(T.StructType([child.schema[find_name(child, n)] for n in docs]))
     if not has_column(child, fk):
         return _set(parent, field, F.array().cast(array_type))
-    if not within_limit(child, fk, field, max_children, measured):
-        return parent
+    if max_children is not None:
+        _check_limit(g.measured_fan_out(child, fk) if measured is None else measured, field, max_children)
     wanted = g.key_type(parent, pk, child, fk)
     made = {f"__total_{i}": (p.field, *total_of(p, child)) for i, p in enumerate(totals)}
     extra = {hidden: total for hidden, (_, total, _) in made.items()}
@@ -95,6 +87,37 @@ def embed_many(
     return g.attach(parent, pk, wanted, summary, fields)
 
 
+def embed_chunks(
+    parent: DataFrame,
+    child: DataFrame,
+    *,
+    pk: str,
+    fk: str,
+    field: str,
+    child_pk: Sequence[str] = (),
+    drop: Sequence[str] = (),
+    size: int = DEFAULT_MAX_CHILDREN,
+    chunk_field: str = "chunk",
+    measured: int | None = None,
+) -> DataFrame:
+    """Nest all children, at most ``size`` a document: a parent with more has several rows, numbered by
+    ``chunk_field`` from 0. Every child of a parent is in exactly one of them, and the schema does not depend on the data.
+    """
+    if size < 1:
+        raise PlanError("a chunk holds at least one row")
+    if has_column(parent, chunk_field):
+        raise PlanError(f"{field}: the parent has a column {chunk_field}; name another with chunk_field")
+    docs = _docs_or_fail(child, [fk, *drop], field)
+    array_type = T.ArrayType(T.StructType([child.schema[find_name(child, n)] for n in docs]))
+    if not has_column(child, fk):
+        return _set(parent, field, F.array().cast(array_type)).withColumn(chunk_field, F.lit(0).cast("bigint"))
+    wanted = g.key_type(parent, pk, child, fk)
+    widest = g.measured_fan_out(child, fk) if measured is None else measured
+    summary = g.chunked_docs(g.keyed(child, fk, wanted), child_pk, docs, size, widest)
+    fields = {field: g.array_or_empty(g.DOCS, array_type), chunk_field: F.coalesce(F.col(g.CHUNK), F.lit(0)).cast("bigint")}
+    return g.attach(parent, pk, wanted, summary, fields)
+
+
 def junction_payload(junction: DataFrame, fk: str, other_fks: Sequence[str]) -> list[str]:
     """The columns to drop so that only a junction row's own data is left. A junction without
     data of its own keeps its partner keys instead, as an empty struct cannot be stored."""
@@ -111,10 +134,17 @@ def embed_junction(
     other_fks: Sequence[str],
     field: str,
     child_pk: Sequence[str] = (),
-    max_children: int = DEFAULT_MAX_CHILDREN,
+    max_children: int | None = DEFAULT_MAX_CHILDREN,
     measured: int | None = None,
+    chunk: int | None = None,
 ) -> DataFrame:
-    """Nest the payload of a junction's rows: neither this parent's key nor the partners' keys."""
+    """Nest the payload of a junction's rows: neither this parent's key nor the partners' keys. ``chunk``: at most so
+    many a document, see :func:`embed_chunks`."""
+    if chunk is not None:
+        dropped = junction_payload(junction, fk, other_fks)
+        return embed_chunks(
+            parent, junction, pk=pk, fk=fk, field=field, child_pk=child_pk, drop=dropped, size=chunk, measured=measured
+        )
     return embed_many(
         parent,
         junction,
@@ -132,18 +162,25 @@ def embed_levels(
     levels: Sequence[tuple[DataFrame, str, Sequence[str]]],
     links: Sequence[tuple[str, str]],
     *,
-    max_children: int = DEFAULT_MAX_CHILDREN,
+    max_children: int | None = DEFAULT_MAX_CHILDREN,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Nest a chain of tables, deepest first. ``levels`` lists (frame, name, primary key) from the
-    deepest to the root; ``links[i]`` is (foreign key in level i, key in level i + 1)."""
+    deepest to the root; ``links[i]`` is (foreign key in level i, key in level i + 1).
+
+    ``max_children`` bounds all rows under one root, over all levels together; more is an error. With ``chunk`` every level is
+    nested in chunks of so many instead, and nothing is too wide.
+    """
     if len(links) != len(levels) - 1:
         raise PlanError("a chain needs one link between each pair of levels")
     nested, name, keys = levels[0]
-    raw = nested
+    if chunk is None and max_children is not None:
+        _check_limit(g.rows_under(levels, links), levels[-1][1], max_children)
     for (fk, pk), (parent, parent_name, parent_keys) in zip(links, levels[1:], strict=True):
-        nested = embed_many(
-            parent, nested, pk=pk, fk=fk, field=name, child_pk=keys, max_children=max_children,
-            measured=g.measured_fan_out(raw, fk),  # on the plain rows, not on the nested frame
-        )
-        raw, name, keys = parent, parent_name, parent_keys
+        if chunk is None:
+            nested = embed_many(parent, nested, pk=pk, fk=fk, field=name, child_pk=keys, max_children=None)
+        else:
+            order = [*keys, "chunk"] if has_column(nested, "chunk") else keys
+            nested = embed_chunks(parent, nested, pk=pk, fk=fk, field=name, child_pk=order, size=chunk)
+        name, keys = parent_name, parent_keys
     return nested

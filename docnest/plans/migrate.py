@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docnest.functions.columns import has_column
 from docnest.operators.nest import embed_junction, embed_many, embed_one
-from docnest.operators.patterns import ATTRIBUTE, COMPUTED, Computed, PatternContext, apply_patterns
+from docnest.operators.patterns import ATTRIBUTE, COMPUTED, OUTLIER, PATTERN_ORDER, Computed, PatternContext, apply_patterns
 from docnest.operators.profile import fan_outs
 from docnest.plans.model import MANY_TO_MANY, ONE_TO_MANY, ONE_TO_ONE, Catalogue, Edge, PlanError, Settings
 from docnest.plans.resolve import NestingPlan, edges_to_measure, resolve
@@ -33,11 +33,16 @@ class Migration:
     def write(
         self, spark: SparkSession, folder: str, source: str = "json", options: Mapping[str, str] | None = None
     ) -> list[str]:
-        return write_documents(spark, self.datasets, folder, source, self.raw, options)
+        # a custom pattern may add or drop documents; without one the plain table is empty when they are
+        custom = {t for t, ps in self.plan.settings.patterns.items() if any(p.kind not in PATTERN_ORDER for p in ps)}
+        plain = {t: self.documents[t] if t in custom else self.raw[t] for t in self.raw}
+        return write_documents(spark, self.datasets, folder, source, plain, options)
 
 
 def _field(catalogue: Catalogue, edge: Edge) -> str:
-    """Junction rows go under the parent's own name, other children under theirs."""
+    """Junction rows go under the parent's own name, other children under theirs, unless the edge names a field."""
+    if edge.field:
+        return edge.field
     return edge.parent if catalogue.cardinality(edge) == MANY_TO_MANY else catalogue.nest_field(edge)
 
 
@@ -92,21 +97,31 @@ def _nest(plan: NestingPlan, edge: Edge, df: DataFrame, child: DataFrame, shared
     limits = {"max_children": plan.settings.max_children, "measured": measured}
     if cardinality == MANY_TO_MANY:
         others = [e.fk for e in catalogue.outgoing(edge.child) if e != edge and not e.is_self]
-        nested = embed_junction(
+        return embed_junction(
             df, child, pk=edge.pk, fk=edge.fk, other_fks=others, field=field, child_pk=child_pk, **limits
         )
-    else:
-        nested = embed_many(
-            df, child, pk=edge.pk, fk=edge.fk, field=field, child_pk=child_pk, totals=shared, **limits
-        )
-    if nested is df:
-        raise PlanError(f"{edge.label}: the patterns of {edge.child} change its key so that too many rows share one")
-    return nested
+    return embed_many(df, child, pk=edge.pk, fk=edge.fk, field=field, child_pk=child_pk, totals=shared, **limits)
+
+
+def _check_fields(plan: NestingPlan, raw: Mapping[str, DataFrame], table: str) -> None:
+    """Every nest has a field of its own: not a column of the table, not another nest's, and no two flags are one."""
+    fields: dict[str, str] = {}
+    for edge in plan.embedded_into(table):
+        field = _field(plan.catalogue, edge).lower()
+        if has_column(raw[table], field):
+            raise PlanError(f"{edge.label} would replace the column {field} of {table}: name a field for the edge")
+        if field in fields:
+            raise PlanError(f"{edge.label} and {fields[field]} would both be {field} of {table}: name a field for one of the edges")
+        fields[field] = edge.label
+    flags = [p.flag.lower() for p in plan.settings.patterns.get(table, ()) if p.kind == OUTLIER]
+    if len(set(flags)) < len(flags):
+        raise PlanError(f"two capped arrays of {table} share a flag: name another with flag")
 
 
 def _documents(plan: NestingPlan, raw: Mapping[str, DataFrame], stage_folder: str | None) -> dict[str, DataFrame]:
     documents: dict[str, DataFrame] = {}
     for table in plan.order:
+        _check_fields(plan, raw, table)
         df = raw[table]
         patterns = list(plan.settings.patterns.get(table, ()))
         nests = plan.embedded_into(table)

@@ -44,13 +44,15 @@ class TableSpec:
 
 @dataclass(frozen=True)
 class Edge:
-    """One foreign-key column of a child table and the parent column it points to."""
+    """One foreign-key column of a child table and the parent column it points to. ``field`` names the nested
+    field, where the usual name is taken."""
 
     child: str
     fk: str
     parent: str
     pk: str
     cardinality: str | None = None
+    field: str | None = None
 
     @property
     def is_self(self) -> bool:

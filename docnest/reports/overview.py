@@ -75,16 +75,14 @@ def column_overview(spark: SparkSession, tables: Mapping[str, DataFrame], catalo
 
 
 def relationship_map(tables: Mapping[str, DataFrame], plan: NestingPlan) -> DataFrame:
-    """Per (child, parent): declared and observed cardinality, and the resolved strategy. Of several
-    keys between the same two tables the first declared one is shown."""
-    shown = {(e.child, e.parent): e for e in reversed(plan.catalogue.edges)}
-    edges = [e for e in plan.catalogue.edges if shown[e.child, e.parent] == e]
+    """Per key: declared and observed cardinality, and the resolved strategy."""
+    edges = plan.catalogue.edges
     strategy = F.lit(None).cast("string")
     for e in edges:
-        same = (F.col("child") == e.child) & (F.col("parent") == e.parent)
+        same = (F.col("child") == e.child) & (F.col("parent") == e.parent) & (F.col("fk") == e.fk)
         strategy = F.when(same, F.lit(plan.strategies[e])).otherwise(strategy)
     profile = edge_cardinality(tables, Catalogue(plan.catalogue.tables, edges))
-    return profile.select("child", "parent", "declared", "observed", "max_children", strategy.alias("strategy"))
+    return profile.select("child", "fk", "parent", "declared", "observed", "max_children", strategy.alias("strategy"))
 
 
 def target_overview(spark: SparkSession, written: Mapping[str, DataFrame], n: int = 5) -> DataFrame:

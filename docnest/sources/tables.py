@@ -21,9 +21,17 @@ def read_tables(
 
 def sql_rows(spark: SparkSession, tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     """A caller's SQL over the tables, by their names; column aliases are kept."""
+    before = {n: spark.table(n) for n in tables if any(v.name == n.lower() and v.isTemporary for v in spark.catalog.listTables())}
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(query)
+    try:
+        return spark.sql(query)
+    finally:  # the query is resolved; the caller's own views come back
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
@@ -43,7 +51,7 @@ def _up_to_nth(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     columns alone; the filter then lets the full scan skip most row groups."""
     first = df.select(*[column(k) for k in keys]).orderBy(*[column(k) for k in keys]).limit(n).tail(1)
     bound = first[0][0] if first else None
-    return df if bound is None else df.filter(column(keys[0]) <= F.lit(bound))
+    return df if bound is None else df.filter(column(keys[0]).isNull() | (column(keys[0]) <= F.lit(bound)))
 
 
 def sample_rows(tables: Mapping[str, DataFrame], catalogue: Catalogue, n: int = 5) -> DataFrame:

@@ -136,6 +136,26 @@ def test_two_keys_to_one_parent_get_role_names(spark):
         migrate(tables, catalogue, Settings(patterns={"parents": [Computed("n", "COUNT", "children")]}))
 
 
+def test_nothing_is_overwritten_in_silence(spark):
+    catalogue, tables = parent_child(spark, 4)
+    with pytest.raises(PlanError, match="name a field"):
+        migrate({**tables, "parents": tables["parents"].withColumn("Children", tables["parents"].id)}, catalogue)
+    flags = Settings({"children.parents": "REFERENCE"}, patterns={"parents": [Outlier("children", 1), Outlier("children", 2, field="more")]})
+    with pytest.raises(PlanError, match="flag"):
+        migrate(tables, catalogue, flags)
+
+
+def test_two_junctions_on_one_parent(spark):
+    specs = [TableSpec("bands", "id"), TableSpec("gigs", "id"), TableSpec("tours", "id")]
+    edges = [Edge(t, "band", "bands", "id", "MANY_TO_MANY") for t in ("gigs", "tours")]
+    tables = {"bands": spark.range(2), "gigs": spark.range(3).selectExpr("id", "id % 2 AS band"), "tours": spark.range(1).selectExpr("id", "1L AS band")}
+    with pytest.raises(PlanError, match="both be bands"):
+        migrate(tables, Catalogue.of(specs, edges))
+    named = [Edge(t, "band", "bands", "id", "MANY_TO_MANY", field=t) for t in ("gigs", "tours")]
+    got = rows(migrate(tables, Catalogue.of(specs, named)).documents["bands"], "id")
+    assert [[len(r["gigs"]), len(r["tours"])] for r in got] == [[2, 0], [1, 1]]
+
+
 def test_cycle_is_broken_and_no_rows_are_lost(spark):
     catalogue = Catalogue.of(
         [TableSpec("a", "id"), TableSpec("b", "id")], [Edge("a", "b_id", "b", "id"), Edge("b", "a_id", "a", "id")]

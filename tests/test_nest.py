@@ -1,6 +1,6 @@
 import pytest
 
-from docnest import PlanError, embed_junction, embed_levels, embed_many, embed_one
+from docnest import PlanError, embed_chunks, embed_junction, embed_levels, embed_many, embed_one
 from tests.helpers import rows
 
 
@@ -54,6 +54,18 @@ def test_keys_of_different_types_meet(spark, parent_kind, child_kind):
     assert docs.schema["id"].dataType == parent.schema["id"].dataType
 
 
+def test_keys_meet_exactly(spark):
+    def pairs(parent_kind, parents, child_kind, children):
+        parent = spark.createDataFrame([(x,) for x in parents], "s string").selectExpr(f"CAST(s AS {parent_kind}) AS id")
+        child = spark.createDataFrame([(x,) for x in children], "s string").selectExpr(f"CAST(s AS {child_kind}) AS p", "s AS k")
+        return [len(r["c"]) for r in embed_many(parent, child, pk="id", fk="p", field="c").collect()]
+
+    assert pairs("bigint", ["9007199254740992", "9007199254740993"], "double", ["9007199254740992"]) == [1, 0]
+    assert pairs("double", ["1.5", "2"], "bigint", ["1", "2"]) == [0, 1]
+    assert pairs("string", ["1", "2.5", "x"], "double", ["1.0", "2.50"]) == [1, 1, 0]
+    assert pairs("decimal(9,2)", ["1.00", "2.50"], "string", ["1", "2.5"]) == [1, 1]
+
+
 def test_text_keys_that_are_no_numbers_do_not_fail(spark):
     parent = frame(spark, "id int", (1,))
     child = frame(spark, "k int, p string", (5, "abc"), (6, "1"))
@@ -75,20 +87,51 @@ def test_column_names_with_dots(spark):
     assert docs.first()["c"][0]["a.k"] == 5
 
 
-def test_over_the_limit_the_parent_is_untouched(spark):
-    parent, child = frame(spark, "id int", (1,)), frame(spark, "k int, p int", (1, 1), (2, 1))
-    assert embed_many(parent, child, pk="id", fk="p", field="c", max_children=1) is parent
-    assert "c" in embed_many(parent, child, pk="id", fk="p", field="c", max_children=2).columns
+def test_over_the_limit_is_an_error_and_chunks_take_any_number(spark):
+    parent = frame(spark, "id int", (1,), (2,), (3,))
+    child = frame(spark, "k int, p int", *[(k, 1) for k in range(7, 0, -1)], (8, 2), (9, 4), (10, None))
+    with pytest.raises(PlanError, match="chunks"):
+        embed_many(parent, child, pk="id", fk="p", field="c", max_children=6)
+    assert embed_many(parent, child, pk="id", fk="p", field="c", max_children=7).schema == embed_many(parent, child, pk="id", fk="p", field="c", max_children=None).schema
+    docs = embed_chunks(parent, child, pk="id", fk="p", field="c", child_pk=["k"], size=3)
+    assert [(r["id"], r["chunk"], [c["k"] for c in r["c"]]) for r in rows(docs, "id", "chunk")] == [
+        (1, 0, [1, 2, 3]), (1, 1, [4, 5, 6]), (1, 2, [7]), (2, 0, [8]), (3, 0, [])
+    ]
+    assert embed_chunks(parent, child.limit(0), pk="id", fk="p", field="c", child_pk=["k"], size=3).schema == docs.schema
+    with pytest.raises(PlanError, match="chunk_field"):
+        embed_chunks(parent.withColumn("Chunk", parent.id), child, pk="id", fk="p", field="c")
+
+
+def test_a_hot_key_is_cut_into_slices_and_keeps_every_row(spark, monkeypatch):
+    from docnest.operators import grouping
+
+    monkeypatch.setattr(grouping, "HOT_KEY_ROWS", 50)
+    child = spark.range(300).selectExpr("id AS k", "IF(id % 3 = 0, id, 1) AS p")
+    docs = rows(embed_chunks(frame(spark, "id long", (1,)), child, pk="id", fk="p", field="c", child_pk=["k"], size=10))
+    kept = [c["k"] for r in docs for c in r["c"]]
+    assert sorted(kept) == [k for k in range(300) if k % 3 or k == 1] and len({r["chunk"] for r in docs}) == len(docs)
+    assert all(len(r["c"]) <= 10 and [c["k"] for c in r["c"]] == sorted(c["k"] for c in r["c"]) for r in docs)
+
+
+def test_a_chain_is_bounded_as_a_whole(spark):
+    top, middle = frame(spark, "id int", (1,)), frame(spark, "id int, t int", (1, 1), (2, 1))
+    low = frame(spark, "id int, m int", (1, 1), (2, 1), (3, 2), (4, 2))
+    chain = [(low, "low", ["id"]), (middle, "middle", ["id"]), (top, "top", ["id"])], [("m", "id"), ("t", "id")]
+    with pytest.raises(PlanError, match="6 rows"):
+        embed_levels(*chain, max_children=5)
+    assert rows(embed_levels(*chain, max_children=6))[0]["middle"][0]["low"] == [{"id": 1}, {"id": 2}]
+    found = rows(embed_levels(*chain, chunk=1), "chunk")
+    assert [(r["chunk"], r["middle"][0]["id"], r["middle"][0]["low"][0]["id"]) for r in found] == [(0, 1, 1), (1, 1, 2), (2, 2, 3), (3, 2, 4)]
 
 
 def test_junctions(spark):
-    student = frame(spark, "id int", (1,), (2,))
-    pure = frame(spark, "student_id int, course_id int", (1, 12), (1, 11))
-    docs = embed_junction(student, pure, pk="id", fk="student_id", other_fks=["course_id"], field="s", child_pk=["student_id", "course_id"])
-    assert [r["s"] for r in rows(docs, "id")] == [[{"course_id": 11}, {"course_id": 12}], []]
-    rated = frame(spark, "student_id int, course_id int, grade int", (1, 12, 4), (1, 11, 5))
-    docs = embed_junction(student, rated, pk="id", fk="student_id", other_fks=["course_id"], field="s", child_pk=["student_id", "course_id"])
-    assert [r["s"] for r in rows(docs, "id")] == [[{"grade": 5}, {"grade": 4}], []]
+    cook = frame(spark, "id int", (1,), (2,))
+    pure = frame(spark, "cook int, dish int", (1, 42), (1, 41))
+    keys = {"pk": "id", "fk": "cook", "other_fks": ["dish"], "field": "s", "child_pk": ["cook", "dish"]}
+    assert [r["s"] for r in rows(embed_junction(cook, pure, **keys), "id")] == [[{"dish": 41}, {"dish": 42}], []]
+    salted = frame(spark, "cook int, dish int, salt int", (1, 42, 4), (1, 41, 5))
+    assert [r["s"] for r in rows(embed_junction(cook, salted, **keys), "id")] == [[{"salt": 5}, {"salt": 4}], []]
+    assert [r["s"] for r in rows(embed_junction(cook, salted, chunk=1, **keys), "id", "chunk")] == [[{"salt": 5}], [{"salt": 4}], []]
 
 
 def test_levels(spark):

@@ -34,6 +34,9 @@ def one(spark, kind, value, step, wide=False):
         ("string", "1.25e2", 10, "130"),
         ("string", "149." + "9" * 30, 100, "100"),
         ("string", "about 7", 10, "about 7"),
+        ("string", "123456789012345678901234.5", 10, "123456789012345678901230"),
+        ("string", "123456789012345678901234.50001", 1, "123456789012345678901235"),
+        ("string", "9" * 37, 10, "1" + "0" * 37),
         ("int", None, 10, None),
         ("double", float("inf"), 10, float("inf")),
     ],

@@ -41,7 +41,7 @@ def test_sums_of_doubles_are_those_of_their_printed_decimals(spark):
     values += [1.005, 2.675, 1e15, -1e15, 35184372088832.0, 0.1 + 0.2, 123456789012.3456, 1e-7]
     for scale in (0, 2, 4, 12):
         unit = Decimal(1).scaleb(-scale)
-        exact = sum((Decimal(repr(v)).quantize(unit, ROUND_HALF_UP) for v in values), Decimal(0))
+        exact = sum((Decimal(repr(v)) for v in values), Decimal(0)).quantize(unit, ROUND_HALF_UP)
         assert total(spark, "double", values, scale=scale) == [exact, 0], scale
     assert total(spark, "int", [2**31 - 1, -(2**31), -1, None]) == [-2, 0]
     assert total(spark, "int", [-5, 3], wide=True) == [Decimal(-2), 0]
@@ -52,8 +52,17 @@ def test_sum_out_of_range_is_loud_or_wide(spark):
     assert total(spark, "bigint", big, wide=True) == [Decimal(2**63), 0]
     with pytest.raises(Exception, match="BIGINT range"):
         total(spark, "bigint", big)
-    with pytest.raises(Exception, match="does not fit"):
+    with pytest.raises(Exception, match="out of range"):
         total(spark, "double", [1e30])
+    with pytest.raises(Exception, match="does not fit"):
+        total(spark, "double", [1e200])
+
+
+def test_sums_are_rounded_once(spark):
+    for kind, value in (("double", 0.004), ("float", 0.004), ("string", "0.004")):
+        assert total(spark, kind, [value] * 1000, scale=2) == [Decimal("4.00"), 0], kind
+    assert total(spark, "string", ["0.004", "1.2345"], scale=2) == [Decimal("1.24"), 0]
+    assert total(spark, "double", [1e25, 0.004, 0.004], scale=2) == [Decimal("10000000000000000000000000.01"), 0]
 
 
 @pytest.mark.parametrize(("function", "column"), [("AVG", "price"), ("SUM", None)])

@@ -163,3 +163,17 @@ def test_uniqueness_survives_hash_collisions(spark, monkeypatch):
     assert profile._unique_columns({"t": df}, {"t": [0, 1]}) == {("t", 0)}
     monkeypatch.setattr(profile.F, "xxhash64", lambda *cols: profile.F.lit(7).cast("bigint"))
     assert profile._unique_columns({"t": df}, {"t": [0, 1]}) == {("t", 0)}
+
+
+def test_samples_keep_null_keys(spark):
+    tables = {"t": spark.createDataFrame([(k,) for k in (3, None, 2, 1)], "id int")}
+    catalogue = Catalogue.of([TableSpec("t", "id")])
+    assert [r["row_json"] for r in rows(sample_rows(tables, catalogue, 3))] == ['{"id":null}', '{"id":1}', '{"id":2}']
+
+
+def test_caller_sql_leaves_views_as_they_were(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    found = sql_rows(spark, {"mine": spark.range(1), "other_rows": spark.range(5)}, "SELECT count(*) AS n FROM mine CROSS JOIN other_rows")
+    assert rows(found) == [{"n": 5}] and spark.table("mine").count() == 3
+    assert not spark.catalog.tableExists("other_rows")
+    spark.catalog.dropTempView("mine")

@@ -13,18 +13,19 @@ def widest(child: str, fk: str) -> str:
     return f"(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM {child} WHERE {fk} IS NOT NULL GROUP BY {fk}))"
 
 
-def guarded(child: str, fk: str, value: str, kind: str) -> str:
-    """A value that is null when the nesting limit leaves the edge a reference."""
-    return f"CASE WHEN {widest(child, fk)} <= {LIMIT} THEN {value} ELSE CAST(NULL AS {kind}) END"
-
-
-def nested(child: str, fk: str, size: str, digest: str) -> str:
+def chunked(child: str, fk: str, item: str, order: str, size: int = 1000, more: str = "") -> str:
+    """Per key and chunk of at most ``size`` rows: how many, and their digest."""
     return (
-        f"{guarded(child, fk, 'coalesce(g.n, 0)', 'BIGINT')} AS {size}, "
-        f"{guarded(child, fk, chr(99) + 'oalesce(g.d, ' + chr(39) * 2 + ')', 'VARCHAR')} AS {digest}"
+        f"(SELECT {fk} AS k, chunk, count(*) AS n, string_agg({item}, ',' ORDER BY {order}) AS d{more}"
+        f" FROM (SELECT *, (row_number() OVER (PARTITION BY {fk} ORDER BY {order}) - 1) // {size} AS chunk FROM {child} WHERE {fk} IS NOT NULL)"
+        f" GROUP BY 1, 2) g"
     )
 
 
+def nested(size: str, digest: str) -> str:
+    return f"coalesce(g.chunk, 0) AS chunk, coalesce(g.n, 0) AS {size}, coalesce(g.d, '') AS {digest}"
+
+
 def grouped(child: str, fk: str, item: str, order: str) -> str:
     return (
         f"(SELECT {fk} AS k, count(*) AS n, string_agg({item}, ',' ORDER BY {order}) AS d"
@@ -94,7 +95,7 @@ def relationship_sql(limit: int, references: tuple = ()) -> str:
         else:
             strategy = f"CASE WHEN {widest(e.child, e.fk)} > {limit} THEN 'REFERENCE' ELSE 'EMBED' END"
         parts.append(
-            f"SELECT '{e.child}' AS child, '{e.parent}' AS parent, '{declared}' AS declared, {observed(e)},"
+            f"SELECT '{e.child}' AS child, '{e.fk}' AS fk, '{e.parent}' AS parent, '{declared}' AS declared, {observed(e)},"
             f" CAST({widest(e.child, e.fk)} AS BIGINT) AS max_children, {strategy} AS strategy"
         )
     return union(parts)
@@ -119,7 +120,6 @@ TRADE_LANES = """
 """
 
 REVENUE = "sum(CAST(l_extendedprice AS DECIMAL(18,2)))"
-NO_LINES = guarded("lineitem", "l_orderkey", "1", "INTEGER")
 
 ORACLE: dict[str, str] = {
     "customer_documents": f"""
@@ -161,9 +161,7 @@ UNION ALL SELECT 'documents', doc_id, NULL, length(text) FROM documents
         ]
     ),
     "profile_columns": column_profile_sql(COLUMNS, True),
-    "report_columns": column_profile_sql(
-        ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events"), False
-    ),
+    "report_columns": column_profile_sql(COLUMNS, False),
     "profile_cardinality": union(
         [
             f"SELECT '{e.child}' AS child, '{e.fk}' AS fk, '{e.parent}' AS parent, '{CATALOGUE.cardinality(e)}' AS declared,"
@@ -194,47 +192,44 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 SELECT c_custkey, min(o_orderkey) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1
 """,
     "embed_many_lineitem": f"""
-SELECT o.o_orderkey, {nested("lineitem", "l_orderkey", "n_lines", "lines")} FROM orders o
-LEFT JOIN {grouped("lineitem", "l_orderkey", "l_linenumber || ':' || l_partkey", LINE_ORDER)} ON g.k = o.o_orderkey
-""",
-    "embed_two_children": f"""
-WITH a AS (SELECT n.n_nationkey, {nested("supplier", "s_nationkey", "n_suppliers", "suppliers")} FROM nation n
-  LEFT JOIN {grouped("supplier", "s_nationkey", "CAST(s_suppkey AS VARCHAR)", "s_suppkey")} ON g.k = n.n_nationkey)
-SELECT a.*, {nested("customer", "c_nationkey", "n_customers", "customers")} FROM a
-LEFT JOIN {grouped("customer", "c_nationkey", "CAST(c_custkey AS VARCHAR)", "c_custkey")} ON g.k = a.n_nationkey
+SELECT o.o_orderkey, {nested("n_lines", "lines")} FROM orders o
+LEFT JOIN {chunked("lineitem", "l_orderkey", "l_linenumber || ':' || l_partkey", LINE_ORDER)} ON g.k = o.o_orderkey
 """,
+    "embed_two_children": union(
+        [
+            f"SELECT n_nationkey, '{child}' AS kind, {nested('n_members', 'members')} FROM nation"
+            f" LEFT JOIN {chunked(child, fk, f'CAST({key} AS VARCHAR)', key, 40)} ON g.k = n_nationkey"
+            for child, fk, key in (("supplier", "s_nationkey", "s_suppkey"), ("customer", "c_nationkey", "c_custkey"))
+        ]
+    ),
     "embed_levels_customer": f"""
-WITH o AS (SELECT o_custkey, o_orderkey,
-    o_orderkey || '[' || CASE WHEN {widest("lineitem", "l_orderkey")} <= {LIMIT} THEN coalesce(g.d, '') ELSE '-' END || ']' AS item
-  FROM orders LEFT JOIN {grouped("lineitem", "l_orderkey", "l_linenumber || ':' || l_partkey", LINE_ORDER)} ON g.k = o_orderkey)
-SELECT c.c_custkey, {nested("orders", "o_custkey", "n_orders", "orders_digest")} FROM customer c
-LEFT JOIN {grouped("o", "o_custkey", "item", "o_orderkey")} ON g.k = c.c_custkey
+WITH o AS (SELECT o_custkey, o_orderkey, coalesce(g.chunk, 0) AS part, o_orderkey || '[' || coalesce(g.d, '') || ']' AS item
+  FROM orders LEFT JOIN {chunked("lineitem", "l_orderkey", "l_linenumber || ':' || l_partkey", LINE_ORDER)} ON g.k = o_orderkey)
+SELECT c.c_custkey, {nested("n_orders", "orders_digest")} FROM customer c
+LEFT JOIN {chunked("o", "o_custkey", "item", "o_orderkey, part")} ON g.k = c.c_custkey
 """,
     "embed_levels_region": f"""
-SELECT n.n_regionkey AS r_regionkey, n.n_nationkey, {nested("supplier", "s_nationkey", "n_suppliers", "suppliers")}
-FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey
-LEFT JOIN {grouped("supplier", "s_nationkey", "CAST(s_suppkey AS VARCHAR)", "s_suppkey")} ON g.k = n.n_nationkey
+SELECT r.r_regionkey, n.n_nationkey, CASE WHEN n.n_nationkey IS NOT NULL THEN coalesce(g.chunk, 0) END AS chunk,
+  CASE WHEN n.n_nationkey IS NOT NULL THEN coalesce(g.n, 0) END AS n_suppliers, CASE WHEN n.n_nationkey IS NOT NULL THEN coalesce(g.d, '') END AS suppliers
+FROM region r LEFT JOIN nation n ON r.r_regionkey = n.n_regionkey
+LEFT JOIN {chunked("supplier", "s_nationkey", "CAST(s_suppkey AS VARCHAR)", "s_suppkey")} ON g.k = n.n_nationkey
 """,
     "embed_junction_part": f"""
-SELECT p.p_partkey,
-  CASE WHEN {widest("lineitem", "l_partkey")} <= {LIMIT}
-    THEN 'l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' ELSE '' END AS payload_fields,
-  {nested("lineitem", "l_partkey", "n_rows", "rows_digest")}
+SELECT p.p_partkey, 'l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS payload_fields,
+  {nested("n_rows", "rows_digest")}
 FROM part p
-LEFT JOIN {grouped("lineitem", "l_partkey", "l_linenumber || ':' || l_returnflag || ':' || l_linestatus", "l_orderkey, " + LINE_ORDER.replace("l_partkey, l_suppkey, ", ""))}
+LEFT JOIN {chunked("lineitem", "l_partkey", "l_linenumber || ':' || l_returnflag || ':' || l_linestatus", "l_orderkey, " + LINE_ORDER.replace("l_partkey, l_suppkey, ", ""))}
   ON g.k = p.p_partkey
 """,
     "embed_junction_keys": f"""
-SELECT n.n_nationkey, {nested("customer", "c_nationkey", "n_customers", "customers")} FROM nation n
-LEFT JOIN {grouped("customer", "c_nationkey", "CAST(c_custkey AS VARCHAR)", "c_custkey")} ON g.k = n.n_nationkey
+SELECT n.n_nationkey, {nested("n_customers", "customers")} FROM nation n
+LEFT JOIN {chunked("customer", "c_nationkey", "CAST(c_custkey AS VARCHAR)", "c_custkey")} ON g.k = n.n_nationkey
 """,
     "embed_fan_in": union(
         [
-            f"SELECT '{e.parent}' AS parent, CAST(p.{e.pk} AS BIGINT) AS id,"
-            f" {guarded('lineitem', e.fk, 'coalesce(g.n, 0)', 'BIGINT')} AS n_lines,"
-            f" {guarded('lineitem', e.fk, 'coalesce(g.q, 0)', 'BIGINT')} AS quantity FROM {e.parent} p"
-            f" LEFT JOIN (SELECT {e.fk} AS k, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1) g"
-            f" ON g.k = p.{e.pk}"
+            f"SELECT '{e.parent}' AS parent, CAST(p.{e.pk} AS BIGINT) AS id, coalesce(g.chunk, 0) AS chunk, coalesce(g.n, 0) AS n_lines,"
+            f" CAST(coalesce(g.q, 0) AS BIGINT) AS quantity FROM {e.parent} p LEFT JOIN"
+            f" {chunked('lineitem', e.fk, chr(39) * 2, ('l_orderkey, ' + LINE_ORDER).replace(f'{e.fk}, ', ''), 100, ', sum(CAST(l_quantity AS BIGINT)) AS q')} ON g.k = p.{e.pk}"
             for e in EDGES
             if e.child == "lineitem"
         ]
@@ -320,10 +315,8 @@ SELECT 'region' AS dataset, CAST(r_regionkey AS BIGINT) AS id, CAST(0 AS DECIMAL
   coalesce(g.n, 0) AS n_nested, coalesce(g.d, '') AS detail
 FROM region LEFT JOIN {grouped("nation", "n_regionkey", "CAST(n_nationkey AS VARCHAR)", "n_nationkey")} ON g.k = r_regionkey
 UNION ALL
-SELECT 'customer', c_custkey, CAST({rounded("c_acctbal", 10)} AS DECIMAL(38,2)), {guarded("orders", "o_custkey", "coalesce(t.n, 0)", "BIGINT")},
-  coalesce(r.d, '')
-FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) t ON t.k = c_custkey
-LEFT JOIN {latest("events", "user_id", "event_id", 3, "CAST(event_id AS VARCHAR)")} r ON r.k = c_custkey
+SELECT 'customer', c_custkey, CAST({rounded("c_acctbal", 10)} AS DECIMAL(38,2)), coalesce(r.n, 0), coalesce(r.d, '')
+FROM customer LEFT JOIN {latest("events", "user_id", "event_id", 3, "CAST(event_id AS VARCHAR)")} r ON r.k = c_custkey
 UNION ALL
 SELECT 'part', p_partkey, CAST(coalesce(t.n, 0) AS DECIMAL(38,2)), 2, 'Brand:' || p_brand || ',Type:' || p_type
 FROM part LEFT JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1) t ON t.k = p_partkey
@@ -331,27 +324,29 @@ UNION ALL
 SELECT 'supplier', s_suppkey, CAST(CASE WHEN coalesce(t.n, 0) > 5 THEN 1 ELSE 0 END AS DECIMAL(38,2)), least(coalesce(t.n, 0), 5), NULL
 FROM supplier LEFT JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) t ON t.k = s_suppkey
 UNION ALL
-SELECT 'orders', o_orderkey, CAST(coalesce(t.s, 0) AS DECIMAL(38,2)), {guarded("lineitem", "l_orderkey", "coalesce(t.n, 0)", "BIGINT")},
-  CAST(coalesce(t.n, 0) AS VARCHAR)
+SELECT 'orders', o_orderkey, CAST(coalesce(t.s, 0) AS DECIMAL(38,2)),
+  CASE WHEN {widest("lineitem", "l_orderkey")} <= {LIMIT} THEN coalesce(t.n, 0) END, CAST(coalesce(t.n, 0) AS VARCHAR)
 FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS n, {REVENUE} AS s FROM lineitem GROUP BY 1) t ON t.k = o_orderkey
+UNION ALL
+SELECT 'lineitem', l_orderkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(38,2)), NULL, l_linenumber || ':' || l_partkey || ':' || l_suppkey FROM lineitem
+UNION ALL
+SELECT 'events', event_id, CAST(0 AS DECIMAL(38,2)), NULL, event_type FROM events
 """,
     "strategies_under_limit": relationship_sql(500),
     "report_relationships": relationship_sql(LIMIT, (("events", "customer"),)),
     "strategies_with_cycle": f"""
-SELECT 'customer' AS child, 'orders' AS parent, 'ONE_TO_MANY' AS declared,
+SELECT 'customer' AS child, 'last_order' AS fk, 'orders' AS parent, 'ONE_TO_MANY' AS declared,
   CASE WHEN count(DISTINCT o_custkey) > 0 THEN 'ONE_TO_ONE' END AS observed, CAST(1 AS BIGINT) AS max_children,
   'REFERENCE' AS strategy, TRUE AS written FROM orders
 UNION ALL
-SELECT 'orders', 'customer', 'ONE_TO_MANY', CASE WHEN {widest("orders", "o_custkey")} <= 1 THEN 'ONE_TO_ONE' ELSE 'ONE_TO_MANY' END,
+SELECT 'orders', 'o_custkey', 'customer', 'ONE_TO_MANY', CASE WHEN {widest("orders", "o_custkey")} <= 1 THEN 'ONE_TO_ONE' ELSE 'ONE_TO_MANY' END,
   CAST({widest("orders", "o_custkey")} AS BIGINT), CASE WHEN {widest("orders", "o_custkey")} > {LIMIT} THEN 'REFERENCE' ELSE 'EMBED' END,
   {widest("orders", "o_custkey")} > {LIMIT}
 """,
     "write_parquet_round_trip": f"""
-SELECT c_custkey, coalesce(g.n, 0) AS order_count,
-  CAST({guarded("orders", "o_custkey", "coalesce(g.s, 0)", "DECIMAL(38,2)")} AS DECIMAL(38,2)) AS revenue,
-  {guarded("orders", "o_custkey", "coalesce(g.n, 0)", "BIGINT")} AS n_orders
-FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n, sum(coalesce(t.s, 0)) AS s
-  FROM orders LEFT JOIN (SELECT l_orderkey AS k, {REVENUE} AS s FROM lineitem GROUP BY 1) t ON t.k = o_orderkey GROUP BY 1) g ON g.k = c_custkey
+SELECT c_custkey, coalesce(n, 0) AS order_count, o_orderkey, CASE WHEN o_orderkey IS NOT NULL THEN CAST(coalesce(s, 0) AS DOUBLE) END AS revenue
+FROM customer LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) ON o_custkey = c_custkey
+LEFT JOIN (SELECT l_orderkey AS k, {REVENUE} AS s FROM lineitem GROUP BY 1) ON k = o_orderkey
 """,
     "write_json_keeps_nulls": """
 SELECT d.doc_id, l.doc_id IS NULL AS null_written, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
