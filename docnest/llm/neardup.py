@@ -321,5 +321,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns: one of each component, and every row without words."""
     rows, sets = row_components(docs)
-    stay = sets.select(F.col("first_row").alias("row")).unionByName(rows.where("n_shingles = 0").select("row"))
+    stay = sets.select(F.col("first_row").alias("row")).distinct().unionByName(rows.where("n_shingles = 0").select("row"))
     return rows.join(stay, "row").select("doc.*")

@@ -89,7 +89,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _per_thousand(part: str, whole: str) -> Column:
-    return F.expr(f"coalesce({part} * 1000 div {whole}, 0)")
+    return F.expr(f"coalesce({part} * 1000 div nullif({whole}, 0), 0)")
 
 
 def _with_measures(rows: DataFrame) -> DataFrame:
