@@ -25,7 +25,7 @@ LEAST_SCORE = 0.4
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language of the corpus; the model learns from the rows that say theirs."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
-    found = language_id.labelled(docs, model, docs.columns)
+    found = language_id.labelled(docs, model)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

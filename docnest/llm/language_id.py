@@ -189,7 +189,7 @@ class Labeller:
     """Texts to (label, score), in batches; keeps the scores of words it has seen."""
 
     #: Words labelled at once.
-    most = 150_000
+    most = 80_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -243,7 +243,7 @@ def _predicted(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model) if model else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("row").field("text").to_pylist()
             found = labeller.label(texts) if labeller else [(UNKNOWN, 0.0)] * len(texts)
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", "lang_pred", "score"])
@@ -251,13 +251,13 @@ def _predicted(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def labelled(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row as ``row``, with lang_pred and score of its text."""
-    asked = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+def labelled(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Every row of ``docs`` as ``row``, with lang_pred and score of its text."""
+    asked = docs.select(F.struct(*docs.columns).alias("row"))
     return mapped(asked, _predicted(model), StructType([asked.schema["row"], *StructType.fromDDL("lang_pred string, score double")]))
 
 
 def identify(docs: DataFrame, learn: Column) -> DataFrame:
     """doc_id, lang_pred, score of every row; the model learns from the rows for which ``learn`` holds."""
-    model = fit(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"), learn)
-    return labelled(docs, model, ["doc_id"]).select("row.doc_id", "lang_pred", "score")
+    model = fit(docs, learn)
+    return labelled(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docnest.functions.columns import as_type, column, hashable
 from docnest.operators import grouping as g
@@ -43,17 +44,36 @@ def _column_counts(name: str, df: DataFrame) -> DataFrame:
     return exploded.select(F.lit(name).alias("table_name"), F.col("rows").alias("row_count"), "e.*")
 
 
-def _shared_hashes(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
-    """Per candidate column, how many rows share the most frequent 64-bit hash, and that hash:
-    one scan and one shuffle of hashes for all candidates of a table, whatever their width."""
-    entries = [
-        F.struct(F.lit(i).alias("position"), F.when(column(f.name).isNotNull(), F.xxhash64(column(f.name))).alias("hash"))
-        for i, f in enumerate(df.schema.fields)
-        if i in positions
-    ]
-    hashes = df.select(F.inline(F.array(*entries))).filter(F.col("hash").isNotNull())
-    counted = hashes.groupBy("position", "hash").agg(F.count(F.lit(1)).alias("n"))
-    widest = counted.groupBy("position").agg(F.max("n").alias("most"), F.max_by("hash", "n").alias("hash"))
+def _as_whole(col: Column, dtype: T.DataType) -> Column | None:
+    """The value itself as a BIGINT, for types no wider than that."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return col.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(col).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col)
+    return None
+
+
+def _codes(col: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """Two BIGINTs that stand for a value: itself and 0, or two hashes of it with different seeds."""
+    whole = _as_whole(col, dtype)
+    if whole is not None:
+        return whole, F.lit(0).cast("bigint")
+    return F.when(col.isNotNull(), F.xxhash64(col)), F.xxhash64(F.lit(7), col)
+
+
+def _shared_codes(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """Per candidate column, how many rows share the most frequent code, and that code: one scan and
+    one shuffle of 16 bytes a value for all candidates of a table, whatever their width."""
+    entries = []
+    for i, f in enumerate(df.schema.fields):
+        if i in positions:
+            code, check = _codes(column(f.name), f.dataType)
+            entries.append(F.struct(F.lit(i).alias("position"), code.alias("code"), check.alias("check")))
+    codes = df.select(F.inline(F.array(*entries))).filter(F.col("code").isNotNull())
+    counted = codes.groupBy("position", "code", "check").agg(F.count(F.lit(1)).alias("n"))
+    widest = counted.groupBy("position").agg(F.max("n").alias("most"), F.max_by("code", "n").alias("code"))
     return widest.withColumn("table_name", F.lit(name))
 
 
@@ -67,8 +87,8 @@ def _most_equal(name: str, position: int, rows: DataFrame, col: str) -> DataFram
 def _unique_columns(tables: Mapping[str, DataFrame], candidates: Mapping[str, Sequence[int]]) -> set[tuple[str, int]]:
     """Which candidates have no value twice, exactly.
 
-    Distinct hashes prove distinct values. Where a hash is shared, the rows with that hash are
-    compared by value; only if those turn out to differ is the whole column grouped by value.
+    Distinct codes prove distinct values, and for narrow types shared ones prove equal values. Where hashes are shared, the
+    rows with them are compared by value; only if those turn out to differ is the whole column grouped by value.
     """
     unique = {(name, i) for name, found in candidates.items() for i in found}
 
@@ -79,18 +99,23 @@ def _unique_columns(tables: Mapping[str, DataFrame], candidates: Mapping[str, Se
     def field(name: str, i: int) -> str:
         return tables[name].schema.fields[i].name
 
-    hashed = largest([_shared_hashes(name, tables[name], found) for name, found in candidates.items() if found])
-    shared = {key: r["hash"] for key, r in hashed.items() if r["most"] > 1}
+    def kind(name: str, i: int) -> T.DataType:
+        return tables[name].schema.fields[i].dataType
+
+    coded = largest([_shared_codes(name, tables[name], found) for name, found in candidates.items() if found])
+    shared = {key: r for key, r in coded.items() if r["most"] > 1}
+    equal = {(n, i) for n, i in shared if _as_whole(F.lit(0), kind(n, i)) is not None}
     compared = largest(
         [
-            _most_equal(n, i, tables[n].filter(F.xxhash64(column(field(n, i))) == F.lit(h)), field(n, i))
-            for (n, i), h in shared.items()
+            _most_equal(n, i, tables[n].filter(_codes(column(field(n, i)), kind(n, i))[0] == F.lit(r["code"])), field(n, i))
+            for (n, i), r in shared.items()
+            if (n, i) not in equal
         ]
     )
     collided = [key for key, r in compared.items() if r["most"] <= 1]
     grouped = largest([_most_equal(n, i, tables[n], field(n, i)) for n, i in collided])
     repeated = {key for found in (compared, grouped) for key, r in found.items() if r["most"] > 1}
-    return unique - repeated
+    return unique - repeated - equal
 
 
 def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalogue: Catalogue) -> DataFrame:
@@ -98,7 +123,8 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalog
     are unique.
 
     One scan per table estimates distinct counts with a fixed-size sketch; only columns that may
-    be unique are then counted exactly.
+    be unique are then counted exactly. ``is_unique`` is null for types that cannot be compared; false rests on the
+    sketch where it puts the distinct values under CANDIDATE_SHARE of all.
     """
     measured = {
         (r["table_name"], r["position"]): r
@@ -123,7 +149,7 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalog
                 (
                     name, i + 1, f.name, f.dataType.simpleString(), f.name.lower() in pk,
                     m["row_count"], m["value_count"], m["value_count"] < m["row_count"],
-                    (name, i) in unique,
+                    (name, i) in unique if hashable(f.dataType) else None,
                 )
             )
     return spark.createDataFrame(rows, PROFILE_SCHEMA)

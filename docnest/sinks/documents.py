@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,10 @@ from docnest.functions.values import stored_type
 from docnest.plans.model import PlanError
 
 
+#: Datasets written at the same time.
+SIDE_BY_SIDE = 4
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame in its stored types: decimals become doubles at every depth."""
     return df.select(
@@ -50,24 +55,28 @@ def write_documents(
     cheaper frame that is empty exactly when the documents are (the plain table).
     """
     check_names(documents)
-    written = []
-    for table, frame in documents.items():
+
+    def write(table: str) -> bool:
         path = dataset_path(folder, table)
         if (sources or documents)[table].isEmpty():
             remove_folder(spark, path)
-            continue
-        writer = stored(frame).write.mode("overwrite").format(source)
+            return False
+        writer = stored(documents[table]).write.mode("overwrite").format(source)
         if source == "json":
             writer = writer.option("ignoreNullFields", "false")
         writer.options(**(options or {})).save(path)
-        written.append(table)
-    return written
+        return True
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:  # each dataset is a job of its own
+        return [table for table, done in zip(documents, list(pool.map(write, documents)), strict=True) if done]
 
 
 def write_collections(documents: Mapping[str, DataFrame], database: str, options: Mapping[str, str]) -> None:
     """The same through the MongoDB Spark connector, where its jar is on the class path."""
     check_names(documents)
     for table, frame in documents.items():
+        if frame.isEmpty():
+            continue
         writer = stored(frame).write.format("mongodb").mode("overwrite").options(**options)
         writer.option("database", database).option("collection", dataset_name(table)).save()
 
