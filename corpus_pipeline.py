@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from docnest.llm import language_id, mixing, neardup, packing, secret_scan
 from docnest.llm.frames import discard, stored, table
 
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: every row of ``docs``, all its columns, as often as it is taken."""
-    limits = thresholds(docs.select("doc_id", *_hashes()), weights, share, most)
+    limits = thresholds(stored(docs.select("doc_id", *_hashes()), "mix-rows"), weights, share, most)
     whole = docs.select(F.struct(*docs.columns).alias("doc"), *_hashes()).join(limits, "source_key")
     times = F.array_repeat(F.lit(1), _copies().cast("int"))
     return whole.select("doc", F.explode(times).alias("nth")).select("doc.*")
