@@ -11,8 +11,9 @@ Blocks are filled in the order rows arrive in a task, so nothing is shuffled, no
 block besides its Arrow batch. Pieces are written once; a second pass over them numbers the sequences of all tasks without gaps.
 
 Tokenizer: the vocabulary and merges of the given ``tokenizers`` file. Texts of characters up to U+024F run through tiktoken's merge loop over
-the same ranks, several times faster than ``tokenizers``; any other text, and any with a special token in it, runs
-through ``tokenizers`` itself. Both give the same ids (tested).
+the same ranks, several times faster than ``tokenizers``; any other text, any with a special token in it, and any with a run of
+LONG_RUN white-space characters, on which tiktoken's pattern runs out of stack, runs through ``tokenizers`` itself. Both give
+the same ids (tested).
 
 Defined results: null and empty texts are the end id alone. Equal rows are packed one by one.
 """
@@ -41,6 +42,9 @@ STRIP = 64
 STRIP_EVERY = 16
 END = 0
 _FAR = re.compile("[^\x00-ɏ]")
+#: White space that tiktoken is not asked to split; looked for from the start of each run only.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
 #: The pattern that splits text before merges, fixed for byte-level files.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -74,7 +78,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     fast = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if _FAR.search(text) or any(s in text for s in special):
+        if _FAR.search(text) or any(s in text for s in special) or len(text) >= LONG_RUN and _LONG_RUN.search(text):
             return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

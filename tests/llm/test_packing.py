@@ -32,6 +32,13 @@ def test_ids_of_every_character_of_the_fast_path(slow):
         assert packing.encoder(PATH)(text).tolist() == slow.encode(text, add_special_tokens=False).ids, hex(ord(c))
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u00a0", "\r\n"])
+def test_ids_of_long_white_space(slow, space):
+    for n in (packing.LONG_RUN - 1, packing.LONG_RUN, 2_000_000):
+        text = f"a b{space * n}c d"
+        assert packing.encoder(PATH)(text).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 1023), min_size=1, max_size=60))
 def test_windows_hold_every_piece_once(sizes):
