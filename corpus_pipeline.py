@@ -6,7 +6,7 @@ Every stage works on all rows the one before has kept; all but the last return t
 2. near-dedup: of every group of near copies one document stays;
 3. secret scan: every row stays, secrets in it become a mark, ``n_chars`` follows;
 4. mixing: documents are repeated or left out so that the sources get their weights;
-5. packing: pieces of documents with their places in windows of 1024 tokens.
+5. packing: pieces of documents, their token ids and their places in windows of 1024 tokens.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ CAPACITY, by as many windows as the excess fills. One tail in STRIP_EVERY is cut
 last, they level what larger tails leave uneven.
 
 Blocks are filled in the order rows arrive in a task, so nothing is shuffled, no group grows with a key, and a task holds one
-block besides its Arrow batch. Pieces are written once; a second pass over them numbers the sequences of all tasks without gaps.
+block besides its Arrow batch. Pieces are written once, with their token ids; a second pass over them numbers the sequences of all
+tasks without gaps. The pieces of one sequence_id by offset, ids joined, are a training sequence.
 
 Tokenizer: the vocabulary and merges of the given ``tokenizers`` file. Texts of characters up to U+024F run through tiktoken's merge loop over
 the same ranks, several times faster than ``tokenizers``; any other text, any with a special token in it, and any with a run of
@@ -144,7 +145,9 @@ def cuts(n: int, capacity: int, strips: bool) -> list[tuple[int, int]]:
     return pieces + [(at, min(step, n - at)) for at in range(full, n, step)]
 
 
-_PIECE = "start long, length long, ids_crc32 long, doc_tokens long, task int, nth long, offset long"
+#: Token ids a written batch holds, give or take a document.
+_BATCH_IDS = 1 << 21
+_PIECE = "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, task int, nth long, offset long"
 
 
 def _pieces(path: str, capacity: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -169,26 +172,35 @@ def _pieces(path: str, capacity: int, block: int) -> Callable[[Iterator[pa.Recor
             return out
 
         def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            ends = np.cumsum([0, *columns[2]], dtype=np.int32)
+            flat = np.concatenate(columns[3]).astype(np.int32, copy=False) if rows else np.array([], np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             types = [kind, *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", *names])
+            made = [pa.array(c, t) for c, t in zip(columns[:3] + columns[4:], types, strict=True)]
+            return pa.RecordBatch.from_arrays([*made[:3], ids, *made[3:]], names=["doc_id", *names])
 
         for batch in batches:
             keys = batch.column("doc_id")
-            done = []
+            done, held = [], 0
             for key, text in zip(keys.to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4", copy=False)
                 for start, length in cuts(len(ids), capacity, tails % STRIP_EVERY == 0):
-                    row = (key, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids))
+                    piece = ids[start : start + length]
+                    row = (key, start, length, piece, zlib.crc32(piece.tobytes()), len(ids))
                     if length == capacity:
                         done.append((*row, task, windows, 0))
                         windows += 1
                     else:
-                        waiting.append(row)
+                        waiting.append((*row[:3], piece.copy(), *row[4:]))  # a view would keep the whole document
                 tails += len(ids) % capacity > 0
                 if tails == block:
                     done += close(waiting)
                     waiting, tails = [], 0
+                held += len(ids)
+                if held >= _BATCH_IDS:
+                    yield batch_of(done, keys.type)
+                    done, held = [], 0
             yield batch_of(done, keys.type)
         if waiting:
             yield batch_of(close(waiting), keys.type)
@@ -197,7 +209,7 @@ def _pieces(path: str, capacity: int, block: int) -> Callable[[Iterator[pa.Recor
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+    """doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     run = _pieces(tokenizer or default_tokenizer(), capacity, block)
@@ -207,5 +219,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     upto = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     first = stored(tasks.select("task", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first")).coalesce(1), "sequences")
     return pieces.join(first, "task").select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), "offset"
+        "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), "offset"
     )

@@ -77,7 +77,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of 1024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,3 +96,22 @@ def test_round_trip_of_odd_rows(spark, slow):
 def test_little_padding(spark, slow):
     rows = [(i, prose(i, 20 + (i * 37) % 900), "en", "a", 0) for i in range(600)]
     assert check(packing.pack(frame(spark, rows).coalesce(2)).collect(), rows, slow) < 0.04
+
+
+def test_pieces_hold_their_ids(spark, slow):
+    rows = [(i, prose(i, (i * 97) % 3000), "en", "a", 0) for i in range(60)]
+    got = packing.pack(frame(spark, rows).coalesce(1)).collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in got)
+    for key, text, *_ in rows:
+        pieces = sorted((r for r in got if r.doc_id == key), key=lambda r: r.start)
+        assert [i for r in pieces for i in r.ids] == [*slow.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def test_written_batches_are_bounded(monkeypatch):
+    texts = [prose(i, 2000) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    whole = list(packing._pieces(PATH, 1024, 4)(iter([batch])))
+    monkeypatch.setattr(packing, "_BATCH_IDS", 10_000)
+    parts = list(packing._pieces(PATH, 1024, 4)(iter([batch])))
+    assert len(parts) > len(whole) and pa.Table.from_batches(parts).equals(pa.Table.from_batches(whole))
