@@ -2,9 +2,10 @@
 
 Two passes over a text. The first finds fixed shapes: a sensitive word assigned a value, access keys, long hexadecimal
 runs. The second reads source and configuration syntax (``name = "literal"``, ``name: 'literal'``, ``"name": "literal"``,
-``name := literal``, ``name => literal``, ``NAME=bare``) into pairs of a name and a value. A value is a literal, several literals joined by
-``+``, or another name; names carry their literals on, so ``K = "..."; api_secret = K`` finds the literal of K. A literal is a
-secret when the best sensitive name it reaches and its own look score SECRET or more.
+``name := literal``, ``name => literal``, ``NAME=bare``) into pairs of a name and a value. A value is a list of literals and names joined
+by ``+`` (literals also by standing side by side); names carry their literals on, so ``K = "..."; api_secret = K + "..."`` finds the literal
+of K too, and parts are judged as the whole they make. Literals and names may have any length; those in back-ticks or triple quotes may
+span lines. A literal is a secret when the best sensitive name it reaches and its own look score SECRET or more.
 
 Offsets count code points, ends are exclusive. Defined results: null and empty texts have no spans; equal spans of one
 kind are listed once.
@@ -44,13 +45,22 @@ SENSITIVE = {
 SECRET = 5
 _PLACEHOLDER = re.compile(r"^(?:change_?me.*|your[_-].*|example.*|placeholder|none|null|true|false|undefined|x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s)$", re.I)
 
-_NAME = r"""(?P<name>"[\w.\- ]{1,80}"|'[\w.\- ]{1,80}'|[A-Za-z_$][\w.\-$]{0,120})"""
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\.){0,4000}"|'(?:[^'\\\n]|\\.){0,4000}')"""
+# Possessive, so that a name or literal of any length is read once and never given back. A bare name starts at the first part of a
+# run such as --a.b that starts like one.
+_BARE_NAME = r"""(?<![\w.\-$])[.\-]*+(?:[^\WA-Za-z_][\w$]*+[.\-]++)*+(?P<bare>[A-Za-z_$][\w.\-$]*+)"""
 _ASSIGNED = re.compile(
-    rf"""(?<![\w$]){_NAME}[ \t]{{0,20}}(?::[ \t]{{0,4}}[A-Za-z_][\w.\[\], ]{{0,40}}?[ \t]{{0,4}}(?==))?(?::=|=>|=(?!=)|:(?!:|//))[ \t]{{0,20}}"""
-    rf"""(?P<value>{_LITERAL}(?:[ \t]*\+?[ \t]*{_LITERAL})*|[^\s"'`;,(){{}}\[\]<>]+)"""
+    rf"""(?:(?<![\w$])(?P<quoted>"[\w.\- ]++"|'[\w.\- ]++')|{_BARE_NAME})[ \t]*+"""
+    r"""(?::[ \t]{0,4}[A-Za-z_][\w.\[\], ]{0,40}?[ \t]{0,4}(?==))?(?::=|=>|=(?!=)|:(?!:|//))[ \t]*+"""
 )
-_ONE_LITERAL = re.compile(_LITERAL)
+_STRING = re.compile(
+    r"""[rRbBuUfF]{0,2}(?:\"\"\"(?P<lines2>[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+)\"\"\"|\'\'\'(?P<lines1>[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+)\'\'\'"""
+    r"""|`(?P<tick>[^`\\]*+(?:\\.[^`\\]*+)*+)`|"(?P<two>[^"\\\n]*+(?:\\[^\n][^"\\\n]*+)*+)"|'(?P<one>[^'\\\n]*+(?:\\[^\n][^'\\\n]*+)*+)')""",
+    re.S,
+)
+_BARE = re.compile(r"""[^\s"'`;,(){}\[\]<>]++""")
+_JOIN = re.compile(r"""[ \t]*+\+(?!=)\s*+|\s*\n[ \t]+\+[ \t]*(?=["'`])""")
+_BESIDE = re.compile(r"""[ \t]*+(?=["'])""")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 Span = tuple[str, int, int]
@@ -76,49 +86,108 @@ def name_score(name: str) -> int:
     return min(3, max([0, *pairs, *(SENSITIVE.get(p, 0) for p in parts), *(SENSITIVE.get(a + b, 0) for a, b in zip(parts, parts[1:], strict=False))]))
 
 
-def value_score(value: str) -> int:
-    """How much a literal looks like a secret: length, mixed characters, no prose, no placeholder."""
-    if len(value) < 8 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+class Value:
+    """A literal of the text (no parts), or values joined. A join keeps its text up to LONGEST_TEXT characters, and of any length the
+    counts of its characters, so joins of joins cost no more than they have parts."""
+
+    __slots__ = ("start", "end", "parts", "text", "counts", "pem", "reached")
+
+    def __init__(self, start: int, end: int, text: str | None, parts: list[Value]):
+        self.start, self.end, self.text, self.parts, self.reached = start, end, text, parts, 0
+        self.pem = any(p.pem for p in parts) or text is not None and bool(_PEM.search(text))
+        self.counts = sum((p.counts for p in parts), Counter()) if parts else Counter(text)
+        if self.counts.total() > 1 << 60:  # joins doubled again and again: only the shares matter
+            self.counts = Counter({c: max(1, n >> 30) for c, n in self.counts.items()})
+
+
+#: No placeholder made by joining is longer.
+LONGEST_TEXT = 4096
+
+
+def joined(parts: list[Value]) -> Value:
+    if len(parts) == 1:
+        return parts[0]
+    known = all(p.text is not None for p in parts) and sum(len(p.text) for p in parts) <= LONGEST_TEXT
+    return Value(0, 0, "".join(p.text for p in parts) if known else None, parts)
+
+
+def value_score(value: Value) -> int:
+    """How much a value looks like a secret: length, mixed characters, no prose unless a key block, no placeholder."""
+    counts, total = value.counts, value.counts.total()
+    if total < 8 or value.text is not None and _PLACEHOLDER.match(value.text) or not value.pem and any(c.isspace() for c in counts):
         return 0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(n / total * math.log2(n / total) for n in counts.values())
+    chars = "".join(counts)
+    classes = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return 1 + (classes >= 2) + (entropy >= 3.0)
 
 
-def assigned_literals(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(target name, its literals as start, end, value) of every assignment, names already followed to literals."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
-    out = []
-    for m in _ASSIGNED.finditer(text):
-        name, value, at = m["name"].strip("\"'"), m["value"], m.start("value")
-        if value[0] in "\"'":
-            literals = [(at + x.start() + 1, at + x.end() - 1, x[0][1:-1]) for x in _ONE_LITERAL.finditer(value)]
-            if len(literals) > 1:  # joined parts are judged as the whole they make
-                whole = "".join(x[2] for x in literals)
-                literals = [(s, e, whole) for s, e, _ in literals]
-        elif value in constants:
-            literals = constants[value]
+def _terms(text: str, at: int, constants: dict[str, Value], made: list[Value]) -> tuple[list[Value], list[Value], int]:
+    """The values joined by + at a place, bare words among them that are no known names, and where to read on."""
+    parts: list[Value] = []
+    alone: list[Value] = []
+    inside, stop, lines = -1, at, False
+
+    def literal(start: int, end: int) -> Value:
+        made.append(Value(start, end, text[start:end], []))
+        return made[-1]
+
+    while True:
+        if m := _STRING.match(text, at):
+            start, end = m.span(m.lastgroup)
+            parts.append(literal(start, end))
+            if inside < 0 and "\n" in text[start:end]:
+                inside = start  # assignments in a block of text count as well
+            stop, beside = m.end(), _BESIDE.match(text, m.end())
+        elif m := _BARE.match(text, at):
+            word, end, beside = m[0], m.end(), None
+            if word[-1] == "+" and len(word) > 1 and (text[end : end + 20].lstrip(" \t")[:1] in ('"', "'", "`") or word[:-1].split("+")[-1] in constants):
+                word, end = word[:-1], end - 1
+            names = [word] if word in constants else [n for n in word.split("+") if n in constants]
+            if lines and not names:
+                break  # the next line, and no value of ours
+            parts += [constants[n] for n in names]
+            if not names or names != [word] and len(names) <= word.count("+"):
+                bare = word.rstrip(".:")
+                alone.append(literal(at, at + len(bare)))
+            stop = end
         else:
-            bare = value.rstrip(".:")
-            literals = [(at, at + len(bare), bare)]
-        constants[name] = literals
-        out.append((name, literals))
-    return out
+            break
+        if beside and _STRING.match(text, beside.end()):
+            at, lines = beside.end(), False
+        elif m := _JOIN.match(text, stop):
+            at, lines = m.end(), "\n" in m[0]
+        else:
+            break
+    return parts, alone, max(inside, 0) or stop
 
 
 def literal_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    best: dict[tuple[int, int], int] = {}
-    for name, literals in assigned_literals(text):
-        score = name_score(name)
-        for start, end, value in literals if score else ():
-            looks = value_score(value)
-            if looks and end > start:
-                best[start, end] = max(best.get((start, end), 0), score + looks)
-    return [("literal", s, e) for (s, e), score in best.items() if score >= SECRET]
+    constants: dict[str, Value] = {}
+    made: list[Value] = []  # parts before joins
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        name = m["bare"] or m["quoted"][1:-1]
+        parts, alone, at = _terms(text, m.end(), constants, made)
+        if not parts and not alone:
+            continue
+        values = list(alone)
+        if parts:
+            values.insert(0, joined(parts))
+            if len(parts) > 1:
+                made.append(values[0])
+        constants[name] = values[0]
+        if score := name_score(name):
+            for value in values:
+                if looks := value_score(value):
+                    value.reached = max(value.reached, score + looks)
+    for value in reversed(made):
+        for part in value.parts:
+            part.reached = max(part.reached, value.reached)
+    return [("literal", v.start, v.end) for v in made if not v.parts and v.end > v.start and v.reached >= SECRET]
 
 
 def ordered(spans: list[Span]) -> list[Span]:

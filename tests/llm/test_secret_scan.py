@@ -36,6 +36,44 @@ def test_literals(text, want):
     assert values(text) == want
 
 
+LONG = LITERAL * 300
+PEM = "-----BEGIN PRIVATE KEY-----\\nMIIEvQ9xK2\\n-----END PRIVATE KEY-----"
+LINES = PEM.replace("\\n", "\n")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (f'client_key_secret = "{LONG}"', [LONG]),
+        (f"secret_{'x' * 300} = '{LITERAL}'", [LITERAL]),
+        (f'"secret {"x" * 300}": "{LITERAL}"', [LITERAL]),
+        (f'{{"private_key": "{PEM}", "a": 1}}', [PEM]),
+        (f'private_key = """{LINES}"""', [LINES]),
+        (f"const apiToken = `{LITERAL}`", [LITERAL]),
+        (f"privateKey: `{LINES}`", [LINES]),
+        ('PREFIX = "qX7t"\nSUFFIX = "9Lm2_vB4"\napi_secret = PREFIX + SUFFIX', ["qX7t", "9Lm2_vB4"]),
+        ('PREFIX = "qX7t"\nSUFFIX = "9Lm2_vB4"\napi_secret = PREFIX+SUFFIX', ["qX7t", "9Lm2_vB4"]),
+        ('P = "qX7t"\nJ = P + "-9Lm2"\napi_secret = J + "_vB4"', ["qX7t", "-9Lm2", "_vB4"]),
+        (f'api_secret = load_it + "{LITERAL}"', [LITERAL]),
+        ('token = "qX7t9Lm2" +\n    "vB4kRz11"', ["qX7t9Lm2", "vB4kRz11"]),
+        (f"run --db.password={LITERAL}", [LITERAL]),
+        (f'text = """\npassword = "{LITERAL}"\n"""', [LITERAL]),
+        (f"TOKEN=ab+cd/ef12+\nPASSWORD={LITERAL}", ["ab+cd/ef12+", LITERAL]),
+        ('secret = """two\nwords here"""', []),
+    ],
+)
+def test_literals_of_any_length_and_form(text, want):
+    assert values(text) == want
+
+
+def test_joins_of_joins_take_time_in_proportion():
+    for text in (
+        'a = "qX7t"\n' + "a = a + a\n" * 20_000 + "token = a", 'token = "qX7t"\n' + 'token = token + "x"\n' * 20_000, "a." * 100_000 + "=", "x = `" * 40_000,
+        'x = """' * 40_000, ("x = " + "'" * 3 + "\\") * 40_000, f'A = "{LITERAL * 5000}"\n' + "token = A\n" * 5000, "x = 'a'" + "\n " * 100_000, "'" + "a b " * 50_000, "a " * 100_000 + " " * 100_000,
+    ):
+        s.literal_spans(text)
+
+
 def brute(text):
     """The base scan by its words, position by position."""
     out = []
