@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of elements. Parts that are never article text (menus, page headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles) are cut off by their tag, role or class. Every paragraph left passes
+adverts, forms, comments, scripts, styles) are cut off by their tag, role or class. A word of the class alone does not cut a part
+that another class calls article and that reads like prose, nor one that holds most of the page's prose, nor prose inside an article
+under a word of double meaning (a section ``discussion``); these are left to the scores. Every paragraph left passes
 points for its length and its commas to its parent, half of them to the grandparent, a sixth, an eighth, ... further up; an element's points
 count less the more of its text is links. The element with most points is the container; if it lies in an ``article`` or
 ``main``, that is. Its siblings are kept when they score like it, or read like prose or a heading.
@@ -57,6 +59,11 @@ SELDOM = frozenset(
     "banner search login signup form legal disclaimer tags meta byline".split()
 )
 ARTICLE = frozenset("article post entry story main content".split())
+#: Words of NEVER that an article also uses of its own sections.
+DOUBLE = frozenset("discussion related recommended recommendations notice notices alert notification promotion social share sharing sponsor skip".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: Words said not to be there, or to be elsewhere: no-sidebar, layout--with-menu, ad-free.
+_DENIED = re.compile(r"(?<![a-z])(?:has|have|no|not|non|with|without)[-_]+[a-z]+|(?<![a-z])[a-z]+[-_]+(?:free|less)(?![a-z])")
 _WORDS = re.compile(r"[a-z]+")
 _PROSE = re.compile(r"[.!?。！？](?:\s|$)")
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt figcaption h2 h3 h4 h5 h6 summary".split())
@@ -64,12 +71,13 @@ _BASE = {"article": 10, "main": 8, "div": 5, "section": 4, "pre": 3, "td": 3, "b
 
 
 class Element:
-    __slots__ = ("tag", "parent", "inside", "words", "length", "links", "points", "gone", "scored")
+    __slots__ = ("tag", "parent", "inside", "words", "called", "length", "links", "prose", "comments", "points", "gone", "scored")
 
-    def __init__(self, tag: str, parent: Element | None, words: frozenset[str], gone: bool):
-        self.tag, self.parent, self.words, self.gone = tag, parent, words, gone
+    def __init__(self, tag: str, parent: Element | None, words: frozenset[str], called: bool, gone: bool):
+        self.tag, self.parent, self.words, self.called, self.gone = tag, parent, words, called, gone
         self.inside: list[Element | str] = []
-        self.length = self.links = 0
+        self.length = self.links = self.prose = 0
+        self.comments = False
         self.points, self.scored = 0.0, False
 
     def density(self) -> float:
@@ -79,7 +87,7 @@ class Element:
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.top = Element("", None, frozenset(), False)
+        self.top = Element("", None, frozenset(), False, False)
         self.open = [self.top]
         self.every = [self.top]
 
@@ -100,10 +108,12 @@ class _Tree(HTMLParser):
         if tag == "body":
             self._close_to({"head"}, frozenset())
         named = {k: v or "" for k, v in attrs}
-        words = frozenset(_WORDS.findall(f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}".lower()))
+        names = [frozenset(_WORDS.findall(x)) for x in _DENIED.sub(" ", f"{named.get('class', '')} {named.get('id', '')} {named.get('role', '')}".lower()).split()]
+        words = frozenset().union(*names)
+        called = any(x & ARTICLE and not x & NEVER and not x & SELDOM for x in names)
         style = named.get("style", "").replace(" ", "").lower()
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        made = Element(tag, self.open[-1], words, tag in HIDDEN or hidden)
+        made = Element(tag, self.open[-1], words, called, tag in HIDDEN or hidden)
         self.open[-1].inside.append(made)
         self.every.append(made)
         if tag not in VOID:
@@ -144,9 +154,62 @@ def _holders(every: list[Element]) -> set[Element]:
     return holders
 
 
+def _weigh(every: list[Element]) -> None:
+    """``prose`` of every element: characters of its paragraphs that are not mostly links; and whether comments are inside."""
+    for e in reversed(every):
+        if e.gone:
+            continue
+        own = 0
+        for x in e.inside:
+            if isinstance(x, str):
+                own += len(" ".join(x.split()))
+            elif not x.gone:
+                e.length += x.length
+                e.links += x.links
+                e.prose += x.prose
+                e.comments |= x.comments or bool(x.words & _COMMENTS)
+        e.length += own
+        if e.tag == "a":
+            e.links = e.length
+        if e.length >= 25 and (e.tag in ("p", "pre", "blockquote", "td") or own >= 80 and e.tag in ("div", "section", "article")) and e.density() < 0.25:
+            e.prose = e.length
+
+
+def _outside(every: list[Element], articles: list[Element]) -> set[Element]:
+    """Elements with prose of an article outside them."""
+    own = dict.fromkeys(every, 0)  # prose of articles under each element
+    marked = set(articles)
+    under = set()
+    for e in every:
+        if e in marked or e.parent in under:
+            under.add(e)
+    for e in reversed(every):
+        own[e] = e.prose if e in under else sum(own[x] for x in e.inside if not isinstance(x, str))
+    return {e for e in every if own[e] < own[every[0]]}
+
+
+def _spared(e: Element, inside: set[Element], page: int, outside: set[Element]) -> bool:
+    """Whether words of its class are too little to cut an element."""
+    strict = e.words & NEVER and (not e.words & DOUBLE or e.words & NEVER - DOUBLE)
+    if not e.prose:
+        return False
+    if e.prose == page:  # else nothing would be left
+        return True
+    reads = e.prose * 2 > e.length and e.density() < 0.25
+    if strict:
+        return reads and e.called and e.prose * 2 > page and e not in outside
+    if e.words & NEVER:
+        return reads and not e.comments and (e in inside or e.called)
+    return reads and e.called or e.prose * 2 > page and e not in outside
+
+
 def _cut(every: list[Element]) -> None:
     """Mark the parts that are not article text, with all they hold."""
+    _weigh(every)
     holders = _holders(every)
+    page = every[0].prose
+    called = [e for e in every if e.prose and (e.called or e.tag in ("article", "main")) and e.tag not in ("html", "body") and not e.words & NEVER]
+    outside = _outside(every, called)
     inside: set[Element] = set()
     for e in every:
         up = e.parent
@@ -157,16 +220,17 @@ def _cut(every: list[Element]) -> None:
         elif e.tag in ("html", "body", "article", "main", ""):
             e.gone = e.gone or e.tag == "article" and bool(e.words & NEVER)
         elif e.words & NEVER and e.tag not in ("p", "h1", "b", "i", "em", "strong", "span"):
-            e.gone = True
+            e.gone = e.gone or not _spared(e, inside, page, outside)
         elif e.tag in ("nav", "aside", "footer", "search", "dialog", "menu") or e.tag == "form":
-            e.gone = e.gone or e not in holders
+            e.gone = e.gone or e not in holders and not (e.tag == "form" and e.prose * 2 > page and e not in outside)
         elif e.tag == "header" or e.words & SELDOM and e.tag not in ("p", "h1", "b", "i", "em", "strong", "span"):
-            e.gone = e.gone or e not in holders and not (e in inside and (e.tag == "header" or "header" in e.words))
+            e.gone = e.gone or e not in holders and not (e in inside and (e.tag == "header" or "header" in e.words)) and not (e.tag != "header" and _spared(e, inside, page, outside))
 
 
 def _measure(every: list[Element]) -> None:
     """Length of the text and of its links in every element that is left."""
     for e in reversed(every):
+        e.length = e.links = 0
         if e.gone:
             continue
         for x in e.inside:

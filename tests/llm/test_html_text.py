@@ -33,6 +33,27 @@ def test_pages(body, want):
     assert main_text(page(body)) == want
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div class='content has-sidebar'><p>{PROSE}</p><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+        (f"<div class='post-content no-sidebar'><p>{PROSE}</p></div>", PROSE),
+        (f"<div class='content sidebar-left'><p>{PROSE}</p><p>{PROSE}</p></div><div class=footer>foot</div>", f"{PROSE}\n{PROSE}"),
+        (f"<div id=side-layout><p>{PROSE}</p><p>{PROSE}</p></div><div class=menu><a href=x>Home</a></div>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><section id=discussion><h2>Talk</h2><p>{PROSE}</p></section><section id=related-work><p>{PROSE}</p></section></article>", f"{PROSE}\nTalk\n{PROSE}\n{PROSE}"),
+        (f"<main><div class='entry ad-free'><p>{PROSE}</p></div></main>", PROSE),
+        (f"<form id=aspnet><div><p>{PROSE}</p><p>{PROSE}</p></div></form>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><div class=discussion><div class=comment><p>{PROSE}</p></div></div></article>", PROSE),
+        (f"<article><p>{PROSE}</p><div class=related-posts>{'<p><a href=a>' + PROSE + '</a></p>'}</div></article>", PROSE),
+        (f"<div class=content><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p><p>{PROSE}</p></div>", PROSE),
+        (f"<div class='post category-promo comments-open'><p>{PROSE}</p><p>{PROSE}</p></div><p>{PROSE}</p>", f"{PROSE}\n{PROSE}\n{PROSE}"),
+        (f"<div><p>{PROSE}</p></div><div id=comments>{f'<p>{PROSE}</p>' * 9}</div>", PROSE),
+    ],
+)
+def test_one_word_of_a_class_does_not_cut_prose(body, want):
+    assert main_text(page(body)) == want
+
+
 def test_deep_and_odd_markup():
     assert main_text("<div>" * 5000 + f"<p>{PROSE}</p>") == PROSE
     assert main_text(f"<![if x]><p>{PROSE}</p></div></div><![endif]>") == PROSE
