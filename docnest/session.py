@@ -56,3 +56,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"docnest-{purpose}-")
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written as Parquet to a new shared folder and read back: later jobs start from files, not from lineage.
+
+    The folder goes when the driver's JVM ends, or earlier with :func:`discard`.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
