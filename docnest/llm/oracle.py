@@ -5,7 +5,8 @@ Models, signatures with Spark's own hash, tokenizers and lexers are beyond SQL;
 
 from __future__ import annotations
 
-from docnest.llm import quality, sharding
+from docnest.llm import quality, sharding, url_rules, vector_codes
+from docnest.llm.manifest import FANOUT
 from docnest.llm.mixing import HASH_BITS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -175,4 +176,127 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM counts) LEFT JOIN judged USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1, "op3_neardup": OP3, "op7_mixing": OP7, "op10_quality": OP10}
+def _codes_sql() -> str:
+    """Every round written out: entries by part, squared distances, first nearest entries, floors of the means."""
+    parts, rounds = vector_codes.PARTS, vector_codes.ROUNDS
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, [floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+first AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, r FROM (SELECT vec_id, min_by(r, v) AS r FROM kept GROUP BY 1) ORDER BY vec_id LIMIT {vector_codes.ENTRIES}),
+book0 AS MATERIALIZED (SELECT p, e, x AS c FROM first JOIN parts USING (r))"""
+    for i in range(rounds + 1):
+        sql += f""",
+near{i} AS MATERIALIZED (
+  SELECT r, p, (min(d * 256 + e) % 256)::BIGINT AS e, min(d) AS d FROM (
+    SELECT r, p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN book{i} USING (p))
+  GROUP BY ALL
+)"""
+        if i < rounds:
+            sql += f""",
+book{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(list(m ORDER BY i) FILTER (m IS NOT NULL), any_value(c)) AS c FROM book{i} LEFT JOIN (
+    SELECT p, e, i, ((sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS m
+    FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM near{i} JOIN parts USING (r, p)) GROUP BY ALL) USING (p, e)
+  GROUP BY ALL
+)"""
+    return sql + f""",
+codes AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (r)
+"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: More levels than any tree over 2^32 leaves has.
+_LEVELS = 8
+
+
+def _run_sql(source: str, name: str, of: str) -> str:
+    """Runs and the next level's nodes; a lone node stays what it is."""
+    return f""",
+{name}_runs AS MATERIALIZED (
+  SELECT {of}, i // {FANOUT} AS run, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {source} GROUP BY ALL
+),
+{name} AS MATERIALIZED (
+  SELECT {of}, run AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + {FANOUT - 1}) // {FANOUT} AS n FROM {name}_runs
+)"""
+
+
+def _step_sql(run: str, at: str) -> str:
+    """Fold of one level and its siblings."""
+    i = f"({at} % {FANOUT})"
+    folded = f"CASE WHEN {run}.n = 1 THEN f ELSE sha256(array_to_string({run}.hs[:{i}], '') || f || array_to_string({run}.hs[{i} + 2:], '')) END"
+    return f"SELECT * REPLACE ({folded} AS f, proof || array_to_string({run}.hs[:{i}], '') || array_to_string({run}.hs[{i} + 2:], '') AS proof, {at} // {FANOUT} AS {at})"
+
+
+def _manifest_sql() -> str:
+    field = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}, '-')"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+    sql = f"""
+WITH tbl AS (
+  SELECT list(r ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b::BIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) AS r FROM range(256) x(b))
+),
+crc AS (
+  SELECT documents.*, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS crc
+  FROM documents, tbl
+),
+leaves AS MATERIALIZED (
+  SELECT doc_id, source, sha256({head} || {field.format("text")}) AS h,
+    CASE WHEN crc % 5 = 0 THEN sha256({head} || {field.format(low)}) ELSE sha256({head} || {field.format("text")}) END AS f
+  FROM crc
+),
+level0 AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves
+)"""
+    for k in range(1, _LEVELS + 1):
+        sql += _run_sql(f"level{k - 1}", f"level{k}", "source")
+    sql += f""",
+top0 AS MATERIALIZED (SELECT 0 AS one, source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM level{_LEVELS})"""
+    for k in range(1, _LEVELS + 1):
+        sql += _run_sql(f"top{k - 1}", f"top{k}", "one")
+    sql += """,
+fold0 AS (SELECT doc_id, source, h AS leaf, f, '' AS proof, i FROM level0)"""
+    for k in range(1, _LEVELS + 1):
+        sql += f""",
+fold{k} AS ({_step_sql("u", "i")} FROM fold{k - 1} JOIN level{k}_runs u ON u.source IS NOT DISTINCT FROM fold{k - 1}.source AND u.run = i // {FANOUT})""".replace(
+            "SELECT *", f"SELECT fold{k - 1}.*"
+        )
+    sql += f""",
+up0 AS (SELECT d.doc_id, d.leaf, d.f, d.proof, t.h AS subroot, t.i FROM fold{_LEVELS} d JOIN top0 t ON t.source IS NOT DISTINCT FROM d.source)"""
+    for k in range(1, _LEVELS + 1):
+        sql += f""",
+up{k} AS ({_step_sql("u", "i")} FROM up{k - 1} JOIN top{k}_runs u ON u.run = i // {FANOUT})""".replace("SELECT *", f"SELECT up{k - 1}.*")
+    return sql + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM up{_LEVELS}, top{_LEVELS}
+"""
+
+
+OP13 = f"""
+WITH urls AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in url_rules.RULES)}) t(verdict, rule, rule_host, rule_path)),
+numbered AS (SELECT *, row_number() OVER () AS r FROM urls),
+best AS (
+  SELECT r, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM numbered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1
+)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[^A-Za-z0-9])({"|".join(url_rules.UNWANTED)})([^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM numbered LEFT JOIN best USING (r)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_sharding": OP1, "op3_neardup": OP3, "op7_mixing": OP7, "op10_quality": OP10, "op11_vector_codes": _codes_sql(),
+    "op12_manifest": _manifest_sql(), "op13_url_filter": OP13,
+}

@@ -11,6 +11,7 @@ from docnest.llm import (
     fingerprints,
     html_text,
     language_id,
+    manifest,
     mixing,
     neardup,
     packing,
@@ -18,8 +19,10 @@ from docnest.llm import (
     secret_scan,
     sharding,
     toxicity,
+    url_rules,
+    vector_codes,
 )
-from docnest.llm.frames import table
+from docnest.llm.frames import stored, table
 
 SHARDS = 40
 
@@ -93,9 +96,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, its error and its label's."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors)
+    if books is None:
+        none = vectors.where("false").select("vec_id", F.lit("").alias("code"), *[F.lit(0).cast("long").alias(c) for c in ("error", "label_error")])
+        return none.withColumn("codebooks_sha256", F.lit(""))
+    coded = vector_codes.with_group_error(stored(vector_codes.encode(vectors, books), "codes"), "label", "label_error")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the hash tree of its source and the root over all."""
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule judges the URL of every page, and how."""
+    judged = url_rules.judge(table(spark, sf_dir, "pages"), url_rules.production_rules(spark))
+    return judged.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("rule")).alias("rule"), "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_language, op3_neardup, op4_toxicity, op5_html, op6_fingerprints, op7_mixing, op8_packing, op9_secrets,
-        op10_quality,
+        op10_quality, op11_vector_codes, op12_manifest, op13_url_filter,
     )
 }
