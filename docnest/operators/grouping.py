@@ -25,14 +25,20 @@ from docnest.functions.columns import (
     orderable_names,
     without,
 )
+from docnest.functions.ranking import BEFORE, RANK, ranked
 from docnest.plans.model import PlanError
+from docnest.session import written
 
 KEY = "__parent_key"
 DOCS = "__docs"
 CHUNK = "__chunk"
+WEIGHT = "__weight"
+HOT = "__hot_key"
 
 # A key with more rows than this is split over several tasks before its last rows are picked.
 HOT_KEY_ROWS = 1_000_000
+# Chunks of a hot key that meet its parent in one task, about.
+SALT_CHUNKS = 100
 # Up to this many rows per key, the pre-shuffle group limit alone keeps hot keys small.
 PRUNED_ROWS = 16
 
@@ -94,23 +100,105 @@ def all_docs(
     return rows.repartition(KEY).groupBy(KEY).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
-def chunked_docs(rows: DataFrame, child_pk: Sequence[str], docs: Sequence[str], size: int, widest: int | None) -> DataFrame:
-    """All child documents per key in arrays of at most ``size``: one row per key and chunk.
+def weight_of(docs: Sequence[str]) -> Column:
+    """The size of a document in bytes, as JSON."""
+    return F.octet_length(F.to_json(document(docs))).cast("bigint")
 
-    Chunks count from 0 and follow the primary key. A key with more than HOT_KEY_ROWS rows is cut into slices by hash
-    first, so that no task sorts it whole; its chunks are ordered inside, and take turns between the slices.
+
+def hot_keys(rows: DataFrame) -> DataFrame:
+    """(HOT, __n) of the keys with more than HOT_KEY_ROWS rows: one in so many rows at most, so they fit every task."""
+    return rows.groupBy(F.col(KEY).alias(HOT)).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_KEY_ROWS)
+
+
+def _bucketed(rows: DataFrame, max_bytes: int, size: int) -> DataFrame:
+    """Rows (RANK, BEFORE, WEIGHT) with __bucket and __sub, which ascend with the rank; rows alike in both are one chunk.
+
+    A bucket takes the rows that start in one half of ``max_bytes``; a row above half of it is alone, and always the last of its half.
+    """
+    half = max(1, max_bytes // 2)
+    large = (F.col(WEIGHT) > half).cast("bigint")
+    bucketed = rows.withColumn("__bucket", F.floor(F.col(BEFORE) / half) * 2 + large)
+    within = W.partitionBy(KEY, "__bucket").orderBy(RANK)  # no more rows than bytes
+    return bucketed.withColumn("__sub", F.floor((F.row_number().over(within) - 1) / size))
+
+
+def _chunks_of_hot_keys(rows: DataFrame, names: Sequence[str], size: int, max_bytes: int | None) -> DataFrame:
+    """Rows with RANK and CHUNK, ranked over ranges: no task sorts a key whole."""
+    if max_bytes is None:
+        return ranked(rows, [KEY], names).withColumn(CHUNK, F.floor(F.col(RANK) / size))
+    cut = written(_bucketed(ranked(rows, [KEY], names, F.col(WEIGHT)), max_bytes, size), "cut")
+    chunk = [KEY, "__bucket", "__sub"]
+    numbered = ranked(cut.select(*chunk).distinct(), [KEY], chunk[1:]).withColumnRenamed(RANK, CHUNK)
+    return cut.join(numbered, chunk).drop("__bucket", "__sub")
+
+
+def _chunks(rows: DataFrame, names: Sequence[str], size: int, max_bytes: int | None) -> DataFrame:
+    """The same where no key has more than HOT_KEY_ROWS rows: a window per key."""
+    each = W.partitionBy(KEY).orderBy(*([column(c).asc() for c in names] or [F.lit(0).asc()]))
+    numbered = rows.withColumn(RANK, (F.row_number().over(each) - 1).cast("bigint"))
+    if max_bytes is None:
+        return numbered.withColumn(CHUNK, F.floor(F.col(RANK) / size))
+    order = W.partitionBy(KEY).orderBy(RANK)
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    cut = _bucketed(numbered.withColumn(BEFORE, F.coalesce(F.sum(WEIGHT).over(earlier), F.lit(0))), max_bytes, size)
+    same = (F.col("__bucket") == F.lag("__bucket").over(order)) & (F.col("__sub") == F.lag("__sub").over(order))
+    starts = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cut.withColumn("__starts", starts).withColumn(CHUNK, F.sum("__starts").over(upto) - 1).drop("__bucket", "__sub", "__starts")
+
+
+def chunked_docs(
+    rows: DataFrame,
+    child_pk: Sequence[str],
+    docs: Sequence[str],
+    size: int,
+    hot: DataFrame | None,
+    max_bytes: int | None = None,
+    parts: tuple[Sequence[str], str] | None = None,
+) -> DataFrame:
+    """All child documents per key in primary-key order, in arrays of at most ``size``: one row per key and chunk, counted from 0.
+
+    With ``max_bytes``, an array of several documents also stays within so many bytes as JSON. ``hot`` (see :func:`hot_keys`)
+    are the keys to be ranked over ranges instead of by a window; the result is the same. ``parts``: (key columns, array field) of
+    children that come in parts themselves; parts of one child that meet in a chunk become one document, their arrays joined.
     """
     names = sort_names(rows, child_pk, docs)
-    ascending = [column(c).asc() for c in names] or [F.lit(0).asc()]
-    slices = max(1, math.ceil((widest or 0) / HOT_KEY_ROWS))
-    mixed = F.pmod(F.xxhash64(*[column(c) for c in names]), F.lit(slices)) if slices > 1 and names else F.lit(0)
-    sliced = rows.withColumn("__slice", mixed.cast("long"))
-    rank = F.row_number().over(W.partitionBy(KEY, "__slice").orderBy(*ascending)) - 1
-    numbered = sliced.withColumn("__rank", rank.cast("long"))
-    numbered = numbered.withColumn(CHUNK, F.col("__slice") + F.floor(F.col("__rank") / size) * slices)
+    if max_bytes is not None:
+        rows = rows.withColumn(WEIGHT, weight_of(docs))
+    if hot is None:
+        numbered = _chunks(rows, names, size, max_bytes)
+    else:
+        is_hot = F.col(KEY) == F.col(HOT)
+        few = F.broadcast(hot.select(HOT))
+        slow = _chunks_of_hot_keys(rows.join(few, is_hot, "left_semi"), names, size, max_bytes)
+        numbered = _chunks(rows.join(few, is_hot, "left_anti"), names, size, max_bytes).unionByName(slow)
     comparable = all(orderable(rows.schema[find_name(rows, c)].dataType) for c in docs)
-    grouped = numbered.groupBy(KEY, "__slice", CHUNK).agg(_sorted_docs(F.col("__rank"), document(docs), comparable).alias(DOCS))
-    return grouped.drop("__slice")
+    if parts is None:
+        return numbered.groupBy(KEY, CHUNK).agg(_sorted_docs(F.col(RANK), document(docs), comparable).alias(DOCS))
+    keys, field = parts
+    inner = numbered.groupBy(KEY, CHUNK, *[column(k).alias(f"__key_{i}") for i, k in enumerate(keys)]).agg(
+        F.min(RANK).alias(RANK),
+        F.min_by(document(docs), F.col(RANK)).alias("__doc"),
+        F.flatten(_sorted_docs(F.col(RANK), column(field), comparable)).alias("__joined"),
+    )
+    doc = F.struct(*[F.col("__joined").alias(d) if d.lower() == field.lower() else F.col("__doc").getField(d).alias(d) for d in docs])
+    return inner.groupBy(KEY, CHUNK).agg(_sorted_docs(F.col(RANK), doc, comparable).alias(DOCS))
+
+
+def attach_chunks(
+    parent: DataFrame, pk: str, wanted: T.DataType, summary: DataFrame, fields: Mapping[str, Column], hot: DataFrame | None, size: int
+) -> DataFrame:
+    """Like :func:`attach` for several rows a key. A hot parent is repeated for every SALT_CHUNKS chunks, which it meets in as many tasks."""
+    if hot is None:
+        return attach(parent, pk, wanted, summary, fields)
+    few = F.broadcast(hot.select(HOT, F.greatest(F.lit(1), F.floor(F.col("__n") / (size * SALT_CHUNKS))).cast("bigint").alias("__salts")))
+    salts = F.coalesce(F.col("__salts"), F.lit(1).cast("bigint"))
+    salted = summary.join(few, F.col(KEY) == F.col(HOT), "left").withColumn("__salt", F.pmod(CHUNK, salts)).drop(HOT, "__salts")
+    key = as_type(column(pk), field_type(parent, pk), wanted)
+    repeated = parent.join(few, key == F.col(HOT), "left").withColumn("__its", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+    joined = repeated.join(salted, (key == F.col(KEY)) & (F.col("__its") == F.col("__salt")), "left").drop(KEY, HOT, "__salts", "__its", "__salt")
+    hidden = [n for n in summary.columns if n != KEY]
+    return joined.withColumns({find_name(parent, f) or f: v for f, v in fields.items()}).drop(*hidden)
 
 
 def first_doc(rows: DataFrame, child_pk: Sequence[str], docs: Sequence[str], proven_unique: bool) -> DataFrame:

@@ -12,6 +12,7 @@ from docnest.functions.columns import find_name, has_column, without
 from docnest.operators import grouping as g
 from docnest.operators.patterns import Computed, total_of
 from docnest.plans.model import DEFAULT_MAX_CHILDREN, PlanError
+from docnest.session import written
 
 def _set(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(find_name(df, name) or name, value)
@@ -97,14 +98,20 @@ def embed_chunks(
     child_pk: Sequence[str] = (),
     drop: Sequence[str] = (),
     size: int = DEFAULT_MAX_CHILDREN,
+    max_bytes: int | None = None,
     chunk_field: str = "chunk",
     measured: int | None = None,
+    parts: tuple[Sequence[str], str] | None = None,
 ) -> DataFrame:
-    """Nest all children, at most ``size`` a document: a parent with more has several rows, numbered by
+    """Nest all children in primary-key order, at most ``size`` a document: a parent with more has several rows, numbered by
     ``chunk_field`` from 0. Every child of a parent is in exactly one of them, and the schema does not depend on the data.
+
+    With ``max_bytes``, children that together pass so many bytes as JSON are cut as well: only a child above half of it may, alone.
+    However wide a parent is, no task sorts or joins all its children, and its chunks and those of others are the same as if it were
+    narrow. ``parts``: (key, array field) of children cut into chunks themselves; the parts of a child in one chunk become one again.
     """
-    if size < 1:
-        raise PlanError("a chunk holds at least one row")
+    if size < 1 or max_bytes is not None and max_bytes < 1:
+        raise PlanError("a chunk holds at least one row and one byte")
     if has_column(parent, chunk_field):
         raise PlanError(f"{field}: the parent has a column {chunk_field}; name another with chunk_field")
     docs = _docs_or_fail(child, [fk, *drop], field)
@@ -112,10 +119,12 @@ def embed_chunks(
     if not has_column(child, fk):
         return _set(parent, field, F.array().cast(array_type)).withColumn(chunk_field, F.lit(0).cast("bigint"))
     wanted = g.key_type(parent, pk, child, fk)
+    rows = g.keyed(child, fk, wanted)
     widest = g.measured_fan_out(child, fk) if measured is None else measured
-    summary = g.chunked_docs(g.keyed(child, fk, wanted), child_pk, docs, size, widest)
+    hot = written(g.hot_keys(rows), "hot_keys") if widest > g.HOT_KEY_ROWS else None
+    summary = g.chunked_docs(rows, child_pk, docs, size, hot, max_bytes, parts)
     fields = {field: g.array_or_empty(g.DOCS, array_type), chunk_field: F.coalesce(F.col(g.CHUNK), F.lit(0)).cast("bigint")}
-    return g.attach(parent, pk, wanted, summary, fields)
+    return g.attach_chunks(parent, pk, wanted, summary, fields, hot, size)
 
 
 def junction_payload(junction: DataFrame, fk: str, other_fks: Sequence[str]) -> list[str]:
@@ -137,13 +146,14 @@ def embed_junction(
     max_children: int | None = DEFAULT_MAX_CHILDREN,
     measured: int | None = None,
     chunk: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Nest the payload of a junction's rows: neither this parent's key nor the partners' keys. ``chunk``: at most so
-    many a document, see :func:`embed_chunks`."""
+    many a document, and within ``max_bytes``, see :func:`embed_chunks`."""
     if chunk is not None:
         dropped = junction_payload(junction, fk, other_fks)
         return embed_chunks(
-            parent, junction, pk=pk, fk=fk, field=field, child_pk=child_pk, drop=dropped, size=chunk, measured=measured
+            parent, junction, pk=pk, fk=fk, field=field, child_pk=child_pk, drop=dropped, size=chunk, max_bytes=max_bytes, measured=measured
         )
     return embed_many(
         parent,
@@ -164,23 +174,29 @@ def embed_levels(
     *,
     max_children: int | None = DEFAULT_MAX_CHILDREN,
     chunk: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Nest a chain of tables, deepest first. ``levels`` lists (frame, name, primary key) from the
     deepest to the root; ``links[i]`` is (foreign key in level i, key in level i + 1).
 
     ``max_children`` bounds all rows under one root, over all levels together; more is an error. With ``chunk`` every level is
-    nested in chunks of so many instead, and nothing is too wide.
+    nested in chunks of so many, and of at most ``max_bytes`` as JSON, instead, and nothing is too wide. A row of an inner level is then
+    in a document once, with all its children that are in this document; ``chunk`` in it counts its own chunks and is above 0 where an earlier
+    document of the root has the start of it.
     """
     if len(links) != len(levels) - 1:
         raise PlanError("a chain needs one link between each pair of levels")
     nested, name, keys = levels[0]
     if chunk is None and max_children is not None:
         _check_limit(g.rows_under(levels, links), levels[-1][1], max_children)
+    below: str | None = None
     for (fk, pk), (parent, parent_name, parent_keys) in zip(links, levels[1:], strict=True):
         if chunk is None:
             nested = embed_many(parent, nested, pk=pk, fk=fk, field=name, child_pk=keys, max_children=None)
         else:
-            order = [*keys, "chunk"] if has_column(nested, "chunk") else keys
-            nested = embed_chunks(parent, nested, pk=pk, fk=fk, field=name, child_pk=order, size=chunk)
+            order = [*keys, "chunk"] if below else keys
+            parts = (keys, below) if below and keys else None
+            nested = embed_chunks(parent, nested, pk=pk, fk=fk, field=name, child_pk=order, size=chunk, max_bytes=max_bytes, parts=parts)
+            below = name
         name, keys = parent_name, parent_keys
     return nested

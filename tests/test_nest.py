@@ -102,15 +102,53 @@ def test_over_the_limit_is_an_error_and_chunks_take_any_number(spark):
         embed_chunks(parent.withColumn("Chunk", parent.id), child, pk="id", fk="p", field="c")
 
 
-def test_a_hot_key_is_cut_into_slices_and_keeps_every_row(spark, monkeypatch):
+@pytest.mark.parametrize("max_bytes", [None, 40, 400])
+def test_a_hot_key_changes_no_chunk(spark, monkeypatch, max_bytes):
     from docnest.operators import grouping
 
+    child = spark.range(400).selectExpr("IF(id % 7 = 0, 5, id) AS k", "IF(id % 3 = 0, id % 20, 1) AS p", "repeat('x', CAST(id % 11 * 7 AS INT)) AS t").repartition(5)
+    parent = spark.range(25)
+    nest = lambda: rows(embed_chunks(parent, child, pk="id", fk="p", field="c", child_pk=["k"], size=4, max_bytes=max_bytes), "id", "chunk")
+    narrow = nest()
     monkeypatch.setattr(grouping, "HOT_KEY_ROWS", 50)
-    child = spark.range(300).selectExpr("id AS k", "IF(id % 3 = 0, id, 1) AS p")
-    docs = rows(embed_chunks(frame(spark, "id long", (1,)), child, pk="id", fk="p", field="c", child_pk=["k"], size=10))
-    kept = [c["k"] for r in docs for c in r["c"]]
-    assert sorted(kept) == [k for k in range(300) if k % 3 or k == 1] and len({r["chunk"] for r in docs}) == len(docs)
-    assert all(len(r["c"]) <= 10 and [c["k"] for c in r["c"]] == sorted(c["k"] for c in r["c"]) for r in docs)
+    monkeypatch.setattr(grouping, "SALT_CHUNKS", 3)
+    assert nest() == narrow
+    by_parent = {}
+    for r in narrow:
+        by_parent.setdefault(r["id"], []).append(r)
+    assert sum(len(r["c"]) for r in narrow) == 400 and len(by_parent) == 25
+    for docs in by_parent.values():
+        assert [r["chunk"] for r in docs] == list(range(len(docs)))
+        order = [(c["k"], c["t"]) for r in docs for c in r["c"]]
+        assert order == sorted(order)
+    assert max(len(r["c"]) for r in narrow) == (2 if max_bytes == 40 else 4)
+
+
+def test_chunks_stay_within_bytes(spark):
+    import json
+
+    child = spark.range(500).selectExpr("id AS k", "id % 3 AS p", "repeat('é', CAST(pmod(id * 37, 90) AS INT)) AS t")
+    docs = rows(embed_chunks(spark.range(4), child, pk="id", fk="p", field="c", child_pk=["k"], size=1000, max_bytes=300), "id", "chunk")
+    size = lambda d: len(json.dumps(d, ensure_ascii=False, separators=(",", ":")).encode())
+    assert all(sum(map(size, r["c"])) <= 300 or len(r["c"]) == 1 for r in docs)
+    assert any(len(r["c"]) > 5 for r in docs) and [c["k"] for r in docs if r["id"] == 1 for c in r["c"]] == list(range(1, 500, 3))
+    with pytest.raises(PlanError, match="one byte"):
+        embed_chunks(spark.range(4), child, pk="id", fk="p", field="c", max_bytes=0)
+
+
+def test_inner_rows_are_in_a_document_once(spark):
+    top, middle = frame(spark, "id int", (1,), (2,)), frame(spark, "id int, t int", (1, 1), (2, 1), (3, 1), (4, 2))
+    low = spark.range(60).selectExpr("CAST(id AS INT) AS id", "CAST(id % 2 + 1 AS INT) AS m")
+    chain = [(low, "low", ["id"]), (middle, "middle", ["id"]), (top, "top", ["id"])], [("m", "id"), ("t", "id")]
+    found = rows(embed_levels(*chain, chunk=5), "id", "chunk")
+    for r in found:
+        inner = [m["id"] for m in r["middle"]]
+        assert len(inner) == len(set(inner)) and inner == sorted(inner)
+    first = [m["id"] for r in found for m in r["middle"] if m["chunk"] == 0]
+    assert first == [1, 2, 3, 4] and {r["id"]: r["chunk"] for r in found} == {1: 2, 2: 0}
+    assert [x["id"] for r in found for m in r["middle"] if m["id"] == 2 for x in m["low"]] == list(range(1, 60, 2))
+    small = rows(embed_levels(*chain, chunk=100, max_bytes=90), "id", "chunk")
+    assert [x["id"] for r in small for m in r["middle"] if m["id"] == 1 for x in m["low"]] == list(range(0, 60, 2))
 
 
 def test_a_chain_is_bounded_as_a_whole(spark):
