@@ -84,7 +84,7 @@ def all_docs(
     fk: str,
     child_pk: Sequence[str],
     docs: Sequence[str],
-    extra: Mapping[str, Column] | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """All child documents per key in primary-key order, plus any further aggregates.
 
@@ -96,8 +96,7 @@ def all_docs(
     # Comparable documents break ties between equal keys themselves.
     leading = others if comparable else sort_names(rows, others, docs)
     order = document(leading) if leading else F.lit(0)
-    aggregates = {DOCS: _sorted_docs(order, document(docs), comparable), **(extra or {})}
-    return rows.repartition(KEY).groupBy(KEY).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return rows.repartition(KEY).groupBy(KEY).agg(_sorted_docs(order, document(docs), comparable).alias(DOCS), *extra)
 
 
 def weight_of(docs: Sequence[str]) -> Column:

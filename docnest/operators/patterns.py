@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docnest.functions.columns import column, find_name, has_column
-from docnest.functions.numbers import exact_sum, nearest_multiple
+from docnest.functions.numbers import Total, aggregates, exact_total, finished, nearest_multiple, prepared
 from docnest.operators import grouping as g
 from docnest.plans.model import PlanError
 
@@ -224,18 +224,18 @@ def approximation(df: DataFrame, pattern: Approximation) -> DataFrame:
     return df.withColumns(rounded) if rounded else df
 
 
-def total_of(pattern: Computed, child: DataFrame) -> tuple[Column, Column]:
-    """The aggregate of a Computed pattern and its value for a parent without children."""
+def total_of(pattern: Computed, child: DataFrame, name: str) -> tuple[Total, Column]:
+    """The total of a Computed pattern as column ``name``, and its value for a parent without children."""
+    none = F.lit(0).cast("bigint")
     if pattern.function.upper() == "COUNT":
-        return F.count(F.lit(1)), F.lit(0).cast("bigint")
-    name = find_name(child, pattern.column)
-    if name is None:
+        return Total(name, T.LongType(), {name: F.count(F.lit(1))}), none
+    source = find_name(child, pattern.column)
+    if source is None:
         raise PlanError(f"{pattern.field}: {pattern.child} has no column {pattern.column}")
-    made = exact_sum(column(name), child.schema[name].dataType, pattern.field, pattern.scale, pattern.wide)
+    made = exact_total(name, column(source), child.schema[source].dataType, pattern.field, pattern.scale, pattern.wide)
     if made is None:
-        return F.sum(F.lit(0).cast("bigint")), F.lit(0).cast("bigint")
-    total, total_type = made
-    return total, F.lit(0).cast(total_type)
+        return Total(name, T.LongType(), {name: F.sum(none)}), none
+    return made, F.lit(0).cast(made.dtype)
 
 
 # --- patterns that read a child table --------------------------------------------------------
@@ -264,16 +264,14 @@ class ChildReader:
         return df
 
     def _totals(self, df: DataFrame, computed: list[Computed], matched: bool) -> DataFrame:
-        made = {p.field: total_of(p, self.child) for p in computed}
+        made = {p.field: total_of(p, self.child, f"__total_{i}") for i, p in enumerate(computed)}
         if not matched:
-            zero = self.child.limit(0).agg(*[total.alias(f) for f, (total, _) in made.items()]).schema
-            values = {f: F.lit(0).cast(zero[f].dataType) for f in made}
-            return df.withColumns({find_name(df, f) or f: v for f, v in values.items()})
+            return df.withColumns({find_name(df, f) or f: zero for f, (_, zero) in made.items()})
         wanted = g.key_type(df, self.pk, self.child, self.fk)
-        rows = g.keyed(self.child, self.fk, wanted)
-        hidden = {f: f"__total_{i}" for i, f in enumerate(made)}
-        summary = rows.groupBy(g.KEY).agg(*[total.alias(hidden[f]) for f, (total, _) in made.items()])
-        values = {f: F.coalesce(F.col(hidden[f]), zero) for f, (_, zero) in made.items()}
+        totals = [total for total, _ in made.values()]
+        rows = prepared(g.keyed(self.child, self.fk, wanted), totals)
+        summary = finished(rows.groupBy(g.KEY).agg(*aggregates(totals)), totals)
+        values = {f: F.coalesce(F.col(total.name), zero) for f, (total, zero) in made.items()}
         return g.attach(df, self.pk, wanted, summary, values)
 
     def _arrays(self, df: DataFrame, arrays: list[Subset | Outlier], matched: bool) -> DataFrame:

@@ -13,10 +13,8 @@ from docnest.operators import grouping as g
 from docnest.plans.model import DEFAULT_MAX_CHILDREN, ONE_TO_MANY, ONE_TO_ONE, Catalogue, Edge
 from docnest.sources.tables import union_all
 
-# A column is checked exactly for uniqueness when its estimated distinct count reaches this share
-# of its values. The estimate's standard error is 5 %, so a unique column falls below it with a
-# chance of ten standard errors.
-CANDIDATE_SHARE = 0.5
+# Values fall into so many slots by their hash; a column with equal values in the first slot is not looked at any further.
+SLOTS = 64
 
 PROFILE_SCHEMA = (
     "table_name string, position int, column_name string, type string, is_pk boolean,"
@@ -25,21 +23,9 @@ PROFILE_SCHEMA = (
 
 
 def _column_counts(name: str, df: DataFrame) -> DataFrame:
-    """One row per column out of one scan: rows, non-null values, estimated distinct values."""
-    parts: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, f in enumerate(df.schema.fields):
-        parts.append(F.count(column(f.name)).alias(f"values_{i}"))
-        if hashable(f.dataType):
-            estimate = F.approx_count_distinct(F.when(column(f.name).isNotNull(), F.xxhash64(column(f.name))), 0.05)
-            parts.append(estimate.alias(f"distinct_{i}"))
-    entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.col(f"values_{i}").alias("value_count"),
-            (F.col(f"distinct_{i}") if hashable(f.dataType) else F.lit(None).cast("bigint")).alias("estimate"),
-        )
-        for i, f in enumerate(df.schema.fields)
-    ]
+    """One row per column out of one scan: rows and non-null values."""
+    parts = [F.count(F.lit(1)).alias("rows"), *[F.count(column(c)).alias(f"values_{i}") for i, c in enumerate(df.columns)]]
+    entries = [F.struct(F.lit(i).alias("position"), F.col(f"values_{i}").alias("value_count")) for i in range(len(df.columns))]
     exploded = df.agg(*parts).select("rows", F.explode(F.array(*entries)).alias("e"))
     return exploded.select(F.lit(name).alias("table_name"), F.col("rows").alias("row_count"), "e.*")
 
@@ -63,15 +49,35 @@ def _codes(col: Column, dtype: T.DataType) -> tuple[Column, Column]:
     return F.when(col.isNotNull(), F.xxhash64(col)), F.xxhash64(F.lit(7), col)
 
 
-def _shared_codes(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
-    """Per candidate column, how many rows share the most frequent code, and that code: one scan and
-    one shuffle of 16 bytes a value for all candidates of a table, whatever their width."""
+def _coded(df: DataFrame, positions: Sequence[int], values: bool) -> DataFrame:
+    """Per row and column: position, code, check and slot; with ``values`` also the value, where the code is not the value itself
+    and its text stands for it."""
     entries = []
     for i, f in enumerate(df.schema.fields):
         if i in positions:
             code, check = _codes(column(f.name), f.dataType)
-            entries.append(F.struct(F.lit(i).alias("position"), code.alias("code"), check.alias("check")))
+            parts = [F.lit(i).alias("position"), code.alias("code"), check.alias("check")]
+            if values:
+                told = _as_whole(column(f.name), f.dataType) is None and isinstance(f.dataType, T.AtomicType)
+                parts.append((column(f.name).cast("string") if told else F.lit(None).cast("string")).alias("value"))
+            entries.append(F.struct(*parts))
     codes = df.select(F.inline(F.array(*entries))).filter(F.col("code").isNotNull())
+    return codes.withColumn("slot", F.pmod(F.xxhash64("code"), F.lit(SLOTS)))
+
+
+def _first_slot(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """Per column, how many rows of the first slot share their most frequent code, and how many are known to share the value."""
+    codes = _coded(df, positions, True).filter("slot = 0").drop("slot")
+    counted = codes.groupBy("position", "code", "check").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    equal = F.max(F.when(F.col("low") == F.col("high"), F.col("n")))
+    widest = counted.groupBy("position").agg(F.max("n").alias("most"), F.max_by("code", "n").alias("code"), equal.alias("equal"))
+    return widest.withColumn("table_name", F.lit(name))
+
+
+def _shared_codes(name: str, df: DataFrame, positions: Sequence[int]) -> DataFrame:
+    """Per column, how many rows of the other slots share the most frequent code, and that code: one scan and
+    one shuffle of 16 bytes a value for all columns of a table, whatever their width."""
+    codes = _coded(df, positions, False).filter("slot <> 0").drop("slot")
     counted = codes.groupBy("position", "code", "check").agg(F.count(F.lit(1)).alias("n"))
     widest = counted.groupBy("position").agg(F.max("n").alias("most"), F.max_by("code", "n").alias("code"))
     return widest.withColumn("table_name", F.lit(name))
@@ -84,13 +90,15 @@ def _most_equal(name: str, position: int, rows: DataFrame, col: str) -> DataFram
     return found.select(F.lit(name).alias("table_name"), F.lit(position).alias("position"), "most")
 
 
-def _unique_columns(tables: Mapping[str, DataFrame], candidates: Mapping[str, Sequence[int]]) -> set[tuple[str, int]]:
-    """Which candidates have no value twice, exactly.
+def _unique_columns(tables: Mapping[str, DataFrame]) -> set[tuple[str, int]]:
+    """Which columns have no value twice, exactly.
 
-    Distinct codes prove distinct values, and for narrow types shared ones prove equal values. Where hashes are shared, the
-    rows with them are compared by value; only if those turn out to differ is the whole column grouped by value.
+    Equal values share a slot, so the first slot alone settles every column that has equal values in it, at 1/SLOTS of the shuffle; the
+    others are looked at whole. Distinct codes prove distinct values, and for narrow types shared ones prove equal values. Where hashes
+    are shared, the values are compared; only if those turn out to differ is the whole column grouped by value.
     """
-    unique = {(name, i) for name, found in candidates.items() for i in found}
+    hashables = {n: [i for i, f in enumerate(t.schema.fields) if hashable(f.dataType)] for n, t in tables.items()}
+    unique = {(name, i) for name, found in hashables.items() for i in found}
 
     def largest(frames: list[DataFrame]) -> dict[tuple[str, int], Row]:
         # one row per candidate column
@@ -102,19 +110,27 @@ def _unique_columns(tables: Mapping[str, DataFrame], candidates: Mapping[str, Se
     def kind(name: str, i: int) -> T.DataType:
         return tables[name].schema.fields[i].dataType
 
-    coded = largest([_shared_codes(name, tables[name], found) for name, found in candidates.items() if found])
-    shared = {key: r for key, r in coded.items() if r["most"] > 1}
-    equal = {(n, i) for n, i in shared if _as_whole(F.lit(0), kind(n, i)) is not None}
-    compared = largest(
-        [
-            _most_equal(n, i, tables[n].filter(_codes(column(field(n, i)), kind(n, i))[0] == F.lit(r["code"])), field(n, i))
-            for (n, i), r in shared.items()
-            if (n, i) not in equal
-        ]
-    )
-    collided = [key for key, r in compared.items() if r["most"] <= 1]
+    def whole(name: str, i: int) -> bool:
+        return _as_whole(F.lit(0), kind(name, i)) is not None
+
+    first = largest([_first_slot(name, tables[name], found) for name, found in hashables.items() if found])
+    settled = {key for key, r in first.items() if r["most"] > 1 and (whole(*key) or (r["equal"] or 0) > 1)}
+    left = {name: [i for i in found if (name, i) not in settled] for name, found in hashables.items()}
+    coded = largest([_shared_codes(name, tables[name], found) for name, found in left.items() if found])
+    shared = [(key, r["code"]) for found in (first, coded) for key, r in found.items() if key not in settled and r["most"] > 1]
+    equal = settled | {key for key, _ in shared if whole(*key)}
+    hashed = [(key, code) for key, code in shared if key not in equal]
+
+    def compared(key: tuple[str, int], code: int) -> DataFrame:
+        name, i = key
+        rows = tables[name].filter(_codes(column(field(name, i)), kind(name, i))[0] == F.lit(code))
+        return _most_equal(name, i, rows, field(name, i))
+
+    by_value = union_all([compared(*pair) for pair in hashed]).collect() if hashed else []  # one or two rows per column
+    repeated = {(r["table_name"], r["position"]) for r in by_value if r["most"] > 1}
+    collided = {key for key, _ in hashed} - repeated
     grouped = largest([_most_equal(n, i, tables[n], field(n, i)) for n, i in collided])
-    repeated = {key for found in (compared, grouped) for key, r in found.items() if r["most"] > 1}
+    repeated |= {key for key, r in grouped.items() if r["most"] > 1}
     return unique - repeated - equal
 
 
@@ -122,24 +138,13 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame], catalog
     """Per column: type, primary-key flag, counts, whether it has nulls and whether its values
     are unique.
 
-    One scan per table estimates distinct counts with a fixed-size sketch; only columns that may
-    be unique are then counted exactly. ``is_unique`` is null for types that cannot be compared; false rests on the
-    sketch where it puts the distinct values under CANDIDATE_SHARE of all.
+    ``is_unique`` is exact, and null for types that cannot be compared.
     """
     measured = {
         (r["table_name"], r["position"]): r
         for r in union_all(_column_counts(n, t) for n, t in tables.items()).collect()  # one row per column
     }
-    candidates = {
-        name: [
-            i
-            for i, f in enumerate(t.schema.fields)
-            if hashable(f.dataType)
-            and measured[name, i]["estimate"] >= CANDIDATE_SHARE * measured[name, i]["value_count"]
-        ]
-        for name, t in tables.items()
-    }
-    unique = _unique_columns(tables, candidates)
+    unique = _unique_columns(tables)
     rows = []
     for name, t in tables.items():
         pk = {k.lower() for k in catalogue.spec(name).pk}

@@ -26,7 +26,7 @@ def test_count_counts_rows_even_with_null_values(spark):
 
 
 def test_sums(spark):
-    assert total(spark, "int", [100, 200, 150]) == [450, 0]
+    assert total(spark, "int", [31, 7, -4]) == [34, 0]
     assert total(spark, "double", [0.1] * 10, scale=2) == [Decimal("1.00"), 0]
     assert total(spark, "double", [0.1, float("nan"), float("inf"), None]) == [Decimal("0.1"), 0]
     assert total(spark, "float", [0.1, 0.2], scale=4) == [Decimal("0.3"), 0]

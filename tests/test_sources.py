@@ -156,13 +156,18 @@ def test_shared_folder_and_shuffle_size(spark):
     spark.conf.unset(key)
 
 
-def test_uniqueness_survives_hash_collisions(spark, monkeypatch):
+@pytest.mark.parametrize("code", [None, 7, 64])
+def test_uniqueness_is_exact_and_survives_hash_collisions(spark, monkeypatch, code):
+    """In the first slot, in others, and with every value in one of them."""
     from docnest.operators import profile
 
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, s string")
-    assert profile._unique_columns({"t": df}, {"t": [0, 1]}) == {("t", 0)}
-    monkeypatch.setattr(profile.F, "xxhash64", lambda *cols: profile.F.lit(7).cast("bigint"))
-    assert profile._unique_columns({"t": df}, {"t": [0, 1]}) == {("t", 0)}
+    n = 300
+    data = [(i, f"v{i}", "same", float(i), [i], None, i // 2 if i > 296 else -i, f"{max(i, 1)}") for i in range(n)]
+    df = spark.createDataFrame(data, "id int, s string, c string, d double, a array<int>, e string, k long, t string").repartition(3)
+    if code is not None:
+        monkeypatch.setattr(profile.F, "xxhash64", lambda *cols: profile.F.lit(code).cast("bigint"))
+    unique = profile._unique_columns({"t": df, "u": df.limit(0)})
+    assert unique == {("t", i) for i in (0, 1, 3, 4, 5)} | {("u", i) for i in range(8)}
 
 
 def test_samples_keep_null_keys(spark):
