@@ -343,6 +343,13 @@ SELECT 'orders', 'o_custkey', 'customer', 'ONE_TO_MANY', CASE WHEN {widest("orde
   CAST({widest("orders", "o_custkey")} AS BIGINT), CASE WHEN {widest("orders", "o_custkey")} > {LIMIT} THEN 'REFERENCE' ELSE 'EMBED' END,
   {widest("orders", "o_custkey")} > {LIMIT}
 """,
+    "discovered_keys": union(
+        [
+            f"SELECT '{e.child}' AS child, '{e.fk}' AS fk, '{e.parent}' AS parent, '{e.pk}' AS pk, TRUE AS same_name, count(DISTINCT {e.fk}) AS distinct_keys,"
+            f" (SELECT count(*) FROM {e.parent}) AS parent_rows FROM {e.child}"
+            for e in EDGES
+        ]
+    ),
     "write_parquet_round_trip": f"""
 SELECT c_custkey, coalesce(n, 0) AS order_count, o_orderkey, CASE WHEN o_orderkey IS NOT NULL THEN CAST(coalesce(s, 0) AS DOUBLE) END AS revenue
 FROM customer LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) ON o_custkey = c_custkey

@@ -29,6 +29,7 @@ from docnest import (
 )
 from docnest.functions.columns import has_column
 from docnest.operators import patterns as p
+from docnest.operators.keys import references
 from docnest.operators.profile import column_profile, edge_cardinality, edge_profile
 from docnest.reports.overview import (
     column_overview,
@@ -169,6 +170,11 @@ def profile_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("child_rows", "null_key_rows", "distinct_keys", "orphan_rows", "orphan_keys", "childless_parents")
 
 
+def discovered_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of all tables, found without a catalogue; a user is a customer by another name."""
+    return references(spark, load(spark, sf), {"user_id": "custkey"})
+
+
 # --- nesting ---------------------------------------------------------------------------------
 
 
@@ -645,7 +651,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         customer_documents, scan_orders, sql_rich_customers, normalised_events, normalised_dates, normalised_nested_dates,
         array_and_binary_passthrough, json_variants, table_row_counts, table_samples, profile_columns,
-        profile_cardinality, profile_edges, profile_orphans, embed_one_label, embed_one_first_match,
+        profile_cardinality, profile_edges, profile_orphans, discovered_keys, embed_one_label, embed_one_first_match,
         embed_many_lineitem, embed_two_children, embed_levels_customer, embed_levels_region, embed_junction_part,
         embed_junction_keys, embed_fan_in, embed_role_names, self_join_referrals, reference_edge,
         computed_count_orders, computed_sum_lineitem, computed_count_through_junction, computed_sum_text,
