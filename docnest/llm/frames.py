@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import re
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -83,10 +85,36 @@ def _ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: What Spark sends to Python at once, in bytes, where the session has nothing else set: rows of any size make small batches.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+class _Tidy:
+    """A function over the batches of a task. Python workers are used again, so what the task held goes back to the system at its end."""
+
+    def __init__(self, function: Callable):
+        self.function = function
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+
 def mapped(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` on executors that know this package."""
-    _ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """``df.mapInArrow`` on executors that know this package, in batches of about BATCH_BYTES."""
+    spark = df.sparkSession
+    _ship(spark)
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(_Tidy(function), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,7 +134,7 @@ def byte_values(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash by word, remembered; the memory is emptied when ``most`` words are in it."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -189,7 +189,7 @@ class Labeller:
     """Texts to (label, score), in batches; keeps the scores of words it has seen."""
 
     #: Words labelled at once.
-    most = 80_000
+    most = 40_000
 
     def __init__(self, model: Model):
         self.model = model

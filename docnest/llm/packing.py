@@ -67,9 +67,7 @@ def _byte_letters() -> dict[str, int]:
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids, for the byte-level file at ``path``."""
     import tiktoken
-    from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     letters = _byte_letters()
@@ -78,9 +76,15 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
     fast = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cache
+    def full():  # not every worker meets a text that needs it
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
     def encode(text: str) -> np.ndarray:
         if _FAR.search(text) or any(s in text for s in special) or len(text) >= LONG_RUN and _LONG_RUN.search(text):
-            return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(full().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
@@ -146,7 +150,7 @@ def cuts(n: int, capacity: int, strips: bool) -> list[tuple[int, int]]:
 
 
 #: Token ids a written batch holds, give or take a document.
-_BATCH_IDS = 1 << 21
+_BATCH_IDS = 1 << 19
 _PIECE = "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, task int, nth long, offset long"
 
 

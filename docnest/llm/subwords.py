@@ -59,7 +59,7 @@ class WordTable(dict):
     ``rows_of(words)`` gives the rows of a list of words. The table starts anew when ``most`` words are in it.
     """
 
-    def __init__(self, rows_of: Callable[[list[bytes]], np.ndarray], width: int, most: int = 300_000):
+    def __init__(self, rows_of: Callable[[list[bytes]], np.ndarray], width: int, most: int = 100_000):
         super().__init__()
         self.rows_of, self.most = rows_of, most
         self.values = np.zeros((1024, width), np.float32)

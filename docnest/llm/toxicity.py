@@ -152,7 +152,7 @@ class Scorer:
     """Texts to scores, in batches; keeps the parts of words it has seen."""
 
     #: Words looked up at once.
-    most = 150_000
+    most = 60_000
 
     def __init__(self, model: Model):
         self.model = model
