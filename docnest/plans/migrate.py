@@ -8,12 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from docnest.functions.columns import has_column
+from docnest.functions.naming import dataset_name
 from docnest.operators.nest import embed_junction, embed_many, embed_one
 from docnest.operators.patterns import ATTRIBUTE, COMPUTED, OUTLIER, PATTERN_ORDER, Computed, PatternContext, apply_patterns
 from docnest.operators.profile import fan_outs
 from docnest.plans.model import MANY_TO_MANY, ONE_TO_MANY, ONE_TO_ONE, Catalogue, Edge, PlanError, Settings
 from docnest.plans.resolve import NestingPlan, edges_to_measure, resolve
-from docnest.sinks.documents import write_documents
+from docnest.sinks.documents import dataset_path, remove_folder, write_documents
+from docnest.sinks.versions import Version, replace_documents
 from docnest.sources.normalise import normalise_all
 
 
@@ -30,25 +32,39 @@ class Migration:
         """Documents of the tables that get a dataset of their own."""
         return {t: self.documents[t] for t in self.plan.written}
 
-    def write(
-        self, spark: SparkSession, folder: str, source: str = "json", options: Mapping[str, str] | None = None
-    ) -> list[str]:
+    def _plain(self) -> dict[str, DataFrame]:
         # a custom pattern may add or drop documents; without one the plain table is empty when they are
         custom = {t for t, ps in self.plan.settings.patterns.items() if any(p.kind not in PATTERN_ORDER for p in ps)}
-        plain = {t: self.documents[t] if t in custom else self.raw[t] for t in self.raw}
-        return write_documents(spark, self.datasets, folder, source, plain, options)
-
+        return {t: self.documents[t] if t in custom else self.raw[t] for t in self.raw}
 
-def _field(catalogue: Catalogue, edge: Edge) -> str:
+    def write(
+        self, spark: SparkSession, folder: str, source: str = "json", options: Mapping[str, str] | None = None
+    ) -> list[str]:
+        """Replace the datasets in ``folder`` one by one; those of tables that are only nested now are removed."""
+        written = write_documents(spark, self.datasets, folder, source, self._plain(), options)
+        kept = {dataset_name(t) for t in written}
+        for table in self.raw:
+            if dataset_name(table) not in kept:
+                remove_folder(spark, dataset_path(folder, table))
+        return written
+
+    def replace(
+        self, spark: SparkSession, folder: str, source: str = "json", options: Mapping[str, str] | None = None, keep: int = 1
+    ) -> Version:
+        """Replace the set in ``folder`` as a whole, see :func:`docnest.sinks.versions.replace_documents`."""
+        return replace_documents(spark, self.datasets, folder, source, self._plain(), options, keep)
+
+
+def nest_field(catalogue: Catalogue, edge: Edge) -> str:
     """Junction rows go under the parent's own name, other children under theirs, unless the edge names a field."""
     if edge.field:
         return edge.field
     return edge.parent if catalogue.cardinality(edge) == MANY_TO_MANY else catalogue.nest_field(edge)
 
 
-def _touched(plan: NestingPlan, table: str) -> set[str] | None:
+def touched_columns(plan: NestingPlan, table: str) -> set[str] | None:
     """Raw columns of a table that its own nests and patterns may replace; ``None`` if unknown."""
-    names = {_field(plan.catalogue, e).lower() for e in plan.embedded_into(table)}
+    names = {nest_field(plan.catalogue, e).lower() for e in plan.embedded_into(table)}
     for p in plan.settings.patterns.get(table, ()):
         changed = p.touched()
         if changed is None:
@@ -61,11 +77,11 @@ def _shared_totals(plan: NestingPlan, edge: Edge, df: DataFrame) -> list[Compute
     """Counts and sums over the very rows this edge nests: they ride along in its aggregate, so
     the child is shuffled once. Only where nesting and the raw table agree on the columns read,
     and where the order of fields set cannot show."""
-    child_changes = _touched(plan, edge.child)
+    child_changes = touched_columns(plan, edge.child)
     if child_changes is None or edge.fk.lower() in child_changes:
         return []
     patterns = plan.settings.patterns.get(edge.parent, ())
-    busy = {_field(plan.catalogue, e).lower() for e in plan.embedded_into(edge.parent)}
+    busy = {nest_field(plan.catalogue, e).lower() for e in plan.embedded_into(edge.parent)}
     for p in patterns:
         if p.kind == ATTRIBUTE:
             busy |= p.touched()
@@ -87,8 +103,8 @@ def _nest(plan: NestingPlan, edge: Edge, df: DataFrame, child: DataFrame, shared
     catalogue = plan.catalogue
     child_pk = catalogue.spec(edge.child).pk
     cardinality = catalogue.cardinality(edge)
-    field = _field(catalogue, edge)
-    changes = _touched(plan, edge.child)
+    field = nest_field(catalogue, edge)
+    changes = touched_columns(plan, edge.child)
     same_keys = changes is not None and edge.fk.lower() not in changes
     measured = plan.fan_out.get(edge) if same_keys else None
     if cardinality == ONE_TO_ONE:
@@ -107,7 +123,7 @@ def _check_fields(plan: NestingPlan, raw: Mapping[str, DataFrame], table: str) -
     """Every nest has a field of its own: not a column of the table, not another nest's, and no two flags are one."""
     fields: dict[str, str] = {}
     for edge in plan.embedded_into(table):
-        field = _field(plan.catalogue, edge).lower()
+        field = nest_field(plan.catalogue, edge).lower()
         if has_column(raw[table], field):
             raise PlanError(f"{edge.label} would replace the column {field} of {table}: name a field for the edge")
         if field in fields:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docnest.functions.columns import column
+from docnest.functions.columns import column, find_name
 from docnest.functions.naming import dataset_name
 from docnest.operators.profile import column_profile, edge_cardinality, edge_profile
 from docnest.plans.migrate import Migration
 from docnest.plans.model import EMBED, Catalogue
 from docnest.plans.resolve import NestingPlan
-from docnest.sources.tables import row_counts, union_all
+from docnest.sources.tables import as_json, row_counts, shortened, union_all
 
 
 def migration_summary(migration: Migration, written: Mapping[str, DataFrame]) -> DataFrame:
@@ -85,16 +85,21 @@ def relationship_map(tables: Mapping[str, DataFrame], plan: NestingPlan) -> Data
     return profile.select("child", "fk", "parent", "declared", "observed", "max_children", strategy.alias("strategy"))
 
 
-def target_overview(spark: SparkSession, written: Mapping[str, DataFrame], n: int = 5) -> DataFrame:
-    """Per written dataset: its documents and up to ``n`` of them as JSON.
+def target_overview(
+    spark: SparkSession, written: Mapping[str, DataFrame], n: int = 5, keys: Mapping[str, Sequence[str]] | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """Per written dataset: its documents and up to ``n`` of them as JSON, each of at most ``max_bytes``.
 
-    The samples come from the first files only, not from a task per file.
+    The samples are the first by ``keys`` (per table; columns that are not there do not count), or any without. Nothing goes through the driver.
     """
     frames = []
     for table, frame in written.items():
-        text = F.to_json(F.struct(*[column(c) for c in frame.columns]), {"ignoreNullFields": "false"})
-        samples = [r[0] for r in frame.select(text).take(n)]
+        order = [column(found) for k in (keys or {}).get(table, ()) if (found := find_name(frame, k))]
+        first = (frame.orderBy(*order) if order else frame).limit(n)
+        rows = first.select(*[c.alias(f"__key_{i}") for i, c in enumerate(order)], *shortened(as_json(frame), max_bytes))
+        sorted_rows = F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "n_bytes"])))
+        samples = rows.agg(F.transform(sorted_rows, lambda r: r["row_json"]).alias("samples"))
+        name = F.lit(dataset_name(table)).alias("dataset")
         total = frame.agg(F.count(F.lit(1)).alias("documents"))
-        listed = F.array(*[F.lit(s) for s in samples]).cast("array<string>")
-        frames.append(total.select(F.lit(dataset_name(table)).alias("dataset"), "documents", listed.alias("samples")))
+        frames.append(total.select(name, "documents").join(samples.select(name, "samples"), "dataset"))
     return union_all(frames)

@@ -66,9 +66,14 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     folder = shared_folder(spark, purpose)
     df.write.parquet(folder)
+    delete_at_end(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete a folder when the driver's JVM ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
 
 
 def discard(spark: SparkSession, folder: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docnest.functions.columns import column
@@ -21,7 +21,9 @@ def read_tables(
 
 def sql_rows(spark: SparkSession, tables: Mapping[str, DataFrame], query: str) -> DataFrame:
     """A caller's SQL over the tables, by their names; column aliases are kept."""
-    before = {n: spark.table(n) for n in tables if any(v.name == n.lower() and v.isTemporary for v in spark.catalog.listTables())}
+    mine = {n.lower() for n in tables}
+    views = {v.name for v in spark.catalog.listTables() if v.isTemporary and v.name in mine}
+    before = {n: spark.table(n) for n in tables if n.lower() in views}
     for name, frame in tables.items():
         frame.createOrReplaceTempView(name)
     try:
@@ -54,12 +56,27 @@ def _up_to_nth(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return df if bound is None else df.filter(column(keys[0]).isNull() | (column(keys[0]) <= F.lit(bound)))
 
 
-def sample_rows(tables: Mapping[str, DataFrame], catalogue: Catalogue, n: int = 5) -> DataFrame:
-    """The first ``n`` rows of each table in primary-key order, as JSON with explicit nulls."""
+def as_json(frame: DataFrame) -> Column:
+    """A row as JSON, with explicit nulls."""
+    return F.to_json(F.struct(*[column(c) for c in frame.columns]), {"ignoreNullFields": "false"})
+
+
+def shortened(text: Column, max_bytes: int | None) -> list[Column]:
+    """row_json, at most so many bytes of it (``max_bytes`` None: all), and n_bytes: how many there are."""
+    size = F.octet_length(text).cast("bigint")
+    # a character has at most four bytes
+    kept = text if max_bytes is None else F.when(size > max_bytes, F.substr(text, F.lit(1), F.lit(max(1, max_bytes // 4)))).otherwise(text)
+    return [kept.alias("row_json"), size.alias("n_bytes")]
+
+
+def sample_rows(tables: Mapping[str, DataFrame], catalogue: Catalogue, n: int = 5, max_bytes: int | None = None) -> DataFrame:
+    """The first ``n`` rows of each table in primary-key order, as JSON with explicit nulls: table_name, row_json, n_bytes.
+
+    ``max_bytes`` bounds what is returned of a row; n_bytes tells its whole size.
+    """
     frames = []
     for name, frame in tables.items():
         keys = catalogue.spec(name).pk
-        row = F.to_json(F.struct(*[column(c) for c in frame.columns]), {"ignoreNullFields": "false"})
         first = _up_to_nth(frame, keys, n).orderBy(*[column(k) for k in keys]).limit(n)
-        frames.append(first.select(F.lit(name).alias("table_name"), row.alias("row_json")))
+        frames.append(first.select(F.lit(name).alias("table_name"), *shortened(as_json(frame), max_bytes)))
     return union_all(frames)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from workload.tables import CATALOGUE, COLUMNS, EDGES, KEYS, columns_of
+from docnest import TableSpec
+from workload.tables import CATALOGUE, COLUMNS, EDGES, KEYS, WHOLE_KEYS, columns_of
 
 LIMIT = 1000
 
@@ -111,7 +112,32 @@ def source_overview_sql() -> str:
     )
 
 
-SAMPLED = ("region", "nation", "customer", "supplier", "part", "orders", "events")
+def told(c: str, kind: str) -> str:
+    """A value as text; nulls as a minus."""
+    if kind == "double":
+        c = f"CAST(round({c} * 100) AS BIGINT)"
+    elif kind.startswith("timestamp"):
+        c = f"epoch_us({c}) // 1000"
+    elif kind.startswith("array"):
+        c = f"array_to_string([floor(CAST(x AS DOUBLE) * 1048576)::BIGINT FOR x IN {c}], ' ')"
+    return f"coalesce(CAST({c} AS VARCHAR), '-')"
+
+
+def row_digest(table: str) -> str:
+    return "md5(" + " || '|' || ".join(told(c, k) for c, k in columns_of(table)) + ")"
+
+
+def order_of(table: str) -> str:
+    return ", ".join(TableSpec(table, WHOLE_KEYS[table]).pk)
+
+
+def target_sql(table: str, dataset: str, n_orders: str = "CAST(NULL AS BIGINT)", where: str = "true") -> str:
+    """The first three documents of a dataset."""
+    return (
+        f"SELECT * FROM (SELECT '{dataset}' AS dataset, (SELECT count(*) FROM {table}) AS documents, {row_digest(table)} AS digest, {n_orders} AS n_orders"
+        f" FROM {table} WHERE {where} ORDER BY {order_of(table)} LIMIT 3)"
+    )
+
 
 TRADE_LANES = """
   SELECT c.c_nationkey AS buyer_id, s.s_nationkey AS seller_id, count(*) AS n_lines
@@ -145,9 +171,13 @@ SELECT o_orderkey, epoch_ms(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS day
     "normalised_nested_dates": """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(2 AS BIGINT) AS n_days, epoch_ms(CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)) AS first_ms FROM lineitem
 """,
-    "array_and_binary_passthrough": """
-SELECT 'embeddings' AS kind, vec_id AS id, len(embedding) AS n FROM embeddings
-UNION ALL SELECT 'documents', doc_id, CAST(strlen(text) AS BIGINT) FROM documents
+    "array_and_binary_passthrough": f"""
+SELECT 'embeddings' AS kind, vec_id AS id, len(embedding) AS n, md5({told("embedding", "array<float>")}) AS digest FROM embeddings
+UNION ALL SELECT 'documents', doc_id, CAST(strlen(text) AS BIGINT), md5(text) FROM documents
+""",
+    "normalised_instants": """
+SELECT event_id, us - (us % 1000 + 1000) % 1000 AS ts_us, -us - (-us % 1000 + 1000) % 1000 AS before_us
+FROM (SELECT event_id, epoch_us(ts) + event_id % 1000 AS us FROM events)
 """,
     "json_variants": """
 SELECT 'events' AS kind, event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS number, CAST(NULL AS BIGINT) AS kept_chars FROM events
@@ -155,10 +185,7 @@ UNION ALL SELECT 'documents', doc_id, NULL, length(text) FROM documents
 """,
     "table_row_counts": union([f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in COLUMNS]),
     "table_samples": union(
-        [
-            f"SELECT '{t}' AS table_name, CAST(k AS BIGINT) AS row_key FROM (SELECT {KEYS[t]} AS k FROM {t} ORDER BY k LIMIT 5)"
-            for t in SAMPLED
-        ]
+        [f"SELECT * FROM (SELECT '{t}' AS table_name, {row_digest(t)} AS row_digest FROM {t} ORDER BY {order_of(t)} LIMIT 5)" for t in COLUMNS]
     ),
     "profile_columns": column_profile_sql(COLUMNS, True),
     "report_columns": column_profile_sql(COLUMNS, False),
@@ -371,11 +398,34 @@ UNION ALL SELECT 'labels', rows_all, taken, rows_all - taken, NULL FROM c
 UNION ALL SELECT 'documents', count(*), 0, 0, count(*) FROM documents
 UNION ALL SELECT 'customer', count(*), 0, 0, count(*) FROM customer
 """,
-    "report_target": f"""
-SELECT 'document' AS dataset, count(*) AS documents, least(count(*), 3) AS n_samples FROM documents
-UNION ALL SELECT 'customer', count(*), least(count(*), 3) FROM customer
-UNION ALL SELECT 'order', count(*), least(count(*), 3) FROM orders HAVING {widest("orders", "o_custkey")} > {LIMIT}
-UNION ALL SELECT 'lineitem', count(*), least(count(*), 3) FROM lineitem HAVING {widest("lineitem", "l_orderkey")} > {LIMIT}
+    "report_target": union(
+        [
+            target_sql("documents", "document"),
+            target_sql(
+                "customer", "customer", f"CASE WHEN {widest('orders', 'o_custkey')} <= {LIMIT} THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) END"
+            ),
+            target_sql("orders", "order", where=f"{widest('orders', 'o_custkey')} > {LIMIT}"),
+            target_sql("lineitem", "lineitem", where=f"{widest('lineitem', 'l_orderkey')} > {LIMIT}"),
+        ]
+    ),
+    "report_reconciled": f"""
+WITH w AS (SELECT {widest("orders", "o_custkey")} <= {LIMIT} AS o, {widest("lineitem", "l_orderkey")} <= {LIMIT} AS l),
+inner_orders AS (SELECT o_orderkey FROM orders, w WHERE NOT o OR o_custkey IN (SELECT c_custkey FROM customer)),
+counted AS (
+  SELECT 'documents' AS table_name, 'documents' AS place, 5 AS columns_compared, count(*) AS n FROM documents
+  UNION ALL SELECT 'customer', 'customer', 5, count(*) FROM customer
+  UNION ALL SELECT 'labels', 'labels.doc_id->documents.doc_id', 3, count(*) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT 'orders', CASE WHEN any_value(o) THEN 'orders.o_custkey->customer.c_custkey' ELSE 'orders' END, 6, count(*) FROM orders, w
+    WHERE NOT o OR o_custkey IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'lineitem', CASE WHEN any_value(l) THEN 'lineitem.l_orderkey->orders.o_orderkey' ELSE 'lineitem' END, 11, count(*) FROM lineitem, w
+    WHERE NOT l OR l_orderkey IN (SELECT o_orderkey FROM inner_orders)
+)
+SELECT table_name, place, columns_compared, n AS rows_expected, n AS rows_found, TRUE AS same FROM counted
+""",
+    "replaced_set": f"""
+WITH w AS (SELECT {widest("orders", "o_custkey")} <= {LIMIT} AS o)
+SELECT c_custkey, coalesce(n, 0) AS order_count, CASE WHEN o THEN coalesce(n, 0) END AS n_orders, CASE WHEN o THEN 'customer' ELSE 'customer,orders' END AS datasets
+FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) ON k = c_custkey, w
 """,
     "report_source": source_overview_sql(),
 }

@@ -28,6 +28,7 @@ from docnest import (
     register_pattern,
 )
 from docnest.functions.columns import has_column
+from docnest.functions.naming import dataset_name
 from docnest.operators import patterns as p
 from docnest.operators.keys import references
 from docnest.operators.profile import column_profile, edge_cardinality, edge_profile
@@ -38,11 +39,13 @@ from docnest.reports.overview import (
     source_overview,
     target_overview,
 )
-from docnest.session import shared_folder
+from docnest.reports.reconcile import reconciled
+from docnest.session import delete_at_end, shared_folder
 from docnest.sinks.documents import read_documents
+from docnest.sinks.versions import read_current
 from docnest.sources.normalise import normalise, normalise_all
 from docnest.sources.tables import row_counts, sample_rows, sql_rows, union_all
-from workload.tables import CATALOGUE, EDGES, KEYS, load, part_of
+from workload.tables import CATALOGUE, COLUMNS, EDGES, KEYS, WHOLE_KEYS, columns_of, load, part_of
 
 LINE_KEY = KEYS["lineitem"]
 
@@ -105,17 +108,26 @@ def normalised_nested_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def array_and_binary_passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays and bytes come out as they are: sizes and digests of every element and byte."""
     tables = load(spark, sf, "embeddings", "documents")
     vectors = normalise(tables["embeddings"]).select(
-        F.lit("embeddings").alias("kind"), F.col("vec_id").alias("id"), F.size("embedding").cast("bigint").alias("n")
+        F.lit("embeddings").alias("kind"), F.col("vec_id").alias("id"), F.size("embedding").cast("bigint").alias("n"),
+        F.md5(told("embedding", "array<float>", F.col("embedding")).cast("binary")).alias("digest"),
     )
     raw = tables["documents"].select("doc_id", F.encode("text", "UTF-8").alias("body"))
     bodies = normalise(raw).select(
-        F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), F.octet_length("body").cast("bigint").alias("n")
+        F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), F.octet_length("body").cast("bigint").alias("n"), F.md5("body").alias("digest")
     )
     return vectors.unionByName(bodies)
 
 
+def normalised_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Instants with a zone lose what is below a millisecond, before and after 1970."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 1000
+    rows = load(spark, sf, "events")["events"].select("event_id", F.timestamp_micros(micros).alias("ts_in"), F.timestamp_micros(-micros).alias("before"))
+    return normalise(rows).select("event_id", F.unix_micros("ts_in").alias("ts_us"), F.unix_micros("before").alias("before_us"))
+
+
 def json_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Parsable text becomes a nested value, other text stays a string inside the VARIANT."""
     tables = load(spark, sf, "events", "documents")
@@ -134,15 +146,28 @@ def table_row_counts(spark: SparkSession, sf: str) -> DataFrame:
     return row_counts(load(spark, sf))
 
 
-SAMPLED = ("region", "nation", "customer", "supplier", "part", "orders", "events")
+def told(c: str, kind: str, value: Column) -> Column:
+    """A value of the sample tables as text that two engines write alike; nulls as a minus."""
+    if kind == "double":
+        value = F.round(value * 100).cast("bigint")
+    elif kind.startswith("timestamp"):
+        value = F.unix_millis(value.cast("timestamp"))
+    elif kind.startswith("array"):
+        value = F.array_join(F.transform(value, lambda x: F.floor(x.cast("double") * 1048576).cast("string")), " ")
+    return F.coalesce(value.cast("string"), F.lit("-"))
 
 
 def table_samples(spark: SparkSession, sf: str) -> DataFrame:
-    sampled = sample_rows(load(spark, sf, *SAMPLED), CATALOGUE, 5)
-    key = F.coalesce(*[
-        F.when(F.col("table_name") == t, F.get_json_object("row_json", f"$.{KEYS[t]}")) for t in SAMPLED
-    ])
-    return sampled.select("table_name", key.cast("bigint").alias("row_key"))
+    """The first five rows of every table: all their columns, read back from the JSON."""
+    tables = load(spark, sf)
+    samples = sample_rows(tables, Catalogue.of([TableSpec(t, k) for t, k in WHOLE_KEYS.items()]), 5)
+    out = []
+    for t in COLUMNS:
+        row = F.from_json("row_json", ", ".join(f"{c} {k}" for c, k in columns_of(t)))
+        mine = samples.filter(F.col("table_name") == t).select("table_name", row.alias("r"))
+        text = F.concat_ws("|", *[told(c, k, F.col("r").getField(c)) for c, k in columns_of(t)])
+        out.append(mine.select("table_name", F.md5(text.cast("binary")).alias("row_digest")))
+    return union_all(out)
 
 
 # --- profiles --------------------------------------------------------------------------------
@@ -563,6 +588,13 @@ def strategies_with_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("written", F.col("child").isin(plan.written))
 
 
+def kept_folder(spark: SparkSession, purpose: str) -> str:
+    """A shared folder that goes when the driver ends."""
+    folder = shared_folder(spark, purpose)
+    delete_at_end(spark, folder)
+    return folder
+
+
 WRITTEN = ("documents", "labels", "customer", "orders", "lineitem")
 
 
@@ -574,7 +606,7 @@ def written_run(spark: SparkSession, sf: str, source: str):
         }
     )
     moved = migrate(load(spark, sf, *WRITTEN), part_of(*WRITTEN), settings)
-    folder = shared_folder(spark, "documents")
+    folder = kept_folder(spark, "documents")
     written = moved.write(spark, folder, source)
     return moved, {t: f for t, f in read_documents(spark, folder, moved.datasets, source).items() if t in written}, folder
 
@@ -608,9 +640,37 @@ def report_migration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three documents of each dataset, by content: their own columns, and how many rows are nested in them."""
     _, back, _ = written_run(spark, sf, "parquet")
-    found = target_overview(spark, back, 3)
-    return found.select("dataset", "documents", F.size("samples").cast("bigint").alias("n_samples"))
+    found = target_overview(spark, back, 3, {t: TableSpec(t, k).pk for t, k in WHOLE_KEYS.items()})
+    out = []
+    for t, frame in back.items():
+        name = dataset_name(t)
+        doc = F.from_json("doc", frame.schema).alias("d")
+        mine = found.filter(F.col("dataset") == name).select("dataset", "documents", F.explode("samples").alias("doc")).select("dataset", "documents", doc)
+        text = F.concat_ws("|", *[told(c, k, F.col("d").getField(c)) for c, k in columns_of(t)])
+        nested_rows = F.size(F.col("d").getField("orders")) if has_column(frame, "orders") else F.lit(None)
+        out.append(mine.select("dataset", "documents", F.md5(text.cast("binary")).alias("digest"), nested_rows.cast("bigint").alias("n_orders")))
+    return union_all(out)
+
+
+def report_reconciled(spark: SparkSession, sf: str) -> DataFrame:
+    """Every written row against its source, by content."""
+    moved, back, _ = written_run(spark, sf, "parquet")
+    return reconciled(moved, back)
+
+
+def replaced_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sets of datasets, one after the other, in one folder: readers see the second one as a whole, and nothing of the first."""
+    folder = kept_folder(spark, "versions")
+    tables = load(spark, sf, "customer", "orders")
+    migrate(tables, part_of("customer", "orders"), Settings({"orders.customer": "REFERENCE"})).replace(spark, folder, "parquet")
+    migrate(tables, part_of("customer", "orders"), Settings(patterns={"customer": [Computed("order_count", "COUNT", "orders")]})).replace(spark, folder, "parquet")
+    found = read_current(spark, folder)
+    listed = F.lit(",".join(sorted(found)))
+    docs = found["customer"]
+    n = F.size("orders").cast("bigint") if has_column(docs, "orders") else F.lit(None).cast("bigint")
+    return docs.select("c_custkey", "order_count", n.alias("n_orders"), listed.alias("datasets"))
 
 
 def report_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -650,7 +710,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         customer_documents, scan_orders, sql_rich_customers, normalised_events, normalised_dates, normalised_nested_dates,
-        array_and_binary_passthrough, json_variants, table_row_counts, table_samples, profile_columns,
+        array_and_binary_passthrough, normalised_instants, json_variants, table_row_counts, table_samples, profile_columns,
         profile_cardinality, profile_edges, profile_orphans, discovered_keys, embed_one_label, embed_one_first_match,
         embed_many_lineitem, embed_two_children, embed_levels_customer, embed_levels_region, embed_junction_part,
         embed_junction_keys, embed_fan_in, embed_role_names, self_join_referrals, reference_edge,
@@ -658,6 +718,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         subset_recent_orders, outlier_events, customer_patterns, attribute_part, attribute_mixed_part,
         approximation_types, pattern_chain, custom_pattern, migrate_sales, strategies_under_limit,
         strategies_with_cycle, write_parquet_round_trip, write_json_keeps_nulls, report_migration, report_target,
+        report_reconciled, replaced_set,
         report_source, report_columns, report_relationships,
     )
 }

@@ -51,6 +51,9 @@ KEYS = {
     "conversations": ("conv_id", "turn"),
 }
 
+#: Lines repeat a number within an order; these keys tell all rows apart.
+WHOLE_KEYS = {**KEYS, "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}
+
 EDGES = (
     Edge("nation", "n_regionkey", "region", "r_regionkey"),
     Edge("customer", "c_nationkey", "nation", "n_nationkey"),
