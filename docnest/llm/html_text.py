@@ -6,16 +6,19 @@ that another class calls article and that reads like prose, nor one that holds m
 under a word of double meaning (a section ``discussion``); these are left to the scores. Every paragraph left passes
 points for its length and its commas to its parent, half of them to the grandparent, a sixth, an eighth, ... further up; an element's points
 count less the more of its text is links. The element with most points is the container; if it lies in an ``article`` or
-``main``, that is. Its siblings are kept when they score like it, or read like prose or a heading.
+``main``, the outermost of these is. Its siblings, and those of the elements it lies in, are kept when they score like it, or are a heading,
+a table or text that is not mostly links; other articles of the page are kept as well.
 
 Text: character references decoded, white space in a block turned into one space, blocks joined by a line feed.
-Defined results: null, empty and textless pages give an empty text; broken markup is closed where it must end.
+Defined results: null, empty and textless pages give an empty text; broken markup is closed where it must end. Of equal scores the first
+element of the page is the container. Repeated rows and null ids are rows like any other, an empty table gives none. Pages are read
+whole, whatever their length, and in time linear in it, however deep elements are nested.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -65,18 +68,19 @@ _COMMENTS = frozenset("comment comments commentlist disqus respond replies".spli
 #: Words said not to be there, or to be elsewhere: no-sidebar, layout--with-menu, ad-free.
 _DENIED = re.compile(r"(?<![a-z])(?:has|have|no|not|non|with|without)[-_]+[a-z]+|(?<![a-z])[a-z]+[-_]+(?:free|less)(?![a-z])")
 _WORDS = re.compile(r"[a-z]+")
-_PROSE = re.compile(r"[.!?。！？](?:\s|$)")
+#: Neighbours of the container that are text unless they are mostly links.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure dl hgroup".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd dt figcaption h2 h3 h4 h5 h6 summary".split())
 _BASE = {"article": 10, "main": 8, "div": 5, "section": 4, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3, "address": -3}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "inside", "words", "called", "length", "links", "prose", "comments", "points", "gone", "scored")
+    __slots__ = ("tag", "parent", "inside", "words", "called", "length", "links", "prose", "comments", "points", "gone", "scored", "raw", "commas")
 
     def __init__(self, tag: str, parent: Element | None, words: frozenset[str], called: bool, gone: bool):
         self.tag, self.parent, self.words, self.called, self.gone = tag, parent, words, called, gone
         self.inside: list[Element | str] = []
-        self.length = self.links = self.prose = 0
+        self.length = self.links = self.prose = self.raw = self.commas = 0
         self.comments = False
         self.points, self.scored = 0.0, False
 
@@ -85,20 +89,26 @@ class Element:
 
 
 class _Tree(HTMLParser):
+    """Open elements as a stack, and where in it each tag is, so that no tag is looked for element by element."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.top = Element("", None, frozenset(), False, False)
         self.open = [self.top]
+        self.places: dict[str, list[int]] = {}
         self.every = [self.top]
 
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
     def _close_to(self, tags: set[str] | frozenset[str], fence: set[str] | frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return self._close_to(tags, fence) if len(tags) > 1 else None
-            if self.open[i].tag in fence:
-                return None
-        return None
+        limit = self._last(fence)
+        while (place := self._last(tags)) > limit:
+            self._close_from(place)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -117,18 +127,17 @@ class _Tree(HTMLParser):
         self.open[-1].inside.append(made)
         self.every.append(made)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(made)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        place = self._last((tag,))
+        within = tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html")
+        if place and not (within and place < self._last(("td", "th"))):
+            self._close_from(place)
 
     def handle_data(self, data: str) -> None:
         self.open[-1].inside.append(data)
@@ -228,17 +237,21 @@ def _cut(every: list[Element]) -> None:
 
 
 def _measure(every: list[Element]) -> None:
-    """Length of the text and of its links in every element that is left."""
+    """Length of the text and of its links, and its commas, in every element that is left."""
     for e in reversed(every):
-        e.length = e.links = 0
+        e.length = e.links = e.raw = e.commas = 0
         if e.gone:
             continue
         for x in e.inside:
             if isinstance(x, str):
                 e.length += len(" ".join(x.split()))
+                e.raw += len(x)
+                e.commas += x.count(",") + x.count("、") + x.count("，")
             elif not x.gone:
                 e.length += x.length
                 e.links += x.links
+                e.raw += x.raw
+                e.commas += x.commas
         if e.tag == "a":
             e.links = e.length
 
@@ -248,8 +261,7 @@ def _score(every: list[Element]) -> None:
         own = sum(len(x.strip()) for x in e.inside if isinstance(x, str)) if e.tag in ("div", "section", "article") else 0
         if e.gone or not (e.tag in PARAGRAPHS or own >= 80) or e.length < 25:
             continue
-        text = "".join(_strings(e))
-        points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
+        points = 1 + e.commas + min(e.raw / 100, 3)
         up, level = (e if own >= 80 else e.parent), 0
         while up is not None and up.tag not in ("", "html") and level < 6:
             if not up.scored:
@@ -310,31 +322,42 @@ def _blocks(roots: list[Element]) -> list[str]:
     return out
 
 
+def _belongs(x: Element, best: Element) -> bool:
+    """Whether a neighbour of the container (or of what holds it) is text of the article: scored like it, a heading, a table, or text that is not mostly links."""
+    if x.gone or not x.length:
+        return False
+    if x.scored and x.points >= min(max(10, best.points * 0.2), best.points * 0.5):
+        return True
+    return x.density() < (0.5 if x.tag in _TEXTS else 0.25) and (x.tag in _TEXTS or x.links == 0 or x.prose > 0)
+
+
 def _chosen(every: list[Element]) -> list[Element]:
-    """The container, or its parent's children that belong to it."""
+    """The container, the children of its ancestors that belong to it, and all articles, in page order."""
     scored = [e for e in every if e.scored and not e.gone]
     if not scored:
         left = [e for e in every if not e.gone and e.length]
         whole = [e for tag in ("article", "main", "body") for e in left if e.tag == tag]
         return whole[:1] or every[:1]
     best = max(scored, key=lambda e: e.points)
-    up = best
+    holder, up = best, best
     while up is not None:
         if up.tag in ("article", "main"):
-            return [up]
+            holder = up
         up = up.parent
-    if best.tag in ("body", "html", "") or best.parent is None:
-        return [best]
-    kept = []
-    for x in best.parent.inside:
-        if isinstance(x, str) or x.gone:
-            continue
-        alike = x.scored and x.points >= min(max(10, best.points * 0.2), best.points * 0.5)
-        text = "".join(_strings(x)) if x.tag == "p" else ""
-        prose = x.tag == "p" and (x.length > 80 and x.density() < 0.25 or x.links == 0 and bool(_PROSE.search(text)))
-        if x is best or alike or prose or x.tag in ("h1", "h2", "h3", "blockquote", "pre") and x.density() < 0.5:
-            kept.append(x)
-    return kept
+    kept = {holder}
+    at = holder
+    while at.parent is not None and at.tag not in ("body", "html"):
+        kept.update(x for x in at.parent.inside if not isinstance(x, str) and x is not at and _belongs(x, best))
+        at = at.parent
+    kept.update(e for e in every if e.tag == "article" and not e.gone and e.prose and e.density() < 0.25)
+    inside: set[Element] = set()
+    out = []
+    for e in every:  # nothing twice
+        if e.parent in inside or e.parent in kept:
+            inside.add(e)
+        elif e in kept:
+            out.append(e)
+    return out
 
 
 def main_text(html: str) -> str:

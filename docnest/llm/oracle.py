@@ -118,12 +118,16 @@ def _measures(over: str) -> str:
       {{'m': 'dup_lines', 'v': coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0)}}, {{'m': 'repeats', 'v': coalesce(n_repeat_words * 1000 // {over}, 0)}}]"""
 
 
+def _by_measure(field: str) -> str:
+    return "CASE m " + " ".join(f"WHEN '{n}' THEN {getattr(m, field) or 0}::DOUBLE" for n, m in quality.MEASURES.items()) + " END"
+
+
 def _fences(name: str, by: str, group: str) -> str:
     """Quartiles and fences of the sketches per ``by``."""
+    spread = f"greatest(q3 - q1, q3 * {_by_measure('share')}, {_by_measure('floor')}) * {_by_measure('reach')}"
     return f"""
 {name} AS (
-  SELECT {group}, m, n, q3 + greatest(q3 - q1, q3 * {quality.SPREAD}::DOUBLE, {quality.FLOOR}) * {quality.REACH} AS high,
-    q1 - greatest(q3 - q1, q3 * {quality.SPREAD}::DOUBLE, {quality.FLOOR}) * {quality.REACH} AS low
+  SELECT {group}, m, n, least(q3 + {spread}, {_by_measure('most')}) AS high, greatest(q1 - {spread}, q1 * {_by_measure('least')}) AS low
   FROM (
     SELECT {group}, m, sum(n) AS n, min(bucket) FILTER (upto >= 0.25) AS q1, min(bucket) FILTER (upto >= 0.75) AS q3
     FROM (SELECT *, sum(n) OVER (PARTITION BY {by} m ORDER BY bucket) / sum(n) OVER (PARTITION BY {by} m)::DOUBLE AS upto

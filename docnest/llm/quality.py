@@ -8,17 +8,20 @@ The sketch is a histogram over log-linear buckets of whole numbers: its counts m
 order of rows, and a quantile read from it is at most 1/64 too small. A measure has fewer than 2000 buckets, so a group
 is bounded whatever its rows.
 
-A fence is the upper quartile plus ``REACH`` times the distance to the lower one (downwards alike); the distance counts as
-``SPREAD`` of the quartile and ``FLOOR`` at least, so a group of nearly equal documents does not lose its edge. Groups
-with fewer than ``ENOUGH`` documents use their language's fences, small languages those of the corpus.
-
-Defined results: null texts have no words; null languages and sources are values of their own. Documents that fail the base
-rules stay in the sketches.
+A fence is the upper quartile plus ``reach`` times the distance to the lower one (downwards alike); the distance counts as
+``share`` of the upper quartile and ``floor`` at least, so a group of nearly equal documents does not lose its edge. Every measure has its
+own reach, share and floor, and ends for its fences (``least`` of the lower quartile, ``most`` in thousandths), so that each fence
+lies where values can pass it. Groups with fewer than ``ENOUGH`` documents use their language's fences, small languages those of the corpus.
+
+Defined results: null and empty texts have no words and fail the base rules; null languages and sources are values of their own. Documents that
+fail the base rules stay in the sketches. A value on a fence is inside. Repeated rows count and are returned as often as they are there; texts are
+measured whole, whatever their length; an empty table has no fences and no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,28 @@ from pyspark.sql import functions as F
 from docnest.llm.frames import SPACES, WordHashes, byte_values, mapped, shingle_hashes, stored
 
 SYMBOLS = b"#*$%&|<>"
-REACH = 6
-SPREAD = 0.25
-FLOOR = 50
 ENOUGH = 200
-#: Measures in thousandths, and whether a document may be too low or too high in them.
-MEASURES = {"mean_word": (True, True), "symbols": (False, True), "dup_lines": (False, True), "repeats": (False, True)}
+
+
+@dataclass(frozen=True)
+class Measure:
+    """How far from its group a measure may be; ``least``: the low fence is at least so much of the lower quartile (None: no low fence);
+    ``most``: the highest the high fence may be."""
+
+    reach: float
+    share: float
+    floor: float
+    least: float | None = None
+    most: float = 1e9
+
+
+#: Measures in thousandths. Documents of which a fifth of the words repeat fail the base rules, so that fence ends below.
+MEASURES = {
+    "mean_word": Measure(reach=4, share=0.1, floor=0, least=0.4),
+    "symbols": Measure(reach=6, share=0.25, floor=25),
+    "dup_lines": Measure(reach=6, share=0.25, floor=60, most=900),
+    "repeats": Measure(reach=6, share=0.25, floor=30, most=195),
+}
 SUB_BITS = 6
 
 _SPACE_BYTES = SPACES.encode()
@@ -130,16 +149,19 @@ def quantiles(sketch: DataFrame, by: list[str], shares: dict[str, float]) -> Dat
     return ranked.groupBy(*by, "measure").agg(F.sum("n").alias("n"), *[F.min(F.when(F.col("upto") >= s, F.col("bucket"))).alias(c) for c, s in shares.items()])
 
 
-def fences(sketch: DataFrame, by: list[str], reach: float = REACH) -> DataFrame:
-    """``by``, group_rows and ``<measure>_low`` / ``<measure>_high``, one row per group."""
+def fences(sketch: DataFrame, by: list[str], reach: float = 1) -> DataFrame:
+    """``by``, group_rows and ``<measure>_low`` / ``<measure>_high``, one row per group; ``reach`` is a factor of every measure's."""
     q = quantiles(sketch, by, {"q1": 0.25, "q3": 0.75})
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.col("q3") * SPREAD, F.lit(FLOOR))
-    q = q.withColumn("low", F.col("q1") - spread * reach).withColumn("high", F.col("q3") + spread * reach)
-    ends = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")]
+    ends = []
+    for name, m in MEASURES.items():
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.col("q3") * m.share, F.lit(float(m.floor))) * (m.reach * reach)
+        low = F.greatest(F.col("q1") - spread, F.col("q1") * m.least) if m.least is not None else F.lit(None).cast("double")
+        high = F.least(F.col("q3") + spread, F.lit(float(m.most)))
+        ends += [F.max(F.when(F.col("measure") == name, e)).alias(f"{name}_{side}") for side, e in (("low", low), ("high", high))]
     return q.groupBy(*by).agg(F.max("n").alias("group_rows"), *ends)
 
 
-def verdicts(rows: DataFrame, sketch: DataFrame, reach: float = REACH, enough: int = ENOUGH) -> DataFrame:
+def verdicts(rows: DataFrame, sketch: DataFrame, reach: float = 1, enough: int = ENOUGH) -> DataFrame:
     """``rows`` with base_failed, kept and the level (source, language, corpus) whose fences were used.
 
     The fences are read from files, so Spark knows their size when it picks the join.
@@ -157,13 +179,13 @@ def verdicts(rows: DataFrame, sketch: DataFrame, reach: float = REACH, enough: i
     limits = stored(limits.coalesce(1), "fences")
     joined = _with_measures(rows).join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     outside = F.lit(False)
-    for m, (low, high) in MEASURES.items():
-        outside = outside | ((F.col(m) < F.col(f"{m}_low")) if low else F.lit(False)) | ((F.col(m) > F.col(f"{m}_high")) if high else F.lit(False))
+    for m in MEASURES:
+        outside = outside | F.coalesce(F.col(m) < F.col(f"{m}_low"), F.lit(False)) | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return joined.select(*rows.columns, failed.alias("base_failed"), (~failed & ~F.coalesce(outside, F.lit(False))).alias("kept"), "level")
+    return joined.select(*rows.columns, failed.alias("base_failed"), (~failed & ~outside).alias("kept"), "level")
 
 
-def quality(docs: DataFrame, reach: float = REACH, enough: int = ENOUGH) -> DataFrame:
+def quality(docs: DataFrame, reach: float = 1, enough: int = ENOUGH) -> DataFrame:
     """Counts and verdict of every document."""
     rows = stored(measured(docs), "quality")
     return verdicts(rows, sketches(rows), reach, enough)

@@ -1,6 +1,7 @@
 import html
 import os
 import re
+import time
 
 import pytest
 
@@ -74,3 +75,50 @@ def test_sample_pages(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         blocks = (" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+P = "This is a paragraph of some length, with commas, and enough words in it to be read as prose by anyone."
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (f"<article><p>{P}</p></article><article><p>2 {P}</p></article>", f"{P}\n2 {P}"),
+        (f"<main><h1>Head</h1><article><p>{P}</p></article><article><p>2 {P}</p></article></main>", f"Head\n{P}\n2 {P}"),
+        (f"<h1>Head</h1><article><p>{P}</p></article><table><tr><td>1</td><td>2</td></tr></table>", f"Head\n{P}\n1\n2"),
+        (f"<div><div><p>{P}</p><p>3 {P}</p></div><div>A short column.</div></div>", f"{P}\n3 {P}\nA short column."),
+        (f"<div><a href=x>one</a> <a href=y>two</a></div><div><p>{P}</p><p>3 {P}</p></div>", f"{P}\n3 {P}"),
+        (f"<nav>menu</nav><h1>Head</h1><div><p>{P}</p></div><aside>side</aside><footer>foot</footer>", f"Head\n{P}"),
+        (f"<article><p>{P}</p></article><div class=comments><article><p>Reader: {P}</p></article></div>", P),
+        (f"<article><p>{P}</p></article><p>{P}</p>", f"{P}\n{P}"),
+    ],
+)
+def test_nothing_of_the_article_is_dropped(html, expected):
+    assert html_text.main_text(f"<body>{html}</body>") == expected
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<div>" * n + "text", lambda n: "<span>" * n + "<p>a" * n, lambda n: "<blockquote>" * n + P, lambda n: "<td>" + "<span>" * n + "</b>" * n,
+        lambda n: "<div><p>x" * n, lambda n: "<li>" * n, lambda n: "<table><tr><td>" * n + P, lambda n: "<ul><li>" * n + "</td>" * n,
+    ],
+)
+def test_time_grows_with_the_page(make):
+    def spent(n):
+        start = time.process_time()
+        html_text.main_text(make(n))
+        return time.process_time() - start
+
+    spent(1000)
+    few, many = min(spent(5_000) for _ in range(2)), spent(50_000)
+    assert many < 40 * few + 0.5  # ten times the page; a hundred times the time if it were quadratic
+    assert many < 10
+
+
+def test_every_page_at_once(spark):
+    """The query's rows are those of the pages taken one by one, repeated rows and null ids included."""
+    pages = [(i % 30 or None, "u", f"<h1>{i}</h1><article><p>{i % 7} {P}</p></article>") for i in range(60)] + [(1, None, None), (1, None, "")] * 2
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    want = [(i, u, html_text.main_text(h or ""), len(html_text.main_text(h or ""))) for i, u, h in pages]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
