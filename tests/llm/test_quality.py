@@ -50,7 +50,7 @@ def strays():
     more = [f"u{i}" for i in range(100)] + [w for i in range(2) for w in words[:10]] + [f"v{i}" for i in range(4)]  # 20 of 124: 16 %
     near = [f"u{i}" for i in range(90)] + words[:9] * 2 + ["y"]  # 18 of 109: 16 %
     most = [f"u{i}" for i in range(82)] + words[:10] * 2 + ["y"]  # 20 of 103: 19 %
-    lines = "\n".join(["one two"] * 5 + [f"line {i} of this" for i in range(5)])
+    lines = "\n".join(x for i in range(8) for x in ("more", prose(50 + i, 9)))  # seven of sixteen lines
     return {
         "short_words": " ".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=60)), "long_words": " ".join(f"{'x' * 15}{i}" for i in range(60)),
         "symbols": " ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(prose(3, 60).split())), "dup_lines": lines, "repeats": " ".join(most),
