@@ -182,3 +182,21 @@ def test_caller_sql_leaves_views_as_they_were(spark):
     assert rows(found) == [{"n": 5}] and spark.table("mine").count() == 3
     assert not spark.catalog.tableExists("other_rows")
     spark.catalog.dropTempView("mine")
+
+
+def test_json_schemas_come_from_the_data(spark):
+    from docnest.sources.normalise import INFER, inferred_schemas, normalise
+
+    values = ['{"k": 1, "a": {"b": [1, 2.5]}, "odd `OBJECT<` name": "x"}', '{"k": 3000000000, "n": null, "v": 1}', '{"v": [1]}', "oops", '{"k": 1} x', None]
+    df = spark.createDataFrame([(i, v, "7", "{}" if i else "[1]", None) for i, v in enumerate(values)], "i int, t string, n string, mixed string, none string")
+    schemas = inferred_schemas(df, ["t", "n", "mixed", "none"])
+    assert schemas["t"].startswith("STRUCT<") and schemas["n"] is schemas["mixed"] is schemas["none"] is None
+    made = normalise(df, {"t": INFER, "mixed": INFER, "none": INFER})
+    assert made.schema["mixed"].dataType.simpleString() == made.schema["none"].dataType.simpleString() == "variant"
+    assert made.schema["t"].dataType["k"].dataType.simpleString() == "bigint" and made.schema["t"].dataType["v"].dataType.simpleString() == "variant"
+    found = made.selectExpr("i", "t.k", "t.a.b[1] AS b", "t.`odd ``OBJECT<`` name` AS odd", "to_json(t.v) AS v", "t_unparsed AS bad").orderBy("i").collect()
+    assert [(r.k, None if r.b is None else float(r.b), r.odd, r.v, r.bad) for r in found] == [
+        (1, 2.5, "x", None, None), (3000000000, None, None, "1", None), (None, None, None, "[1]", None), (None, None, None, None, "oops"),
+        (None, None, None, None, '{"k": 1} x'), (None, None, None, None, None),
+    ]
+    assert inferred_schemas(df.limit(0), ["t"]) == {"t": None} and inferred_schemas(df, []) == {}

@@ -164,6 +164,9 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000
 """,
     "normalised_events": """
 SELECT event_id, epoch_us(date_trunc('milliseconds', ts)) AS ts_us, CAST(json_extract(props, '$.k') AS BIGINT) AS k, TRUE AS parsed FROM events
+""",
+    "inferred_events": """
+SELECT event_id, 'struct<k:bigint>' AS type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, TRUE AS parsed FROM events
 """,
     "normalised_dates": """
 SELECT o_orderkey, epoch_ms(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS day_ms FROM orders

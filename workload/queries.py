@@ -43,7 +43,7 @@ from docnest.reports.reconcile import reconciled
 from docnest.session import delete_at_end, shared_folder
 from docnest.sinks.documents import read_documents
 from docnest.sinks.versions import read_current
-from docnest.sources.normalise import normalise, normalise_all
+from docnest.sources.normalise import INFER, normalise, normalise_all
 from docnest.sources.tables import row_counts, sample_rows, sql_rows, union_all
 from workload.tables import CATALOGUE, COLUMNS, EDGES, KEYS, WHOLE_KEYS, columns_of, load, part_of
 
@@ -91,6 +91,14 @@ def normalised_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def inferred_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The properties of events as a struct that nobody declared."""
+    events = normalise(load(spark, sf, "events")["events"], {"props": INFER})
+    return events.select(
+        "event_id", F.typeof("props").alias("type"), F.col("props.k").alias("k"), F.col("props_unparsed").isNull().alias("parsed")
+    )
+
+
 def normalised_dates(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders")["orders"].select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     return normalise(orders).select("o_orderkey", F.unix_millis("day").alias("day_ms"))
@@ -709,7 +717,7 @@ def customer_documents(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        customer_documents, scan_orders, sql_rich_customers, normalised_events, normalised_dates, normalised_nested_dates,
+        customer_documents, scan_orders, sql_rich_customers, normalised_events, inferred_events, normalised_dates, normalised_nested_dates,
         array_and_binary_passthrough, normalised_instants, json_variants, table_row_counts, table_samples, profile_columns,
         profile_cardinality, profile_edges, profile_orphans, discovered_keys, embed_one_label, embed_one_first_match,
         embed_many_lineitem, embed_two_children, embed_levels_customer, embed_levels_region, embed_junction_part,
