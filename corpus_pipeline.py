@@ -2,11 +2,15 @@
 
 Every stage works on all rows the one before has kept; all but the last return the columns of ``documents``.
 
-1. language ID: rows whose language nothing in the corpus speaks for (no letters, or no language above LEAST_SCORE) go;
+1. language ID: rows without a word in any language of the corpus (no letters, or nothing to learn from) go; texts that switch stay;
 2. near-dedup: of every group of near copies one document stays;
 3. secret scan: every row stays, secrets in it become a mark, ``n_chars`` follows;
 4. mixing: documents are repeated or left out so that the sources get their weights;
 5. packing: pieces of documents, their token ids and their places in windows of 1024 tokens.
+
+Nulls in any column pass through. Null and empty texts have no letters and go in the first stage; a table of them, or an empty one, gives no
+rows. Very long texts are read whole by every stage. Repeated rows are near copies: one stays, the first of those with the
+smallest id (ties in anything but the text are broken by the place in the file). Further columns of any name stay up to the packing.
 """
 
 from __future__ import annotations
@@ -19,14 +23,12 @@ from pyspark.sql import functions as F
 from docnest.llm import language_id, mixing, neardup, packing, secret_scan
 from docnest.llm.frames import discard, stored, table
 
-LEAST_SCORE = 0.3
-
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language of the corpus; the model learns from the rows that say theirs."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
     found = language_id.labelled(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
