@@ -10,7 +10,9 @@ documents are put one after another, so that the transitions learn switches. Log
 
 A chain is a run of up to CHAIN words of one text; longer texts are several chains, all of which count.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; without labelled rows every text is.
+Defined results: null texts and texts without a letter are ``und`` with score 0; without labelled rows every text is. Of equal shares the first
+language by name wins; repeated rows and null ids are rows like any other, an id that is there often is learned from once a language; an empty
+table has no rows.
 """
 
 from __future__ import annotations
@@ -181,7 +183,9 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     # a window of the text, at a place picked by hash
     place = f"pmod(xxhash64(doc_id), greatest(length(text) - {SAMPLE_CHARS}, 0) + 1) + 1"
     window = F.expr(f"substring(text, cast({place} as int), {SAMPLE_CHARS})")
-    found = labelled.select("doc_id", "lang", window.alias("text")).join(picked, ["doc_id", "lang"]).collect()
+    # one row per sampled id and language, however often it is there
+    rows = labelled.select("doc_id", "lang", window.alias("text")).join(picked, ["doc_id", "lang"])
+    found = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return train([(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"], r["text"]))])
 
 

@@ -16,7 +16,8 @@ the same ranks, several times faster than ``tokenizers``; any other text, any wi
 LONG_RUN white-space characters, on which tiktoken's pattern runs out of stack, runs through ``tokenizers`` itself. Both give
 the same ids (tested).
 
-Defined results: null and empty texts are the end id alone. Equal rows are packed one by one.
+Defined results: null and empty texts are the end id alone. Equal rows and null ids are packed one by one, equal sizes in the order they arrive;
+texts of any length are encoded whole and cut into as many windows as they need; an empty table has no pieces.
 """
 
 from __future__ import annotations

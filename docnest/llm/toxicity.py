@@ -4,12 +4,13 @@ A word is the mean of the vectors of its hashed byte n-grams (and of the word it
 over that mean gives the two classes. Vectors and softmax are trained together by Adam, so a misspelling that was never seen
 shares the vectors of the n-grams that are left of the word.
 
-Training: at most SAMPLE labelled documents of each class, picked by a hash of the id, SAMPLE_CHARS of each; the bias is moved to
+Training: at most SAMPLE labelled documents of each class, picked by a hash of the id, SAMPLE_CHARS of each, from all over the text; the bias is moved to
 the classes' real shares afterwards. Prediction reads whole texts. As everything after the lookup is linear, a word's part in the
 score is one number, which is kept by word.
 
 Defined results: null and empty texts have the mean of no words, and so the score of the bias; without labelled rows of both
-classes every score is the share of toxic ones (0 without any).
+classes every score is the share of toxic ones (0 without any). Equal texts have equal scores, whatever their length; an id labelled both ways is
+toxic, and one that is there often is learned from once; an empty table has no scores.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from docnest.llm.subwords import WordTable, grams
 
 SAMPLE = {1: 1600, 0: 4800}
 SAMPLE_CHARS = 20_000
+#: Pieces of a longer text.
+WINDOWS = 10
 BUCKETS = 1 << 16
 DIM = 8
 #: Batches of training, whatever the number of documents.
@@ -136,14 +139,22 @@ def train(rows: list[tuple[int, str]], prior: float) -> Model:
     return Model(vectors, out, float(moved))
 
 
+def sampled_text(text: Column) -> Column:
+    """A text to learn from: the whole, or WINDOWS pieces spread evenly over it, SAMPLE_CHARS together, if it is longer."""
+    size = SAMPLE_CHARS // WINDOWS
+    places = [F.floor((F.length(text) - size) * (i / (WINDOWS - 1))).cast("int") + 1 for i in range(WINDOWS)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *[F.substr(text, p, F.lit(size)) for p in places]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     """A model from the labelled rows (doc_id, toxic 0 or 1) for which ``learn`` holds and their texts."""
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
     each = [sampled(known.where(F.col("toxic") == label), "toxic", most) for label, most in SAMPLE.items()]
     picked = stored(each[0].unionByName(each[1]).coalesce(1), "toxicity-sample")
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    found = texts.join(picked, "doc_id").select("doc_id", "toxic", "text").collect()
+    texts = docs.select("doc_id", sampled_text(F.coalesce("text", F.lit(""))).alias("text"))
+    # one row per sampled id, however often it is there
+    found = texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = [(r["toxic"], r["text"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]
     return train(rows, counts.get(1, 0) / max(1, sum(counts.values())))
 

@@ -56,3 +56,22 @@ def test_odd_rows_missing_labels_and_clashing_columns(spark):
     none = toxicity.fit(docs, marks, F.lit(False))
     assert {round(r.score, 6) for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(frame(spark, []), made).collect() == []
+
+
+def test_long_texts_are_learned_from_all_over(spark):
+    size = toxicity.SAMPLE_CHARS // toxicity.WINDOWS
+    long = "".join(f"{i:07d}" for i in range(30_000))
+    got = frame(spark, [(1, long, "en", "a", 0), (2, long[: toxicity.SAMPLE_CHARS], "en", "a", 0), (3, "", "en", "a", 0)])
+    one, two, three = (r.t for r in got.select("doc_id", toxicity.sampled_text(F.col("text")).alias("t")).orderBy("doc_id").collect())
+    pieces = one.split(" ")
+    assert len(pieces) == toxicity.WINDOWS and all(len(p) == size and p in long for p in pieces)
+    assert pieces[0] == long[:size] and pieces[-1] == long[-size:]
+    assert two == long[: toxicity.SAMPLE_CHARS] and three == ""
+
+
+def test_an_id_that_is_there_often_counts_once(spark):
+    rows, labels = corpus(60)
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    often = frame(spark, rows + [rows[0]] * 300)
+    first, again = (toxicity.fit(d, known, F.lit(True)) for d in (docs, often))
+    assert bag(toxicity.score(docs, first)) == bag(toxicity.score(docs, again))
