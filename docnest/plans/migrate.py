@@ -14,6 +14,7 @@ from docnest.operators.patterns import ATTRIBUTE, COMPUTED, OUTLIER, PATTERN_ORD
 from docnest.operators.profile import fan_outs
 from docnest.plans.model import MANY_TO_MANY, ONE_TO_MANY, ONE_TO_ONE, Catalogue, Edge, PlanError, Settings
 from docnest.plans.resolve import NestingPlan, edges_to_measure, resolve
+from docnest.session import size_shuffles
 from docnest.sinks.documents import dataset_path, remove_folder, write_documents
 from docnest.sinks.versions import Version, replace_documents
 from docnest.sources.normalise import normalise_all
@@ -182,9 +183,12 @@ def migrate(
     """Plan the documents of every table of the catalogue.
 
     ``stage_folder`` (in storage all executors share) makes a transformed table that is needed
-    more than once - nested into several parents, or nested and written - be computed once.
+    more than once - nested into several parents, or nested and written - be computed once. The session's initial
+    number of shuffle partitions is raised to fit the largest table (:func:`docnest.session.size_shuffles`).
     """
     settings = settings or Settings()
+    for frame in list(tables.values())[:1]:
+        size_shuffles(frame.sparkSession, tables.values())
     raw = normalise_all({t: tables[t] for t in catalogue.tables if t in tables}, json_columns)
     plan = plan_for(raw, catalogue, settings)
     return Migration(plan, raw, _documents(plan, raw, stage_folder))

@@ -33,11 +33,16 @@ MAX_SHUFFLE_TASKS = 2_000_000
 ROW_GROWTH = 3
 
 
+def tasks_for(tables: Iterable[DataFrame]) -> int:
+    """How many tasks the largest table needs in a shuffle. Sizes are the planner's own estimates, so nothing is read."""
+    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
+    return min(MAX_SHUFFLE_TASKS, max(sizes, default=0) * ROW_GROWTH // TASK_BYTES)
+
+
 def size_shuffles(spark: SparkSession, tables: Iterable[DataFrame]) -> int:
     """Raise the initial number of shuffle partitions to fit the largest table; adaptive execution
-    merges what turns out small. Sizes are the planner's own estimates, so nothing is read."""
-    sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
-    wanted = min(MAX_SHUFFLE_TASKS, max(sizes, default=0) * ROW_GROWTH // TASK_BYTES)
+    merges what turns out small."""
+    wanted = tasks_for(tables)
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     current = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
     if wanted > current:
