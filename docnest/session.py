@@ -29,14 +29,17 @@ def session(app: str, master: str | None = None, **settings: str) -> SparkSessio
 # One shuffle task should get about this much; more tasks than the cap cost more than they save.
 TASK_BYTES = 256 * 1024 * 1024
 MAX_SHUFFLE_TASKS = 2_000_000
+# The planner's stand-in for a size it does not know is 2**63, less where columns are left out.
+UNKNOWN_BYTES = 2**55
 # Parquet columns grow by about this factor as shuffled rows.
 ROW_GROWTH = 3
 
 
 def tasks_for(tables: Iterable[DataFrame]) -> int:
-    """How many tasks the largest table needs in a shuffle. Sizes are the planner's own estimates, so nothing is read."""
+    """How many tasks the largest table needs in a shuffle. Sizes are the planner's own estimates, so nothing is read; a table whose size it
+    does not know does not count."""
     sizes = [int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables]
-    return min(MAX_SHUFFLE_TASKS, max(sizes, default=0) * ROW_GROWTH // TASK_BYTES)
+    return min(MAX_SHUFFLE_TASKS, max((s for s in sizes if s < UNKNOWN_BYTES), default=0) * ROW_GROWTH // TASK_BYTES)
 
 
 def size_shuffles(spark: SparkSession, tables: Iterable[DataFrame]) -> int:

@@ -154,6 +154,8 @@ def test_shared_folder_and_shuffle_size(spark):
     assert size_shuffles(spark, [spark.range(10)]) == 4 and spark.conf.get(key, None) is None
     assert size_shuffles(spark, [spark.range(10**12)]) == 89406
     spark.conf.unset(key)
+    assert size_shuffles(spark, [spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").select("a")]) == 4 and spark.conf.get(key, None) is None
+    spark.conf.unset(key)
 
 
 @pytest.mark.parametrize("code", [None, 7, 64])
