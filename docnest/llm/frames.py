@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docnest.session import shared_folder
+from docnest.session import shared_folder, size_shuffles, tasks_for
 
 #: White space between words; a word is a longest run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,6 +26,10 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
+#: Spark's own limit.
+MOST_BUCKETS = 100_000
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later jobs start from files, not from lineage.
 
@@ -40,9 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Like :func:`stored`, and dealt out by ``column``: later joins on it do not shuffle the table again."""
+    """Like :func:`stored`, and dealt out by ``column``: later joins on it do not shuffle the table again. There are as many buckets as the
+    session has shuffle partitions, or as the planner's size of ``df`` asks for."""
     spark = df.sparkSession
     folder, n = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(n, min(MOST_BUCKETS, tasks_for([df])))
     entry = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     df.repartition(n, column).write.format("parquet").option("path", folder).bucketBy(n, column).saveAsTable(entry)
     table = spark.table(entry).select("*")
@@ -118,7 +124,10 @@ def mapped(df: DataFrame, function: Callable, schema: str | StructType) -> DataF
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table; the session's shuffles are sized to fit it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size_shuffles(spark, [df])
+    return df
 
 
 def words_of(text: Column) -> Column:
