@@ -25,6 +25,7 @@ from docnest.functions.columns import (
     orderable_names,
     without,
 )
+from docnest.functions.numbers import Total, aggregates, prepared
 from docnest.functions.ranking import BEFORE, RANK, ranked
 from docnest.plans.model import PlanError
 from docnest.session import written
@@ -84,19 +85,21 @@ def all_docs(
     fk: str,
     child_pk: Sequence[str],
     docs: Sequence[str],
-    extra: Sequence[Column] = (),
+    totals: Sequence[Total] = (),
 ) -> DataFrame:
-    """All child documents per key in primary-key order, plus any further aggregates.
+    """All child documents per key in primary-key order, plus the aggregates of any totals.
 
     Only for edges whose largest group is known to be within the nesting limit. Rows are shuffled
-    flat and grouped after the shuffle: collecting before it would not shrink anything.
+    flat and grouped after the shuffle: collecting before it would not shrink anything. What the totals
+    read is worked out after it too, so it is not shuffled beside the columns it comes from.
     """
     comparable = all(orderable(rows.schema[find_name(rows, n)].dataType) for n in docs)
     others = without([n for n in child_pk if find_name(rows, n)], [fk])
     # Comparable documents break ties between equal keys themselves.
     leading = others if comparable else sort_names(rows, others, docs)
     order = document(leading) if leading else F.lit(0)
-    return rows.repartition(KEY).groupBy(KEY).agg(_sorted_docs(order, document(docs), comparable).alias(DOCS), *extra)
+    dealt = prepared(rows.repartition(KEY), totals)
+    return dealt.groupBy(KEY).agg(_sorted_docs(order, document(docs), comparable).alias(DOCS), *aggregates(totals))
 
 
 def weight_of(docs: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docnest.functions.columns import find_name, has_column, without
-from docnest.functions.numbers import aggregates, finished, prepared
+from docnest.functions.numbers import finished
 from docnest.operators import grouping as g
 from docnest.operators.patterns import Computed, total_of
 from docnest.plans.model import DEFAULT_MAX_CHILDREN, PlanError
@@ -83,7 +83,7 @@ def embed_many(
     wanted = g.key_type(parent, pk, child, fk)
     made = {p.field: total_of(p, child, f"__total_{i}") for i, p in enumerate(totals)}
     sums = [total for total, _ in made.values()]
-    summary = finished(g.all_docs(prepared(g.keyed(child, fk, wanted), sums), fk, child_pk, docs, aggregates(sums)), sums)
+    summary = finished(g.all_docs(g.keyed(child, fk, wanted), fk, child_pk, docs, sums), sums)
     fields = {field: g.array_or_empty(g.DOCS, array_type)}
     fields |= {name: F.coalesce(F.col(total.name), zero) for name, (total, zero) in made.items()}
     return g.attach(parent, pk, wanted, summary, fields)

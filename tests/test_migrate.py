@@ -73,6 +73,24 @@ def test_json_keeps_nulls_and_variants(spark, moved, tmp_path):
     assert sorted(d["depth"] for d in read("sounding") if d["depth"] is not None) == [-4.0, 0.0, 12.0]
 
 
+def test_json_is_compressed_unless_asked_otherwise(spark, tmp_path):
+    n = 2000
+    catalogue = Catalogue.of([TableSpec("ports", "id"), TableSpec("calls", "call_number")], [Edge("calls", "port", "ports", "id")])
+    calls = spark.range(n).selectExpr("id AS call_number", "id % 20 AS port", "if(id % 3 = 0, NULL, id / 7) AS tonnage_on_arrival")
+    moved = migrate({"ports": spark.range(21), "calls": calls}, catalogue)
+    text, size = {}, {}
+    for name, options in (("default", None), ("plain", {"compression": "none"})):
+        moved.write(spark, f"{tmp_path}/{name}", options=options)
+        files = [f for f in (tmp_path / name / "port").iterdir() if f.name.startswith("part-")]
+        assert files and all(f.name.endswith(".json.gz") == (name == "default") for f in files)
+        size[name] = sum(f.stat().st_size for f in files)
+        text[name] = sorted(r.value for r in spark.read.text(f"{tmp_path}/{name}/port").collect())
+        back = read_documents(spark, f"{tmp_path}/{name}", moved.datasets)["ports"]
+        assert back.selectExpr("sum(size(calls))").first()[0] == n
+    assert text["default"] == text["plain"] and len(text["plain"]) == 21 and sum(t.count('"tonnage_on_arrival":null') for t in text["plain"]) == 667
+    assert size["plain"] == sum(len(t) + 1 for t in text["plain"]) > 3 * size["default"]
+
+
 def test_staged_run_gives_the_same_documents(spark, moved):
     again = migrate(
         seed.tables(spark), seed.CATALOGUE, seed.SETTINGS, seed.JSON_COLUMNS, stage_folder=shared_folder(spark, "stage")

@@ -138,6 +138,18 @@ def test_totals_share_the_nesting_shuffle(files, no_broadcast):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_totals_add_nothing_to_the_nesting_shuffle(files, no_broadcast):
+    """What the sums read is made of nested columns after the shuffle, and not sent beside them."""
+    parent, child = files
+    child = child.withColumn("x", F.col("v") / 8)
+    totals = [Computed("s", "SUM", "c", "v"), Computed("t", "SUM", "c", "x", scale=3)]
+    found = embed_many(parent, child, pk="id", fk="p_id", field="c", child_pk=["id"], totals=totals, measured=12)
+    above, shuffled = plan_of(found).split("Exchange hashpartitioning(__parent_key")
+    assert "__total_" in above and "__total_" not in shuffled
+    for r in found.collect():
+        assert r["s"] == sum(c["v"] for c in r["c"]) and float(r["t"]) == sum(c["x"] for c in r["c"])
+
+
 def test_patterns_prune_before_the_shuffle(files, no_broadcast):
     parent, child = files
     patterns = [Computed("n", "COUNT", "c"), Subset("c", 3), Outlier("c", 5)]
